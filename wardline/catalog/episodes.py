@@ -15,10 +15,12 @@ from wardline.plans import snapshots as snap
 from wardline.sources import projection as P
 
 
-def signals(spark: SparkSession, sf: str) -> DataFrame:
+def signals(spark: SparkSession, sf: str, shape: latest.Shape | None = None) -> DataFrame:
     """Emitted organ-dysfunction alerts, low-pressure signals and control events."""
-    alerts = EP.signal_refs(governed(spark, sf, ACTIVE).where("emit"))
-    rows = snap.snapshots(P.envelopes(spark, sf)).where(
+    env = P.envelopes(spark, sf)
+    shape = shape or latest.shape_of(env)
+    alerts = EP.signal_refs(governed(spark, sf, ACTIVE, shape).where("emit"))
+    rows = snap.snapshots(env, shape).where(
         (F.col("component") == "cardiovascular") & (F.col("map_mmhg") < 65))
     score = F.when(F.col("map_mmhg") < 55, 6).otherwise(4)
     pressure = EP.signal_refs(rows.select(
@@ -32,6 +34,12 @@ def signals(spark: SparkSession, sf: str) -> DataFrame:
     return alerts.unionByName(pressure).unionByName(control)
 
 
+def steps(spark: SparkSession, sf: str) -> DataFrame:
+    # A patient yields at most three signals per record, so the records' size decides the layout.
+    shape = latest.shape_of(P.envelopes(spark, sf))
+    return EP.arbitrate(signals(spark, sf, shape), hot=shape.hot)
+
+
 _HSCORE = "(CASE WHEN map_mmhg < 55 THEN 6 ELSE 4 END)"
 SIGNALS_SQL = f"""{SCORED}, {alert_source(ACTIVE)}, {governance_sql('src', ACTIVE, SOFA_COMPONENTS)},
 sofa_alerts AS (
@@ -157,7 +165,7 @@ SELECT pk, event_us, signal_id, no AS episode_no, action, reason, status, dtype
 FROM ep WHERE rn > 0 AND action <> 'skip'""")
 def episode_steps(spark: SparkSession, sf: str) -> DataFrame:
     """What every signal did: page, passive update, duplicate, acknowledge, resolve."""
-    return EP.arbitrate(signals(spark, sf)).select(
+    return steps(spark, sf).select(
         F.concat_ws("#", "patient_id", "encounter_key").alias("pk"), "event_us", "signal_id", "episode_no", "action",
         "reason", "status", "dominant_type", "dominant_severity", "page_count", "passive_count",
         joined("supporting_types").alias("supporting"))
@@ -185,7 +193,7 @@ SELECT pk, no AS episode_no, {_EPISODE_ID} AS episode_id, opened_us, n_signals,
   dominant_type, dominant_severity, page_count, passive_count FROM eps""")
 def episodes(spark: SparkSession, sf: str) -> DataFrame:
     """Episodes with identity, dominant signal, pages and resolution."""
-    out = EP.summarise(EP.arbitrate(signals(spark, sf)))
+    out = EP.summarise(steps(spark, sf))
     return out.select(
         F.concat_ws("#", "patient_id", "encounter_key").alias("pk"), "episode_no", "episode_id", "opened_us",
         "n_signals", "status", "resolved_us", "updated_us", "dominant_type", "dominant_severity", "page_count",
@@ -205,7 +213,7 @@ SELECT {_EPISODE_ID} AS episode_id, CASE
 FROM eps""")
 def episode_context(spark: SparkSession, sf: str) -> DataFrame:
     """Routing rationale and a stable content hash of every episode."""
-    out = EP.summarise(EP.arbitrate(signals(spark, sf)))
+    out = EP.summarise(steps(spark, sf))
     text = F.concat_ws("|", F.concat_ws("#", "patient_id", "encounter_key"), "episode_no", "status",
                        F.coalesce("dominant_type", F.lit("")), "dominant_severity", "page_count", "passive_count",
                        "last_action", "last_reason")
@@ -221,7 +229,7 @@ FROM ep WHERE rn > 0 AND action <> 'skip'""")
 def episode_volume(spark: SparkSession, sf: str) -> DataFrame:
     """Every signal as a page, governed lanes, and episode pages side by side."""
     sig = F.col("event") == "signal"
-    out = EP.arbitrate(signals(spark, sf)).agg(
+    out = steps(spark, sf).agg(
         F.count_if(sig).alias("naive"), F.count_if(F.col("routing") == "passive").alias("passive"),
         F.count_if(F.col("routing") == "interruptive").alias("interruptive"),
         F.count_if("should_page").alias("episode_pages"))
@@ -248,5 +256,5 @@ UNION ALL SELECT e.pk, e.no, e.at_us, 'resolve', 'episode_window_elapsed' FROM e
 WHERE c.closed""")
 def episode_audit(spark: SparkSession, sf: str) -> DataFrame:
     """Audit entries of all episodes."""
-    out = EP.audit_log(EP.arbitrate(signals(spark, sf)))
+    out = EP.audit_log(steps(spark, sf))
     return out.select(F.concat_ws("#", "patient_id", "encounter_key").alias("pk"), "episode_no", "at_us", "action", "reason")

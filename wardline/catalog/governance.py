@@ -24,9 +24,9 @@ FULL = STRICT.patched(
 KEYED = ["patient_id", "event_us", "idempotency_key"]
 
 
-def governed(spark: SparkSession, sf: str, g: Governance) -> DataFrame:
+def governed(spark: SparkSession, sf: str, g: Governance, shape: latest.Shape | None = None) -> DataFrame:
     env = P.envelopes(spark, sf)
-    shape = latest.shape_of(env)
+    shape = shape or latest.shape_of(env)
     points = [f"p_{c}" for c in SOFA_COMPONENTS]
     rows = snap.alerts(env, shape=shape).select(
         *KEYED, "encounter_id", "score", "tier", "context_flags", "positive_components", *points, "alert_id",

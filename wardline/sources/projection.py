@@ -28,50 +28,33 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return use_utc(spark).read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+# Observation code, reading and unit of an event, as SQL over (event_type, k, value, event_id).
+_CODE = """CASE event_type WHEN 'click' THEN '2160-0' WHEN 'view' THEN '777-3' WHEN 'purchase' THEN '1975-2'
+  WHEN 'signup' THEN '8478-0' ELSE CASE WHEN k < 34 THEN '9269-2' WHEN k < 67 THEN '2708-6' ELSE '3150-0' END END"""
+_READING = """CASE code WHEN '2160-0' THEN 0.5D + value / 60D WHEN '777-3' THEN greatest(5D, 260D - 1.5D * value)
+  WHEN '1975-2' THEN value / 30D WHEN '8478-0' THEN greatest(30D, 100D - value / 3D)
+  WHEN '9269-2' THEN greatest(3D, 15D - cast(floor(value / 20D) AS double))
+  WHEN '2708-6' THEN greatest(70D, 100D - value / 8D) ELSE least(100D, 21D + value / 3D) END"""
+_UNIT = "CASE WHEN event_id % 23 = 0 THEN 'bad' " + " ".join(
+    f"WHEN code = '{c}' THEN '{u}'" for c, u in UNITS.items()) + " END"
+
+
 def readings(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One flat row per event: patient, encounter, clocks, code, value, unit, status, flag."""
-    e = table(spark, sf_dir, "events")
-    k = F.get_json_object("props", "$.k").cast("int")
-    off = F.unix_micros(F.col("ts").cast("timestamp")) - F.lit(T0_US)
-    v = F.col("value")
-    kind = F.col("event_type")
-    is_gcs, is_spo2 = F.col("k") < 34, F.col("k") < 67
-    code = (
-        F.when(kind == "click", "2160-0").when(kind == "view", "777-3")
-        .when(kind == "purchase", "1975-2").when(kind == "signup", "8478-0")
-        .when(is_gcs, "9269-2").when(is_spo2, "2708-6").otherwise("3150-0")
-    )
-    value = (
-        F.when(kind == "click", F.lit(0.5) + v / F.lit(60.0))
-        .when(kind == "view", F.greatest(F.lit(5.0), F.lit(260.0) - F.lit(1.5) * v))
-        .when(kind == "purchase", v / F.lit(30.0))
-        .when(kind == "signup", F.greatest(F.lit(30.0), F.lit(100.0) - v / F.lit(3.0)))
-        .when(is_gcs, F.greatest(F.lit(3.0), F.lit(15.0) - F.floor(v / F.lit(20.0)).cast("double")))
-        .when(is_spo2, F.greatest(F.lit(70.0), F.lit(100.0) - v / F.lit(8.0)))
-        .otherwise(F.least(F.lit(100.0), F.lit(21.0) + v / F.lit(3.0)))
-    )
-    unit = F.when(F.col("event_id") % 23 == 0, "bad")
-    for c, u in UNITS.items():
-        unit = unit.when(F.col("code") == c, u)
-    eid = F.col("event_id")
     return (
-        e.select("event_id", "user_id", "event_type", "value", k.alias("k"), div(off, 20).alias("coff"))
-        .withColumn("code", code)
-        .select(
-            "event_id", "user_id", "k", "event_type", F.col("value").alias("raw_value"),
-            F.concat(F.lit("Patient/"), F.col("user_id").cast("string")).alias("patient_id"),
-            F.when(eid % 17 != 0, F.concat(
-                F.lit("Encounter/"), F.col("user_id").cast("string"), F.lit("-"),
-                div(F.col("coff"), 12 * HOUR).cast("string"))).alias("encounter_id"),
-            (F.lit(T0_US) + F.col("coff")).alias("event_us"),
-            (F.lit(T0_US) + F.col("coff") + (eid % 13) * F.lit(MINUTE)).alias("ingest_us"),
-            F.concat(F.lit("ev-"), eid.cast("string")).alias("idempotency_key"),
-            "code", value.alias("reading"), unit.alias("unit"),
-            F.when(eid % 29 == 0, "entered-in-error").otherwise("final").alias("status"),
-            F.when(F.col("k") == 0, "comfort_care").when(F.col("k") == 1, "already_on_sepsis_protocol")
-            .alias("context_flag"),
-        )
-    )
+        table(spark, sf_dir, "events")
+        .selectExpr("event_id", "user_id", "event_type", "value", "cast(get_json_object(props, '$.k') AS int) AS k",
+                    f"(unix_micros(cast(ts AS timestamp)) - {T0_US}) div 20 AS coff")
+        .selectExpr("*", f"{_CODE} AS code")
+        .selectExpr(
+            "event_id", "user_id", "k", "event_type", "value AS raw_value",
+            "concat('Patient/', user_id) AS patient_id",
+            f"CASE WHEN event_id % 17 <> 0 THEN concat('Encounter/', user_id, '-', coff div {12 * HOUR}) END"
+            " AS encounter_id",
+            f"{T0_US} + coff AS event_us", f"{T0_US} + coff + (event_id % 13) * {MINUTE} AS ingest_us",
+            "concat('ev-', event_id) AS idempotency_key", "code", f"{_READING} AS reading", f"{_UNIT} AS unit",
+            "CASE WHEN event_id % 29 = 0 THEN 'entered-in-error' ELSE 'final' END AS status",
+            "CASE k WHEN 0 THEN 'comfort_care' WHEN 1 THEN 'already_on_sepsis_protocol' END AS context_flag"))
 
 
 def with_redeliveries(rows: DataFrame) -> DataFrame:
@@ -82,25 +65,14 @@ def with_redeliveries(rows: DataFrame) -> DataFrame:
 
 def envelopes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The projection as stream records holding a nested Observation resource, with redeliveries."""
-    r = with_redeliveries(readings(spark, sf_dir))
-    coding = F.array(F.struct(F.lit("http://loinc.org").alias("system"), F.col("code").alias("code"),
-                              F.lit(None).cast("string").alias("display")))
-    resource = F.struct(
-        F.lit("Observation").alias("resourceType"),
-        F.col("event_id").cast("string").alias("id"),
-        F.col("status").alias("status"),
-        F.struct(coding.alias("coding"), F.lit(None).cast("string").alias("text")).alias("code"),
-        F.struct(F.col("reading").alias("value"), F.col("unit").alias("unit"),
-                 F.lit(None).cast("string").alias("code")).alias("valueQuantity"),
-        F.lit(None).cast("int").alias("valueInteger"),
-        F.lit(None).cast("boolean").alias("valueBoolean"),
-    )
-    return r.select(
-        "event_id", "patient_id", "encounter_id", F.lit("Observation").alias("resource_type"),
-        resource.alias("resource"), "event_us", "ingest_us", "idempotency_key",
-        F.when(F.col("context_flag").isNotNull(), F.array("context_flag"))
-        .otherwise(F.array().cast("array<string>")).alias("context_flags"),
-    )
+    resource = """named_struct('resourceType', 'Observation', 'id', cast(event_id AS string), 'status', status,
+      'code', named_struct('coding', array(named_struct('system', 'http://loinc.org', 'code', code,
+        'display', cast(null AS string))), 'text', cast(null AS string)),
+      'valueQuantity', named_struct('value', reading, 'unit', unit, 'code', cast(null AS string)),
+      'valueInteger', cast(null AS int), 'valueBoolean', cast(null AS boolean)) AS resource"""
+    return with_redeliveries(readings(spark, sf_dir)).selectExpr(
+        "event_id", "patient_id", "encounter_id", "'Observation' AS resource_type", resource, "event_us", "ingest_us",
+        "idempotency_key", "if(context_flag IS NULL, cast(array() AS array<string>), array(context_flag)) AS context_flags")
 
 
 def medications(spark: SparkSession, sf_dir: str) -> DataFrame:
