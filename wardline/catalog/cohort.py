@@ -155,9 +155,10 @@ u AS (SELECT config_id, sum({_u('emit')}) AS observed, sum({_u('(iculos >= great
 SELECT config_id, {_rs('observed')}, {_rs('best')}, {_rs('inaction')}, round((observed - inaction) / (best - inaction) + 1e-9, 6)::DOUBLE AS normalised FROM u""")
 def cohort_utility(spark: SparkSession, sf: str) -> DataFrame:
     """Time-dependent utility of the governed alerts of each profile."""
-    g = evaluated(spark, sf, FIVE)
-    grid = g.select("config_id", "stay_id", "iculos", "sepsis_label")
-    pred = C.predictions(grid, g.where("emit"), ("config_id", "stay_id"))
+    hours = P.hourly_stays(spark, sf)
+    names = F.array(*[F.lit(c.candidate_id) for c in FIVE])
+    grid = hours.select("stay_id", "iculos", "sepsis_label", F.explode(names).alias("config_id"))
+    pred = C.predictions(grid, C.evaluate_hours(hours, FIVE).where("emit"), ("config_id", "stay_id"))
     return C.utility(pred, keys=["config_id"]).select("config_id", *[_r(c) for c in ("observed", "best", "inaction", "normalised")])
 
 

@@ -40,6 +40,13 @@ def largest_key(df: DataFrame, keys: Sequence[str]) -> int:
     return int(row["n"] or 0)
 
 
+def _partitions(df: DataFrame, wanted: int | None) -> int:
+    spark = df.sparkSession
+    return wanted or max(
+        int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism
+    )
+
+
 def _rows(batch: pa.RecordBatch, names: Sequence[str]) -> Iterator[tuple]:
     index = batch.schema.get_field_index
     return zip(*[batch.column(index(n)).to_pylist() for n in names])
@@ -64,12 +71,15 @@ def ordered_fold(
     hot_rows: int = HOT_ROWS,
     hot: bool | None = None,
     partitions: int | None = None,
+    spread: bool = False,
 ) -> DataFrame:
     """Fold ``step`` over every key in order and return its outputs.
 
     ``step(state, row)`` gets the ``inputs`` of a row and returns the next state and the output
     tuple (or ``None`` for no output). ``keep`` columns are passed through in front of it. ``hot``
-    says whether a key is over ``hot_rows``; when not given it is counted.
+    says whether a key is over ``hot_rows``; when not given it is counted. ``spread`` gives the fold its
+    own exchange on the keys: worth it when the rows were multiplied after the last one, as every task
+    would otherwise fold many times what it read.
     """
     keys, order, inputs, keep = list(keys), list(order), list(inputs), list(keep)
     columns = list(dict.fromkeys([*keys, *order, *inputs, *keep]))
@@ -79,6 +89,8 @@ def ordered_fold(
     if hot is None:
         hot = largest_key(df, keys) > hot_rows
     if not hot:
+        if spread:
+            df = df.repartition(_partitions(df, partitions), *keys)
         return _clustered(df, keys, order, inputs, step, start, out_schema, arrow_out, keep)
     return _ranged(df, keys, order, inputs, step, start, out_schema, arrow_out, keep, partitions)
 
@@ -112,10 +124,7 @@ _TAIL = T.StructType(
 
 
 def _ranged(df, keys, order, inputs, step, start, out_schema, arrow_out, keep, partitions):
-    spark = df.sparkSession
-    n = partitions or max(
-        int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism
-    )
+    n = _partitions(df, partitions)
     # Range bounds are sampled, so the placement is written down before anything relies on it.
     placed = checkpointed(
         df.repartitionByRange(n, *keys, *order)

@@ -151,7 +151,7 @@ def suppressing_flag(g: Governance, columns: Sequence[str]) -> Column:
 def govern(alerts: DataFrame, config: Governance | Mapping[str, Governance],
            keys: Sequence[str] = ("patient_id",), order: Sequence[str] = ("event_us", "idempotency_key"),
            components: Sequence[str] = (), keep: Sequence[str] | None = None,
-           hot: bool | None = None) -> DataFrame:
+           hot: bool | None = None, spread: bool = False) -> DataFrame:
     """Run governance over alerts, including those with tier ``none`` (they end a streak).
 
     With several configurations, the rows carry ``config_id`` and it is one of the keys. ``components``
@@ -183,7 +183,7 @@ def govern(alerts: DataFrame, config: Governance | Mapping[str, Governance],
         points = {c: p for c, p in zip(names, rest) if p is not None}
         return st, govern_one(st, g, event_us, enc, score, tier, flag, positive, points, quality)
 
-    return ordered_fold(ready, keys, order, inputs, step, governance_start, DECISION, keep=keep, hot=hot)
+    return ordered_fold(ready, keys, order, inputs, step, governance_start, DECISION, keep=keep, hot=hot, spread=spread)
 
 
 def streaks(alerts: DataFrame, g: Governance, keys: Sequence[str] = ("patient_id",),

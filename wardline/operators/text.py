@@ -23,11 +23,12 @@ LEAK_PATTERNS = (
 
 
 def _found(text: Column, name: str, code: str, pattern: str, unit: str | None) -> Column:
-    start = F.regexp_instr(text, F.lit(pattern)) - 1
+    # The text is searched once; the rest looks at the match. Its first occurrence is where it matched.
     match = F.regexp_extract(text, pattern, 0)
-    return F.when(start >= 0, F.struct(
+    start = F.instr(text, match) - 1
+    return F.when(match != "", F.struct(
         F.lit(name).alias("display"), F.lit(code).alias("code"),
-        F.regexp_extract(text, pattern, 1).cast("double").alias("value"), F.lit(unit).alias("unit"),
+        F.regexp_extract(match, pattern, 1).cast("double").alias("value"), F.lit(unit).alias("unit"),
         start.alias("span_start"), (start + F.length(match)).alias("span_end"), match.alias("span_text"),
         F.lit(NOTE_CONFIDENCE).alias("confidence")))
 

@@ -269,4 +269,4 @@ def _folded(rows: DataFrame, keys: Sequence[str]) -> DataFrame:
 
     return ordered_fold(
         rows.withColumn("_first", order), list(keys), ["event_us", "_first", "evidence_id"], _INPUTS, step,
-        timeline_start, RESULT, keep=[*rows.columns], hot=True)
+        timeline_start, RESULT, keep=[c for c in rows.columns if c not in RESULT.fieldNames()], hot=True)

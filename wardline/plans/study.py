@@ -110,7 +110,7 @@ def ablated(signals: DataFrame, candidates: Sequence[Candidate], hot: bool | Non
     # The candidate list is a fixed study setting.
     rows = signals.withColumn("config_id", F.explode(F.array(*[F.lit(c.candidate_id) for c in governed])))
     out = govern(rows, {c.candidate_id: c.governance for c in governed}, keys=("stay_id", "indicator", "config_id"),
-                 order=("event_us", "alert_id"), keep=cols, hot=hot).select(*cols, "emit", "routing")
+                 order=("event_us", "alert_id"), keep=cols, hot=hot, spread=True).select(*cols, "emit", "routing")
     for c in free:
         out = out.unionByName(signals.withColumn("config_id", F.lit(c.candidate_id)).select(
             *cols, F.lit(True).alias("emit"),
