@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from wardline.catalog.base import ARRIVED, SCORED, SNAPSHOTS, alert_source, governance_sql, query
+from wardline.catalog.episodes import SIGNALS_SQL, episode_sql
 from wardline.catalog.governance import ACTIVE
 from wardline.functions.scores import SOFA_COMPONENTS
 from wardline.session import new_path
@@ -73,3 +74,28 @@ SELECT pk AS patient_id, event_us, emit, reason, routing FROM gov WHERE rn > 0""
 def stream_governed_alerts(spark: SparkSession, sf: str) -> DataFrame:
     """Alerts governed as they stream, with a restart in between."""
     return pipeline(spark, sf, [S1, S2]).read("alerts").select("patient_id", "event_us", "emit", "reason", "routing")
+
+
+@query("stream_episodes", "EPI-2 EPI-3 EPI-4 STR-10", f"""WITH RECURSIVE {SIGNALS_SQL.replace('sig AS (SELECT * FROM sofa_alerts UNION ALL SELECT * FROM pressure UNION ALL SELECT * FROM control)', 'sig AS (SELECT * FROM sofa_alerts)')},
+{episode_sql()}
+SELECT pk, event_us, signal_id, no AS episode_no, action, reason, status, pages AS page_count FROM ep WHERE rn > 0 AND action <> 'skip'""")
+def stream_episodes(spark: SparkSession, sf: str) -> DataFrame:
+    """Episodes over the stream of governed alerts."""
+    return pipeline(spark, sf, [S1, S2, S3]).read("episodes").select(
+        F.concat_ws("#", "patient_id", "encounter_key").alias("pk"), "event_us", "signal_id", "episode_no", "action", "reason", "status", "page_count")
+
+
+@query("stream_kidney", "STR-8 PRJ-15 AKI-2 AKI-4", f"""WITH {ARRIVED},
+u AS (SELECT * FROM arr WHERE NOT late AND status = 'final'),
+v AS (SELECT *, last_value(encounter_id IGNORE NULLS) OVER (PARTITION BY patient_id ORDER BY event_us, idempotency_key ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS eb FROM u),
+w AS (SELECT *, sum(CASE WHEN encounter_id <> eb THEN 1 ELSE 0 END) OVER (PARTITION BY patient_id ORDER BY event_us, idempotency_key ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS scope FROM v),
+c AS (SELECT *, min(reading) OVER (PARTITION BY patient_id, scope ORDER BY event_us, idempotency_key ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS older,
+  min(reading) OVER (PARTITION BY patient_id, scope ORDER BY event_us, idempotency_key ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS ref48
+  FROM w WHERE code = '2160-0' AND unit <> 'bad'),
+d AS (SELECT *, coalesce(older, reading) AS base FROM c)
+SELECT patient_id, event_us, CASE WHEN reading >= 4 OR reading / base >= 3 THEN 3 WHEN reading / base >= 2 THEN 2 WHEN reading / base >= 1.5 OR reading - ref48 >= 0.3 THEN 1 ELSE 0 END AS stage,
+  round(base, 6) AS baseline_7d FROM d""")
+def stream_kidney(spark: SparkSession, sf: str) -> DataFrame:
+    """Kidney stage of every creatinine record as it streams; histories start anew with each encounter."""
+    out = pipeline(spark, sf, [J.Pipeline.records_to_kidney]).read("kidney").where("reason IS NULL")
+    return out.select("patient_id", "event_us", "stage", F.round("baseline_7d", 6).alias("baseline_7d"))

@@ -73,8 +73,9 @@ def kidney_stream(recs: DataFrame) -> DataFrame:
     """Kidney stage after every kidney record, refused records with their reason."""
     good, bad = _split_unreadable(recs)
     none = F.lit(None).cast("double")
+    usable = ~F.coalesce(F.col("reason").startswith("invalid_status"), F.lit(False))
     mapped = mapping.map_kidney(good).withColumn("component", F.when(
-        mapping.primary_code(F.col("resource").code).isNotNull() & F.col("reason").isNull(), "kidney"))
+        mapping.primary_code(F.col("resource").code).isNotNull() & usable, "kidney"))
     flat = _with_clock(mapped.select(
         "patient_id", "encounter_id", "event_us", "ingest_us", "idempotency_key", "component", "reason",
         F.array_min("context_flags").alias("context_flag"), "kind", "evidence_id", "creatinine", none.alias("volume_ml"), "duration_h",
@@ -140,6 +141,9 @@ class Pipeline:
 
         run_available(snapshot_stream(json_records(self.spark, self.incoming)), out, self.at("ck_snapshots"), split)
 
+    def records_to_kidney(self) -> None:
+        run_available(kidney_stream(json_records(self.spark, self.incoming)), self.at("kidney"), self.at("ck_kidney"))
+
     def snapshots_to_alerts(self) -> None:
         src = self.spark.readStream.schema(PR.SNAPSHOT_OUT).parquet(self.at("snapshots") + "/*")
         run_available(governed_stream(scored_stream(src, self.bundle), self.bundle), self.at("alerts"), self.at("ck_alerts"))

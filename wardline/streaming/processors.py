@@ -56,6 +56,10 @@ class RecordProcessor(StatefulProcessor):
     def apply(self, state: Any, row: dict) -> tuple[Any, tuple | None]:
         raise NotImplementedError
 
+    def refused(self, state: Any, row: dict) -> Any:
+        """State after a row that was refused; most leave it alone."""
+        return state
+
     def blank(self) -> tuple:
         raise NotImplementedError
 
@@ -105,6 +109,7 @@ class RecordProcessor(StatefulProcessor):
             if (row["idempotency_key"] or "").startswith(FLUSH_PREFIX):
                 continue
             if row["reason"] is not None:
+                state = self.refused(state, row)
                 yield self._out(row, row["reason"], None)
                 continue
             state, values = self.apply(state, row)
@@ -180,15 +185,16 @@ class KidneyProcessor(RecordProcessor):
     def blank(self):
         return (None,) * (1 + len(timeline.RESULT.fields))
 
-    def apply(self, state, row):
+    def refused(self, state, row):
+        # Any coded observation of usable status moves the encounter, even when its value is refused.
         now, s = state
         encounter = (row["encounter_id"] or "").strip() or None
-        if row["component"] is None:
-            return state, None
-        if encounter is not None:
-            if now is not None and encounter != now:
-                s = timeline.timeline_start()
-            now = encounter
+        if row["component"] is None or encounter is None:
+            return state
+        return encounter, (timeline.timeline_start() if now is not None and encounter != now else s)
+
+    def apply(self, state, row):
+        now, s = self.refused(state, row)
         if row["kind"] is None:
             return (now, s), None
         s = timeline.timeline_one(s, (row["kind"], row["event_us"], row["evidence_id"], row["creatinine"], row["volume_ml"],
