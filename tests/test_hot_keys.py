@@ -55,6 +55,15 @@ def test_governance(env):
          governance.govern(rows, g, components=SOFA_COMPONENTS, keep=keep, hot=True), [*keep, "reason", "routing", "crossings"])
 
 
+def test_streaks(env):
+    g = load_bundle("sepsis-sofa").governance
+    rows = snapshots.alerts(env, shape=PLAIN).drop("scope", "encounter_now")
+    a = latest.encounter_scope(rows, null_opens=True)
+    same(a, latest.encounter_scope(rows, null_opens=True, hot=True), ["idempotency_key", "scope", "encounter_now"])
+    cols = ["idempotency_key", "crossings", "first_us", "first_score"]
+    same(governance.streaks(a, g), governance.streaks(a, g, hot=True), cols)
+
+
 def test_episodes(spark, sf):
     from wardline.catalog.episodes import signals
 

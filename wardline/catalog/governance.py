@@ -96,8 +96,8 @@ FROM (SELECT *, coalesce(event_us < max(event_us) OVER (PARTITION BY patient_id
   ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), false) AS ooo FROM arr) GROUP BY patient_id""")
 def late_marks(spark: SparkSession, sf: str) -> DataFrame:
     """Late (beyond five minutes) and merely out-of-order arrivals per patient."""
-    rows, _ = snap.arrived(P.envelopes(spark, sf).drop("resource"))
-    rows = rows.withColumn("ooo", latest.out_of_order(rows, ["patient_id"], ["ingest_us", "event_id"]))
+    rows, shape = snap.arrived(P.envelopes(spark, sf).drop("resource"))
+    rows = latest.mark_out_of_order(rows, "ooo", shape.hot)
     return rows.groupBy("patient_id").agg(
         F.count(F.lit(1)).alias("n"), F.count_if("late").alias("n_late"),
         F.count_if("ooo").alias("n_out_of_order"))
@@ -113,11 +113,34 @@ def crossing_streaks(spark: SparkSession, sf: str) -> DataFrame:
     """Threshold-crossing streaks by windows: size, first time, first score."""
     from pyspark.sql import Window
 
-    rows = snap.alerts(P.envelopes(spark, sf))
-    scoped = latest.encounter_scope(rows.drop("scope", "encounter_now"), null_opens=True)
+    env = P.envelopes(spark, sf)
+    shape = latest.shape_of(env)
+    rows = snap.alerts(env, shape=shape)
+    scoped = latest.encounter_scope(rows.drop("scope", "encounter_now"), null_opens=True, hot=shape.hot)
     w = Window.partitionBy("patient_id", "scope").orderBy("event_us", "idempotency_key").rowsBetween(
         Window.unboundedPreceding, 0)
     flag = F.min(G.suppressing_flag(ACTIVE, rows.columns)).over(w)
     shown = scoped.withColumn("_flag", flag).where(
         F.col("_flag").isNull() | (F.col("tier") == "none") | F.col("score").isNull())
-    return G.streaks(shown, ACTIVE).select("patient_id", "event_us", "crossings", "first_us", "first_score")
+    return G.streaks(shown, ACTIVE, hot=shape.hot).select("patient_id", "event_us", "crossings", "first_us", "first_score")
+
+
+QUALITY = ACTIVE.patched(
+    page_gate_enabled=False, quality_gate_enabled=True, quality_max_data_age_minutes=10, quality_require_critical_inputs=True,
+    quality_require_trusted_source=True, quality_reject_ood=True)
+_QUALITY_SQL = """CASE WHEN event_id % 13 > 10 THEN 'quality_stale' WHEN event_id % 7 = 0 THEN 'quality_invalid' WHEN event_id % 11 = 0 THEN 'quality_contradictory'
+  WHEN event_id % 5 = 0 THEN 'quality_missing_critical' WHEN event_id % 17 = 2 THEN 'quality_untrusted_source' WHEN event_id % 19 = 0 THEN 'quality_ood' END"""
+
+
+@query("governed_alerts_quality_gate", "GOV-12", f"WITH RECURSIVE {SCORED}, {alert_source(QUALITY).replace('NULL::VARCHAR AS quality', _QUALITY_SQL + ' AS quality')}, "
+       f"{governance_sql('src', QUALITY, SOFA_COMPONENTS)} SELECT {DECISION_SQL} FROM gov WHERE rn > 0")
+def governed_quality(spark: SparkSession, sf: str) -> DataFrame:
+    """Pages deferred because the data behind them is stale, invalid, contradictory, incomplete, untrusted or odd."""
+    env = P.envelopes(spark, sf)
+    shape = latest.shape_of(env)
+    rows = snap.alerts(env, shape=shape).selectExpr(
+        "*", "event_id % 13 AS data_age_minutes", "event_id % 7 = 0 AS invalid_observation", "event_id % 11 = 0 AS contradictory_observations",
+        "if(event_id % 5 = 0, array('map'), cast(array() AS array<string>)) AS missing_critical_inputs",
+        "if(event_id % 17 = 2, 'External', 'trusted') AS source_trust", "event_id % 19 = 0 AS out_of_distribution")
+    return G.govern(rows, QUALITY, components=SOFA_COMPONENTS, keep=["patient_id"] + ["event_us"], hot=shape.hot).select(
+        "patient_id", "event_us", "emit", "reason", "routing", "crossings")

@@ -30,6 +30,7 @@ from pyspark.sql.pandas.types import to_arrow_schema
 from wardline.session import checkpointed
 
 HOT_ROWS = 1_000_000
+CHUNK_ROWS = 2_000_000
 
 Step = Callable[[Any, tuple], tuple[Any, tuple | None]]
 
@@ -124,7 +125,7 @@ _TAIL = T.StructType(
 
 
 def _ranged(df, keys, order, inputs, step, start, out_schema, arrow_out, keep, partitions):
-    n = _partitions(df, partitions)
+    n = partitions or max(_partitions(df, None), -(-df.count() // CHUNK_ROWS))
     # Range bounds are sampled, so the placement is written down before anything relies on it.
     placed = checkpointed(
         df.repartitionByRange(n, *keys, *order)

@@ -187,11 +187,29 @@ def govern(alerts: DataFrame, config: Governance | Mapping[str, Governance],
 
 
 def streaks(alerts: DataFrame, g: Governance, keys: Sequence[str] = ("patient_id",),
-            order: Sequence[str] = ("event_us", "idempotency_key")) -> DataFrame:
-    """Crossing streaks as windows: number, first time and score, count of distinct times.
+            order: Sequence[str] = ("event_us", "idempotency_key"), hot: bool = False) -> DataFrame:
+    """Crossing streaks: first time and score, count of distinct times.
 
-    Rows must already be in event order, carry ``scope`` and hold no context-suppressed rows.
+    Rows carry ``scope`` and hold no context-suppressed rows. ``hot`` folds instead of using windows, for
+    keys of any size.
     """
+    if hot:
+        gap_us = g.resolution_gap_minutes * MINUTE_US
+
+        def step(s, row):
+            scope, at, score, tier = row
+            if score is None or tier == "none":
+                return (scope, 0, None, None, None), None
+            if s[0] != scope or s[1] == 0 or at - s[4] > gap_us:
+                s = (scope, 1, at, score, at)
+            else:
+                s = (scope, s[1] + (at != s[4]), s[2], s[3], at)
+            return s, (s[1], s[2], s[3])
+
+        out = T.StructType([T.StructField("crossings", T.IntegerType()), T.StructField("first_us", T.LongType()),
+                            T.StructField("first_score", T.IntegerType())])
+        return ordered_fold(alerts, keys, order, ["scope", "event_us", "score", "tier"], step, lambda: (None, 0, None, None, None),
+                            out, keep=alerts.columns, hot=True)
     w = Window.partitionBy(*keys, "scope").orderBy(*order)
     below = (F.col("tier") == "none") | F.col("score").isNull()
     segmented = alerts.withColumn(

@@ -112,19 +112,31 @@ def mark_late(df: DataFrame, hot: bool | None = None, lateness_us: int = LATENES
                         T.StructType([T.StructField("late", T.BooleanType())]), keep=df.columns, hot=True)
 
 
-def out_of_order(df: DataFrame, keys: Sequence[str], arrival: Sequence[str], event: str = "event_us") -> Column:
-    """True where an earlier arrival of the key already had a later event time."""
-    w = Window.partitionBy(*keys).orderBy(*arrival).rowsBetween(Window.unboundedPreceding, -1)
-    return F.coalesce(F.col(event) < F.max(event).over(w), F.lit(False))
+def mark_out_of_order(df: DataFrame, name: str = "out_of_order", hot: bool | None = None) -> DataFrame:
+    """Add a flag: an earlier arrival of the patient already had a later event time."""
+    before = df.columns
+    return mark_late(df.withColumnRenamed("late", "_late"), hot, 0).withColumnRenamed("late", name).withColumnRenamed(
+        "_late", "late").select(*before, name)
 
 
 def encounter_scope(df: DataFrame, order: Sequence[str] = ("event_us", "idempotency_key"),
-                    keys: Sequence[str] = ("patient_id",), null_opens: bool = False) -> DataFrame:
+                    keys: Sequence[str] = ("patient_id",), null_opens: bool = False, hot: bool = False) -> DataFrame:
     """Add ``scope`` (counts encounter changes) and ``encounter_now`` (sticky encounter).
 
     A row without an encounter stays in the current scope. ``null_opens`` makes the step from "no
     encounter yet" to a named one a change too, as governance wants it.
     """
+    if hot:
+        def step(state, row):
+            now, scope = state
+            named = (row[0] or "").strip() or None
+            if named is not None and named != now:
+                scope += now is not None or null_opens
+                now = named
+            return (now, scope), (now, scope)
+
+        out = T.StructType([T.StructField("encounter_now", T.StringType()), T.StructField("scope", T.LongType())])
+        return ordered_fold(df, keys, order, ["encounter_id"], step, lambda: (None, 0), out, keep=df.columns, hot=True)
     named = F.nullif(F.trim("encounter_id"), F.lit(""))
     w = Window.partitionBy(*keys).orderBy(*order)
     before = F.last(named, ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, -1))
