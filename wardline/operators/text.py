@@ -14,6 +14,9 @@ NOTE_PATTERNS = (
     ("MAP", "8478-0", r"(?i)(?:MAP|mean\s+arterial\s+pressure)\s*(?:of|=|:)?\s*(\d+(?:\.\d+)?)\s*mmHg", "mmHg"),
 )
 NOTE_CONFIDENCE = 0.85
+# A word that every match of the pattern contains.
+NOTE_WORDS = {"Platelets": ("platelet",), "Bilirubin": ("bilirubin",), "Creatinine": ("creatinine",), "GCS": ("gcs", "glasgow"),
+              "MAP": ("map", "mean")}
 
 # Identifier patterns that must not appear in shared text.
 LEAK_PATTERNS = (
@@ -22,9 +25,8 @@ LEAK_PATTERNS = (
 )
 
 
-def _found(text: Column, name: str, code: str, pattern: str, unit: str | None) -> Column:
-    # The text is searched once; the rest looks at the match. Its first occurrence is where it matched.
-    match = F.regexp_extract(text, pattern, 0)
+def _found(text: Column, match: Column, name: str, code: str, pattern: str, unit: str | None) -> Column:
+    # The first occurrence of the matched text is where it matched; its number is read from the match alone.
     start = F.instr(text, match) - 1
     return F.when(match != "", F.struct(
         F.lit(name).alias("display"), F.lit(code).alias("code"),
@@ -35,15 +37,26 @@ def _found(text: Column, name: str, code: str, pattern: str, unit: str | None) -
 
 def extract_notes(notes: DataFrame, text: str = "text") -> DataFrame:
     """First mention of each measurement as an array, with an abstain status when there is none."""
-    found = F.array_compact(F.array(*[_found(F.col(text), *p) for p in NOTE_PATTERNS]))
-    blank = F.trim(F.coalesce(text, F.lit(""))) == ""
-    return notes.withColumn("observations", found).withColumn(
-        "extraction_status", F.when(blank | (F.size("observations") == 0), "abstain").otherwise("ok"))
+    # Each text is searched once per pattern; a projection of its own keeps the matches from being redone.
+    # Every pattern needs one of its words, and looking for a word is far cheaper than the pattern.
+    notes = notes.withColumn("_lower", F.lower(F.coalesce(text, F.lit(""))))
+    matches = {}
+    for i, (name, _, pattern, _) in enumerate(NOTE_PATTERNS):
+        worth = F.lit(False)
+        for word in NOTE_WORDS[name]:
+            worth = worth | F.contains("_lower", F.lit(word))
+        matches[f"_m{i}"] = F.when(worth, F.regexp_extract(text, pattern, 0)).otherwise("")
+    notes = notes.withColumns(matches)
+    found = F.array_compact(F.array(*[_found(F.col(text), F.col(m), *p) for m, p in zip(matches, NOTE_PATTERNS)]))
+    return notes.withColumn("observations", found).drop(*matches, "_lower").withColumn(
+        "extraction_status", F.when(F.size("observations") == 0, "abstain").otherwise("ok"))
 
 
 def note_observations(extracted: DataFrame, keys: list[str]) -> DataFrame:
     """One row per extracted observation with its position in the note."""
-    return extracted.select(*keys, F.posexplode("observations").alias("index", "o")).select(*keys, "index", "o.*")
+    # The outer form keeps the optimizer from computing the matches once more in a filter below.
+    rows = extracted.select(*keys, F.posexplode_outer("observations").alias("index", "o")).where(F.col("index").isNotNull())
+    return rows.select(*keys, "index", "o.*")
 
 
 def leak_hits(rows: DataFrame, text: str, keys: list[str]) -> DataFrame:
