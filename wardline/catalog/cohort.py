@@ -2,14 +2,12 @@
 
 from __future__ import annotations
 
-from dataclasses import fields
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from wardline.catalog.base import POINTS, POSITIVE, PRESENT, READINGS, TOTAL, governance_sql, joined, query, tier_sql
 from wardline.plans import cohort as C
-from wardline.rules import Governance, PROFILES, candidate, profile, sweep_grid
+from wardline.rules import PROFILES, profile, sweep_grid
 from wardline.session import new_path
 from wardline.sources import projection as P
 

@@ -5,14 +5,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wardline import ids
-from wardline.catalog.base import ARRIVED, READINGS, SNAPSHOTS, joined, query, uuid_sql
+from wardline.catalog.base import ARRIVED, READINGS, SNAPSHOTS, query, uuid_sql
 from wardline.functions import times
 from wardline.operators import evidence, latest, mapping, text
 from wardline.plans import snapshots as snap
-from wardline.rules import BUNDLES, bundle_table, newest_rules
+from wardline.rules import bundle_table, newest_rules
 from wardline.session import new_path
-from wardline.sources import fhir, icu, projection as P, records, stays
+from wardline.sources import fhir, projection as P, records, stays
 
 UTC0 = "1704067200000000"
 

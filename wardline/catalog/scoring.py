@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wardline.catalog.base import SCORED, SNAPSHOTS, alert_id_sql, joined, query
+from wardline.catalog.base import SCORED, alert_id_sql, joined, query
 from wardline.plans import snapshots as snap
 from wardline.sources import projection as P
 

@@ -5,9 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wardline.catalog.base import ARRIVED, MISSING, POINTS, READINGS, SCORED, joined, query
+from wardline.catalog.base import READINGS, SCORED, joined, query
 from wardline.functions.scores import SOFA_COMPONENTS
-from wardline.operators import latest
 from wardline.plans import snapshots as snap
 from wardline.plans import stewardship as SW
 from wardline.plans import uncertainty as U

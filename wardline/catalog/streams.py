@@ -12,7 +12,6 @@ from wardline.functions.scores import SOFA_COMPONENTS
 from wardline.session import new_path
 from wardline.sources import projection as P
 from wardline.streaming import jobs as J
-from wardline.streaming import sinks
 
 _TXT = "date_format(timestamp_micros({}), \"yyyy-MM-dd'T'HH:mm:ss.SSSSSS'Z'\")"
 

@@ -126,8 +126,6 @@ def infections(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def hourly_stays(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Sparse hourly stay rows: one per event, hour number by event order within the user."""
-    from pyspark.sql import Window
-
     from wardline.operators.latest import numbered
 
     r = readings(spark, sf_dir)
