@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chunk_bpe, mixing, simhash, token_files, url_rules
+from . import chunk_bpe, embedding_tiles, kd_search, language_crf, mixing, simhash, token_files, url_rules
 from .common import table
 
 #: Fixed values of the contract: (host, path, verdict).
@@ -30,6 +30,10 @@ def op3_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_rules.judged(table(spark, sf_dir, "pages"), rules)
 
 
+def op4_embedding_tiles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embedding_tiles.near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
 def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mixed(table(spark, sf_dir, "documents"))
 
@@ -38,6 +42,14 @@ def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op8_language_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_crf.languages(table(spark, sf_dir, "documents"))
+
+
+def op9_kd_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return kd_search.top_k(table(spark, sf_dir, "embeddings"))
+
+
 URL_SQL = """
 WITH parts AS (
   SELECT page_id, CASE WHEN instr(url, '://') > 0 THEN substr(url, instr(url, '://') + 3) ELSE '' END AS rest FROM pages),
@@ -53,6 +65,17 @@ SELECT page_id, host, path, max_by(r_rule, size) AS rule, coalesce(max_by(r_verd
 FROM (SELECT *, row_number() OVER () AS r FROM fit) GROUP BY page_id, host, path
 """
 
+TOP_SQL = """
+WITH v AS (
+  SELECT vec_id, list_transform(embedding, lambda x: floor(64 * x::DOUBLE)::BIGINT) AS c FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+p AS (
+  SELECT q.vec_id AS query_id, b.vec_id, list_sum(list_transform(list_zip(q.c, b.c), lambda z: z[1] * z[2]))::BIGINT AS score
+  FROM v q JOIN v b ON q.vec_id <> b.vec_id WHERE q.vec_id % 20 = 0),
+r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INTEGER AS rank FROM p)
+SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 20
+"""
+
 MIX_SQL = r"""
 WITH d AS (
   SELECT doc_id, source, md5(doc_id::VARCHAR || 'mix') AS h, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::BIGINT AS size FROM documents),
@@ -78,8 +101,8 @@ FROM r GROUP BY doc_id, source, place, size, source_size, target
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_token_files, op2_chunk_bpe, op3_url_rules, op5_mixing, op7_simhash)}
+    return {f.__name__: f for f in (op1_token_files, op2_chunk_bpe, op3_url_rules, op4_embedding_tiles, op5_mixing, op7_simhash, op8_language_crf, op9_kd_search)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_url_rules": URL_SQL, "op5_mixing": MIX_SQL}
+    return {"op3_url_rules": URL_SQL, "op5_mixing": MIX_SQL, "op9_kd_search": TOP_SQL}
