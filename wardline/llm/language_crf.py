@@ -100,8 +100,9 @@ class Model:
         return out
 
 
-def forward_backward(lengths: np.ndarray, at: np.ndarray, emit: np.ndarray, switch: np.ndarray, first: np.ndarray) -> np.ndarray:
-    """Posteriors of every word, sequence after sequence. ``at``: each word's row in ``emit``, the probabilities' positive factors."""
+def forward_backward(lengths: np.ndarray, at: np.ndarray, emit: np.ndarray, switch: np.ndarray, first: np.ndarray, pairs: bool = False):
+    """Posteriors of every word, sequence after sequence. ``at``: each word's row in ``emit``, the probabilities' positive factors.
+    ``pairs``: also the expected number of times each language follows each."""
     order = np.argsort(-lengths, kind="stable")
     starts, longest = (np.cumsum(lengths) - lengths)[order], int(lengths.max(initial=0))
     active = np.searchsorted(-lengths[order], -np.arange(longest), side="left")  # sequences longer than t
@@ -111,16 +112,20 @@ def forward_backward(lengths: np.ndarray, at: np.ndarray, emit: np.ndarray, swit
         a = emit[at[starts[:m] + t]] * (first if t == 0 else a[:m] @ switch)
         a /= a.sum(axis=1, keepdims=True)
         alpha[starts[:m] + t] = a
-    b = np.ones((len(lengths), len(first)), emit.dtype)
+    b, followed = np.ones((len(lengths), len(first)), emit.dtype), np.zeros(switch.shape)
     for t in range(longest - 1, -1, -1):
         m = active[t]
         rows = starts[:m] + t
         posterior = alpha[rows] * b[:m]
         alpha[rows] = posterior / posterior.sum(axis=1, keepdims=True)
         if t:
-            before = (emit[at[rows]] * b[:m]) @ switch.T
+            ahead = emit[at[rows]] * b[:m]
+            before = ahead @ switch.T
+            if pairs:
+                joint = alpha[rows - 1][:, :, None] * switch * ahead[:, None, :]
+                followed += (joint / joint.sum(axis=(1, 2), keepdims=True)).sum(axis=0)
             b[:m] = before / before.sum(axis=1, keepdims=True)
-    return alpha
+    return (alpha, followed) if pairs else alpha
 
 
 def _positive(emissions: np.ndarray) -> np.ndarray:
@@ -169,13 +174,10 @@ def fit(spans: list[tuple[str, list[str]]], seed: int = 7) -> Model | None:
                 scores += np.add.reduceat(model.weights[slots], np.cumsum(counts[used]) - counts[used], axis=0)
             emit = _positive(scores)
             switch, first = np.exp(model.switch), np.exp(model.first)
-            posterior = forward_backward(lengths, place, emit, switch, first)
-            # expected switches need pairs of neighbours: alpha (one-sided) is not kept, so they are approximated by the posteriors' product weighted by the switch
+            posterior, followed = forward_backward(lengths, place, emit, switch, first, pairs=True)
             inner = np.ones(len(at), bool)
             inner[np.cumsum(lengths) - lengths] = False
             here = np.flatnonzero(inner)
-            joint = posterior[here - 1][:, :, None] * switch[None] * posterior[here][:, None, :]
-            joint /= joint.sum(axis=(1, 2), keepdims=True)
             observed = np.zeros((k, k))
             np.add.at(observed, (gold[here - 1], gold[here]), 1)
             error = posterior.copy()
@@ -189,7 +191,7 @@ def fit(spans: list[tuple[str, list[str]]], seed: int = 7) -> Model | None:
             starts = np.cumsum(lengths) - lengths
             step("weights", gradient + L2 * model.weights)
             step("lexicon_weights", lexical[used].T @ by_word + L2 * model.lexicon_weights)
-            step("switch", ((joint.sum(axis=0) - observed) / len(chosen)).astype(np.float32) + L2 * model.switch)
+            step("switch", ((followed - observed) / len(chosen)).astype(np.float32) + L2 * model.switch)
             step("first", error[starts].mean(axis=0) + L2 * model.first)
     return model
 

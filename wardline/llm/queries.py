@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chunk_bpe, embedding_tiles, kd_search, language_crf, mixing, simhash, token_files, url_rules
+from . import chunk_bpe, embedding_tiles, kd_search, language_crf, line_edits, mixing, simhash, token_files, url_rules
 from .common import table
 
 #: Fixed values of the contract: (host, path, verdict).
@@ -38,6 +38,10 @@ def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mixed(table(spark, sf_dir, "documents"))
 
 
+def op6_line_edits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_edits.line_classes(table(spark, sf_dir, "documents"))
+
+
 def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
@@ -101,7 +105,7 @@ FROM r GROUP BY doc_id, source, place, size, source_size, target
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_token_files, op2_chunk_bpe, op3_url_rules, op4_embedding_tiles, op5_mixing, op7_simhash, op8_language_crf, op9_kd_search)}
+    return {f.__name__: f for f in (op1_token_files, op2_chunk_bpe, op3_url_rules, op4_embedding_tiles, op5_mixing, op6_line_edits, op7_simhash, op8_language_crf, op9_kd_search)}
 
 
 def oracle_sql() -> dict[str, str]:
