@@ -32,7 +32,7 @@ MASK_BITS = 8  # a chunk in 256 bytes on average
 BATCH_CHARS = 1_000_000
 _PIECE = re.compile("[ \n]*[^ \n]+|[ \n]+")
 _UNSAFE = re.compile("[^\n -~¡-ɏ]")  # beyond printable Latin, also other white space: such a chunk is one piece
-_OUT = pa.schema([("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("ids_sha256", pa.string()), ("decoded_sha256", pa.string())])
+_OUT = pa.schema([("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("ids_sha256", pa.string()), ("decoded_sha256", pa.string()), ("ids", pa.binary())])
 
 
 def _byte_of_char() -> dict[str, int]:
@@ -141,29 +141,34 @@ class ChunkEncoder:
         return out, np.bincount(np.searchsorted(ends, places, side="right"), minlength=len(texts))
 
 
-def _run(spec: str):
+def _run(spec: str, with_ids: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = ChunkEncoder(spec)
+        kind = "<u2" if len(encoder.decoder.lengths) <= 1 << 16 else "<u4"
         for batch in batches:
             docs, texts = batch.column(0), batch.column(1).to_pylist()
             for a, b in slices(texts, BATCH_CHARS):
                 ids, counts = encoder.encode([t or "" for t in texts[a:b]])
                 ends, coded, decoded = np.cumsum(counts).tolist(), [], []
+                packed: list[bytes | None] = []
                 for e, n in zip(ends, counts.tolist()):
                     own = ids[e - n:e]
                     coded.append(hashlib.sha256(own.astype("<u4").tobytes()).hexdigest())
+                    packed.append(own.astype(kind).tobytes() if with_ids else None)
                     decoded.append(hashlib.sha256(encoder.decoder.bytes_of(own).decode("utf-8", "replace").encode()).hexdigest())
-                yield batches_of({"doc_id": docs.slice(a, b - a), "n_tokens": counts, "ids_sha256": coded, "decoded_sha256": decoded}, _OUT)
+                yield batches_of({"doc_id": docs.slice(a, b - a), "n_tokens": counts, "ids_sha256": coded, "decoded_sha256": decoded, "ids": packed}, _OUT)
 
     return run
 
 
-def encoded_documents(docs: DataFrame, tokenizer_file: str, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """(doc_id, n_tokens, ids_sha256, decoded_sha256), one row per row of ``docs``.
+def encoded_documents(docs: DataFrame, tokenizer_file: str, doc_id: str = "doc_id", text: str = "text", with_ids: bool = False) -> DataFrame:
+    """(doc_id, n_tokens, ids_sha256, decoded_sha256), one row per row of ``docs``; ``with_ids``: also the ids, little-endian, of two
+    bytes each where the vocabulary fits, else of four.
 
     Null and empty texts have no ids. Repeated rows are repeated, a null doc_id stays null; other columns are not read. No row moves:
     the only work is the scan's.
     """
     spec = Path(tokenizer_file).read_text(encoding="utf-8")
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    return rows.mapInArrow(_run(spec), "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    out = rows.mapInArrow(_run(spec, with_ids), "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string, ids binary")
+    return out if with_ids else out.drop("ids")

@@ -7,6 +7,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from wardline.session import new_path
 
@@ -46,3 +47,18 @@ def slices(texts: list[str | None], most: int) -> Iterator[tuple[int, int]]:
 
 def batches_of(rows: dict[str, object], schema: pa.Schema) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(rows[f.name], type=f.type) for f in schema], schema=schema)
+
+
+def bit_marks(df: DataFrame, column: str, bits: int) -> bytes:
+    """Marks of the low bits of a long column: 2^bits bits, however many rows there are. Tells which rows elsewhere surely have no partner."""
+    places = df.select(F.col(column).bitwiseAND(F.lit((1 << bits) - 1)).alias("p"))
+    words = places.groupBy(F.expr("shiftright(p, 6) AS w")).agg(F.expr("bit_or(shiftleft(1L, cast(p & 63 AS int))) AS bits"))
+    marks, rows = np.zeros(1 << (bits - 6), np.int64), words.toArrow()
+    marks[rows.column(0).to_numpy()] = rows.column(1).to_numpy()
+    return marks.tobytes()
+
+
+def is_marked(values: np.ndarray, marks: bytes) -> np.ndarray:
+    words = np.frombuffer(marks, np.uint64)
+    place = values.astype(np.int64).view(np.uint64) & np.uint64(len(words) * 64 - 1)
+    return (words[place >> np.uint64(6)] >> (place & np.uint64(63))) & np.uint64(1) == 1

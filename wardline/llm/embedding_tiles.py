@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import batches_of, saved
-from .components import components
+from .components import components, merge_labels
 from .vectors import by_dimension, dealt, usable
 
 TILE_ROWS = 8192
@@ -81,21 +81,6 @@ def linked_pairs(left: tuple, right: tuple, threshold: float, same: bool) -> Ite
         yield i[sure] + at, j[sure]
 
 
-def merge_labels(label: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Labels after linking a and b: each a member's place, at the end the smallest one of its set."""
-    while len(a):
-        x, y = label[a], label[b]
-        apart = x != y
-        a, b, x, y = a[apart], b[apart], x[apart], y[apart]
-        np.minimum.at(label, np.maximum(x, y), np.minimum(x, y))
-        while True:
-            up = label[label]
-            if (up == label).all():
-                break
-            label = up
-    return label
-
-
 def _opened(d: int, *blobs: bytes) -> tuple:
     ids, units, codes, scales, errors = blobs
     return np.frombuffer(ids, "<i8"), np.frombuffer(units).reshape(-1, d), np.frombuffer(codes, np.int8).reshape(-1, d), np.frombuffer(scales), np.frombuffer(errors)

@@ -221,11 +221,13 @@ class Labeller:
         return np.add.reduceat(posterior.astype(np.float64), np.cumsum(lengths) - lengths, axis=0) / lengths[:, None]
 
 
-def _predict(model: Model | None):
+def _predict(model: Model | None, text: int, keep=None):
+    """``keep``: instead of predictions, the rows whose (language, score) it accepts."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         labeller = Labeller(model) if model else None
         for batch in batches:
-            docs, texts = batch.column(0), batch.column(1)
+            texts = batch.column(text)
             best, score = [UNKNOWN] * batch.num_rows, [0.0] * batch.num_rows
             sizes = pa.compute.fill_null(pa.compute.utf8_length(texts), 0).to_numpy(zero_copy_only=False) if labeller else np.zeros(batch.num_rows)
             group: list[tuple[int, list[str]]] = []
@@ -247,7 +249,10 @@ def _predict(model: Model | None):
                     held += len(words)
             if group:
                 flush()
-            yield batches_of({"doc_id": docs, "lang_pred": best, "score": score}, _OUT)
+            if keep:
+                yield batch.filter(pa.array([keep(*x) for x in zip(best, score)], pa.bool_()))
+            else:
+                yield batches_of({"doc_id": batch.column(0), "lang_pred": best, "score": score}, _OUT)
 
     return run
 
@@ -277,6 +282,11 @@ def learned(rows: DataFrame, docs_per_language: int = DOCS_PER_LANGUAGE) -> Mode
     return fit([(r["lang"], list(r["words"])) for r in sample.select("lang", "text").mapInArrow(_spans, "lang string, words array<string>").collect()])
 
 
+def _model(docs: DataFrame, doc_id: str, text: str, lang: str) -> Model | None:
+    learn = F.crc32(F.col(doc_id).cast("string").cast("binary")) % 3 != 1
+    return learned(docs.where(learn).select(F.col(doc_id).alias("key"), F.col(lang).alias("lang"), F.col(text).alias("text")))
+
+
 def languages(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str = "lang") -> DataFrame:
     """(doc_id, held_out, lang_pred, score), one row per row of ``docs``.
 
@@ -284,10 +294,15 @@ def languages(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang:
     score 0, as are all if there is nothing to learn from. A null doc_id is neither learned from nor held out. Repeated rows are repeated; no rows
     give no rows; other columns are not read.
     """
-    rest = F.crc32(F.col(doc_id).cast("string").cast("binary")) % 3
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    model = learned(docs.where(rest != 1).select(F.col(doc_id).alias("key"), F.col(lang).alias("lang"), F.col(text).alias("text")))
+    model = _model(docs, doc_id, text, lang)
     # the model goes along with the function: a fixed number of weights per language
-    out = rows.mapInArrow(_predict(model), "doc_id long, lang_pred string, score double")
+    out = rows.mapInArrow(_predict(model, 1), "doc_id long, lang_pred string, score double")
     held = F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3 == 1, F.lit(False))
     return out.select("doc_id", held.alias("held_out"), "lang_pred", "score")
+
+
+def accepted(docs: DataFrame, least: float = 0.4, doc_id: str = "doc_id", text: str = "text", lang: str = "lang") -> DataFrame:
+    """The rows of ``docs`` in a learned language with a score of at least ``least``; texts that are null or have no letter go. All columns stay as they are."""
+    model = _model(docs, doc_id, text, lang)
+    return docs.mapInArrow(_predict(model, docs.columns.index(text), lambda language, score: language != UNKNOWN and score >= least), docs.schema)

@@ -20,7 +20,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import batches_of, saved
+from .common import batches_of, bit_marks, is_marked, saved
 from .components import components
 
 EDITS = ((32, 2), (16, 1))  # characters from which so many edits are near
@@ -206,15 +206,14 @@ def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield batches_of({"key": np.concatenate(out_key), "line": np.concatenate(out_line)}, _KEYS)
 
 
-def _texts_of(bitmap: bytes):
+def _texts_of(marks: bytes):
     """Lines whose hash is marked; marks of other lines may let more through."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        marks = np.unpackbits(np.frombuffer(bitmap, np.uint8), bitorder="little").astype(bool)
         for lines in _line_slices(batches, 0):
             own = {line_hash(line): line for line in lines}
             hashes = np.fromiter(own, np.int64, len(own))
-            keep = marks[hashes & ((1 << FILTER_BITS) - 1)]
+            keep = is_marked(hashes, marks)
             yield batches_of({"line": hashes[keep], "text": [t for t, k in zip(own.values(), keep.tolist()) if k]}, _LINES)
 
     return run
@@ -294,13 +293,7 @@ def near_links(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     """
     keyed = docs.mapInArrow(_key_rows, "key long, line long").repartition("key").sortWithinPartitions("key", "line")
     shared = saved(keyed.mapInArrow(_shared, "key long, line long"), "line-keys")
-    # marks of the lines' hashes: of fixed size, whatever the number of lines
-    places = shared.select(F.col("line").bitwiseAND(F.lit((1 << FILTER_BITS) - 1)).alias("p"))
-    words = places.groupBy(F.expr("shiftright(p, 6) AS w")).agg(F.expr("bit_or(shiftleft(1L, cast(p & 63 AS int))) AS bits")).collect()
-    marks = np.zeros(1 << (FILTER_BITS - 6), np.int64)
-    for r in words:
-        marks[r["w"]] = r["bits"]
-    texts = docs.mapInArrow(_texts_of(marks.tobytes()), "line long, text string").groupBy("line", "text").agg(F.lit(1).alias("one"))
+    texts = docs.mapInArrow(_texts_of(bit_marks(shared, "line", FILTER_BITS)), "line long, text string").groupBy("line", "text").agg(F.lit(1).alias("one"))
     texts = texts.join(shared.select("line").distinct(), "line", "left_semi")
     texts = saved(texts.select(F.monotonically_increasing_id().alias("number"), "line", "text"), "line-texts")
     sizes = shared.groupBy("key").agg(F.ceil(F.count("*") / CELL_ROWS).cast("int").alias("blocks"))

@@ -38,7 +38,7 @@ def targets(sizes: DataFrame) -> DataFrame:
 
 def ordered_documents(docs: DataFrame, seed: str, doc_id: str, text: str, source: str) -> DataFrame:
     """One row per document with its size, its source's size and target, and the words of its source up to and including it."""
-    rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(source).alias("source"), F.coalesce(F.regexp_count(F.col(text), F.lit(WORD)), F.lit(0)).cast("long").alias("size"))
+    rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(source).alias("source"), F.coalesce(F.regexp_count(F.col(text), F.lit(WORD)), F.lit(0)).cast("long").alias("size"), F.xxhash64(F.col(text)).alias("th"))
     rows = rows.withColumn("h", F.md5(F.concat(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.lit(seed))))
     rows = saved(rows, "mix-sizes")
     goals = targets(rows.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("n")))
@@ -46,13 +46,13 @@ def ordered_documents(docs: DataFrame, seed: str, doc_id: str, text: str, source
     placed = rows.alias("r").join(goals.alias("g"), same).select("r.*", "source_size", "target", "budget", "n")
     share = F.conv(F.substring("h", 1, 8), 16, 10).cast("long") / F.lit(float(1 << 32))
     placed = placed.withColumn("bucket", F.floor(share * F.ceil(F.col("n") / BUCKET_ROWS)))
-    within = Window.partitionBy("source", "bucket").orderBy("h", "doc_id", "size")
+    within = Window.partitionBy("source", "bucket").orderBy("h", "doc_id", "size", "th")
     placed = placed.select("*", F.sum("size").over(within.rowsBetween(Window.unboundedPreceding, 0)).alias("so_far"), F.row_number().over(within).alias("place"))
     sums = placed.groupBy("source", "bucket").agg(F.sum("size").alias("words"))
     sums = sums.select("source", "bucket", F.coalesce(F.sum("words").over(Window.partitionBy("source").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"))
     on = F.col("p.source").eqNullSafe(F.col("s.source")) & (F.col("p.bucket") == F.col("s.bucket"))
     return placed.alias("p").join(sums.alias("s"), on).select(
-        "p.doc_id", "p.source", "p.bucket", "place", "size", "source_size", "target", "budget", (F.col("before") + F.col("so_far")).alias("cum"))
+        "p.doc_id", "p.source", "p.bucket", "place", "th", "size", "source_size", "target", "budget", (F.col("before") + F.col("so_far")).alias("cum"))
 
 
 def line_up(documents: DataFrame) -> DataFrame:
@@ -64,7 +64,7 @@ def line_up(documents: DataFrame) -> DataFrame:
 
 
 def mixed(docs: DataFrame, seed: str = "mix", doc_id: str = "doc_id", text: str = "text", source: str = "source") -> DataFrame:
-    """(doc_id, source, size, source_size, target, taken): one row per row of ``docs``; ``taken`` is its size times its copies in the mix.
+    """(doc_id, source, size, source_size, target, taken, th): one row per row of ``docs``; ``taken`` is its size times its copies in the mix.
 
     A null text has size 0; null is a source of its own, the last; texts of size 0 take no budget and are never taken. Equal doc_ids stand
     next to each other in the shuffled order, the smaller first. The first copy that would exceed the budget ends the mix. No documents
@@ -85,5 +85,16 @@ def mixed(docs: DataFrame, seed: str = "mix", doc_id: str = "doc_id", text: str
         at = F.struct(*[F.lit(first_out[k]).cast(dict(line.dtypes)[k]).alias(k) for k in key])
         taken = (F.col("part") < part) | ((F.col("part") == part) & (F.struct(*key) < at))
     return (
-        line.groupBy("source", "bucket", "place", "doc_id", "size", "source_size", "target").agg(F.sum(F.when(taken, F.col("size")).otherwise(0)).alias("taken"))
-        .select("doc_id", "source", "size", "source_size", "target", "taken"))
+        line.groupBy("source", "bucket", "place", "doc_id", "size", "source_size", "target", "th").agg(F.sum(F.when(taken, F.col("size")).otherwise(0)).alias("taken"))
+        .select("doc_id", "source", "size", "source_size", "target", "taken", "th"))
+
+
+def repeated(docs: DataFrame, seed: str = "mix", doc_id: str = "doc_id", text: str = "text", source: str = "source") -> DataFrame:
+    """The mix itself: every row of ``docs`` as often as the mix takes it; all columns stay. Rows that repeat a doc_id, source and text come as often
+    each as the one of them that comes most."""
+    sized = docs.select(F.col(doc_id).alias("doc_id"), F.col(source).alias("source"), F.col(text).alias("text"))
+    copies = mixed(sized, seed).where("taken > 0").groupBy("doc_id", "source", "th").agg(F.max(F.col("taken") / F.col("size")).cast("int").alias("_copies"))
+    copies = copies.select(F.col("doc_id").alias("_d"), F.col("source").alias("_s"), F.col("th").alias("_t"), "_copies")
+    on = F.col(doc_id).eqNullSafe(F.col("_d")) & F.col(source).eqNullSafe(F.col("_s")) & (F.xxhash64(F.col(text)) == F.col("_t"))
+    joined = docs.join(saved(copies, "mix-copies"), on)
+    return joined.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies")))).select(*docs.columns)

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chunk_bpe, embedding_tiles, kd_search, language_crf, line_edits, mixing, simhash, token_files, url_rules
+from . import chunk_bpe, embedding_tiles, kd_search, language_crf, line_edits, mixing, simhash, suffix_spans, token_files, url_rules
 from .common import table
 
 #: Fixed values of the contract: (host, path, verdict).
@@ -35,7 +35,7 @@ def op4_embedding_tiles(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mixing.mixed(table(spark, sf_dir, "documents"))
+    return mixing.mixed(table(spark, sf_dir, "documents")).drop("th")
 
 
 def op6_line_edits(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -54,6 +54,10 @@ def op9_kd_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kd_search.top_k(table(spark, sf_dir, "embeddings"))
 
 
+def op10_suffix_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_spans.without_repeats(table(spark, sf_dir, "documents"))
+
+
 URL_SQL = """
 WITH parts AS (
   SELECT page_id, CASE WHEN instr(url, '://') > 0 THEN substr(url, instr(url, '://') + 3) ELSE '' END AS rest FROM pages),
@@ -105,7 +109,7 @@ FROM r GROUP BY doc_id, source, place, size, source_size, target
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_token_files, op2_chunk_bpe, op3_url_rules, op4_embedding_tiles, op5_mixing, op6_line_edits, op7_simhash, op8_language_crf, op9_kd_search)}
+    return {f.__name__: f for f in (op1_token_files, op2_chunk_bpe, op3_url_rules, op4_embedding_tiles, op5_mixing, op6_line_edits, op7_simhash, op8_language_crf, op9_kd_search, op10_suffix_spans)}
 
 
 def oracle_sql() -> dict[str, str]:
