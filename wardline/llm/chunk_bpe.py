@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import batches_of, gathered, slices
-from .encoders import Memory, load_tokenizer, piece_memory, sums
+from .encoders import Memory, kept_by_worker, load_tokenizer, piece_memory, sums
 
 WINDOW = 16
 MASK_BITS = 8  # a chunk in 256 bytes on average
@@ -72,15 +72,17 @@ def cut_places(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.nda
     cuts[near] = False  # the window would reach into the text before
     places = np.flatnonzero(cuts[:-1])
     for _ in range(3):
-        inside = (data[places] & 0xC0) == 0x80
-        places = places + inside
+        places = places + ((data[places] & 0xC0) == 0x80)
         places = places[places < len(data)]
-    return np.unique(np.concatenate([places, starts[ends > starts]]))
+    cuts[:] = False
+    cuts[places] = True
+    cuts[starts[ends > starts]] = True
+    return np.flatnonzero(cuts[:-1])
 
 
 class ChunkEncoder:
     def __init__(self, spec: str, chunk_limit: int = 60_000) -> None:
-        self.pieces = piece_memory(load_tokenizer(spec))
+        self.pieces = piece_memory(load_tokenizer(spec), spec)
         self.chunks = Memory(self._encode_chunks, chunk_limit)
         self.decoder = Decoder(spec)
 
@@ -107,10 +109,13 @@ class ChunkEncoder:
         ids, counts = self.chunks.ids([whole[a:b] for a, b in zip(bounds, bounds[1:])])
         begin = np.cumsum(self.decoder.lengths[ids]) - self.decoder.lengths[ids]
         end = begin + self.decoder.lengths[ids]
-        printable = (data >= 0x21) & (data <= 0x7E)
-        safe = np.flatnonzero((printable[:-1]) & ((data[1:] == 32) | (data[1:] == 10))) + 1
-        safe = np.unique(np.concatenate([safe, starts, ends]))
-        joins = np.setdiff1d(cuts, starts)
+        is_safe = np.zeros(len(data) + 1, bool)
+        is_safe[1:-1] = (data[:-1] >= 0x21) & (data[:-1] <= 0x7E) & ((data[1:] == 32) | (data[1:] == 10))
+        is_safe[starts] = is_safe[ends] = True
+        safe = np.flatnonzero(is_safe)
+        is_start = np.zeros(len(data) + 1, bool)
+        is_start[starts] = True
+        joins = cuts[~is_start[cuts]]
         reach = np.ones(len(joins), np.int64)
         owner = np.searchsorted(ends, joins, side="right")
         while True:
@@ -143,7 +148,7 @@ class ChunkEncoder:
 
 def _run(spec: str, with_ids: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = ChunkEncoder(spec)
+        encoder = kept_by_worker("chunks", spec, lambda: ChunkEncoder(spec))
         kind = "<u2" if len(encoder.decoder.lengths) <= 1 << 16 else "<u4"
         for batch in batches:
             docs, texts = batch.column(0), batch.column(1).to_pylist()

@@ -3,12 +3,18 @@
 from __future__ import annotations
 
 import itertools
+import json
 import os
+import sys
+import types
 
 import numpy as np
 
 from .common import gathered
 
+JOINED = 500  # pieces that one call encodes, with the separator's id between them
+_ENDS = ".,;:!?"
+
 
 def load_tokenizer(spec: str):
     """A tokenizer from the text of its JSON file, single-threaded, without truncation and padding."""
@@ -21,32 +27,51 @@ def load_tokenizer(spec: str):
     return tokenizer
 
 
+def kept_by_worker(name: str, spec: str, make):
+    """What ``make`` gives, once per Python worker: later tasks of the worker go on with the same memory."""
+    store = sys.modules.setdefault("_encoder_memory", types.ModuleType("_encoder_memory")).__dict__.setdefault("made", {})
+    if (name, spec) not in store:
+        store[name, spec] = make()
+    return store[name, spec]
+
+
 class Memory:
-    """Ids of keys, kept in one flat array. Forgets all when full, which costs time only."""
+    """Ids of keys, kept in one flat array. When full it keeps the keys that came up again since it was last full, if they are few."""
 
     def __init__(self, encode, limit: int) -> None:
         self.encode, self.limit = encode, limit
-        self.clear()
+        self._fill([], np.zeros(0, np.uint32), np.zeros(0, np.int64))
 
-    def clear(self) -> None:
-        self.index: dict = {}
-        self.flat, self.starts, self.counts = np.zeros(0, np.uint32), np.zeros(0, np.int64), np.zeros(0, np.int64)
+    def _fill(self, keys: list, flat: np.ndarray, counts: np.ndarray) -> None:
+        self.index = dict(zip(keys, range(len(keys))))
+        self.flat, self.counts = flat, counts
+        self.starts = np.cumsum(counts) - counts
+        self.hits = np.zeros(len(keys), np.int64)
+
+    def _shrink(self) -> None:
+        again = self.hits > 1
+        if again.sum() > self.limit // 2:
+            again[:] = False
+        keys = list(itertools.compress(self.index, again.tolist()))
+        self._fill(keys, self.flat[gathered(self.starts[again], self.counts[again])], self.counts[again])
 
     def places(self, keys: list) -> np.ndarray:
         at = np.fromiter(map(self.index.get, keys, itertools.repeat(-1)), np.int64, len(keys))
         missing = np.flatnonzero(at < 0)
-        if not len(missing):
-            return at
-        new = list(dict.fromkeys(keys[i] for i in missing))
-        if self.index and len(self.index) + len(new) > self.limit:
-            self.clear()
-            return self.places(keys)
-        ids, counts = self.encode(new)
-        self.index.update(zip(new, range(len(self.index), len(self.index) + len(new))))
-        self.starts = np.concatenate([self.starts, len(self.flat) + np.cumsum(counts) - counts])
-        self.counts = np.concatenate([self.counts, counts])
-        self.flat = np.concatenate([self.flat, ids])
-        at[missing] = np.fromiter(map(self.index.__getitem__, (keys[i] for i in missing)), np.int64, len(missing))
+        if len(missing):
+            new = list(dict.fromkeys([keys[i] for i in missing.tolist()]))
+            if self.index and len(self.index) + len(new) > self.limit:
+                self._shrink()
+                at = np.fromiter(map(self.index.get, keys, itertools.repeat(-1)), np.int64, len(keys))
+                missing = np.flatnonzero(at < 0)
+                new = list(dict.fromkeys([keys[i] for i in missing.tolist()]))
+            ids, counts = self.encode(new)
+            self.index.update(zip(new, range(len(self.index), len(self.index) + len(new))))
+            self.starts = np.concatenate([self.starts, len(self.flat) + np.cumsum(counts) - counts])
+            self.counts, self.flat = np.concatenate([self.counts, counts]), np.concatenate([self.flat, ids])
+            self.hits = np.concatenate([self.hits, np.zeros(len(new), np.int64)])
+            at[missing] = np.fromiter(map(self.index.__getitem__, [keys[i] for i in missing.tolist()]), np.int64, len(missing))
+        self.hits += np.bincount(at, minlength=len(self.hits))
         return at
 
     def ids(self, keys: list) -> tuple[np.ndarray, np.ndarray]:
@@ -56,11 +81,51 @@ class Memory:
         return self.flat[gathered(self.starts[at], counts)], counts
 
 
-def piece_memory(tokenizer, limit: int = 300_000) -> Memory:
+def stem_memory(tokenizer, spec: str, limit: int) -> Memory:
+    """Strings in bulk: many are joined by a special token, which the tokenizer takes out before anything else, and told apart by its id."""
+    special = next((t["content"] for t in json.loads(spec).get("added_tokens", ()) if t["special"] and not (t["normalized"] or t["lstrip"] or t["rstrip"] or t["single_word"])), None)
+    mark = tokenizer.token_to_id(special) if special else None
+
+    def encode(stems: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        ids, counts = [np.zeros(0, np.uint32)], [np.zeros(0, np.int64)]
+        groups = [stems[i:i + JOINED] for i in range(0, len(stems), JOINED)]
+        whole = [special is not None and special[:2] not in "".join(g) for g in groups]
+        batch = [x for g, w in zip(groups, whole) for x in ([special.join(g)] if w else g)]
+        coded = iter(tokenizer.encode_batch_fast(batch, add_special_tokens=False))
+        for g, w in zip(groups, whole):
+            if w:
+                own = np.array(next(coded).ids, np.uint32)
+                cuts = np.flatnonzero(own == mark)
+                counts.append(np.diff(np.concatenate([[-1], cuts, [len(own)]])) - 1)
+                ids.append(own[own != mark])
+            else:
+                own = [next(coded).ids for _ in g]
+                counts.append(np.fromiter(map(len, own), np.int64, len(own)))
+                ids.extend(np.array(x, np.uint32) for x in own)
+        return np.concatenate(ids), np.concatenate(counts)
+
+    return Memory(encode, limit)
+
+
+def piece_memory(tokenizer, spec: str, limit: int = 500_000) -> Memory:
+    """Pieces of text. A closing mark after an ASCII letter is a word of its own to the tokenizer, so pieces that differ in it share a stem; so do
+    ASCII pieces that differ in case, if the tokenizer lower-cases (not with a special token's begin, which it looks for before that)."""
+    stems = stem_memory(tokenizer, spec, limit)
+    lower = '"Lowercase"' in spec
+    flat, counts = stems.encode(list(_ENDS))
+    splits = bool((counts == 1).all())
+    end_id = dict(zip(_ENDS, flat.tolist())) if splits else {}
+
     def encode(pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        ids = [e.ids for e in tokenizer.encode_batch_fast(pieces, add_special_tokens=False)]
-        counts = np.fromiter(map(len, ids), np.int64, len(ids))
-        return np.fromiter(itertools.chain.from_iterable(ids), np.uint32, int(counts.sum())), counts
+        keys, ends = [], np.full(len(pieces), -1, np.int64)
+        for i, p in enumerate(pieces):
+            if splits and p[-1:] in end_id and p[-2:-1].isascii() and p[-2:-1].isalpha():
+                ends[i] = end_id[p[-1]]
+                p = p[:-1]
+            keys.append(p.lower() if lower and p.isascii() and "<|" not in p else p)
+        ids, counts = stems.ids(keys)
+        has = ends >= 0
+        return np.insert(ids, np.cumsum(counts)[has], ends[has].astype(np.uint32)), counts + has
 
     return Memory(encode, limit)
 

@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from wardline.session import new_path
 
 from .common import batches_of, slices
-from .encoders import load_tokenizer, piece_memory, sums
+from .encoders import kept_by_worker, load_tokenizer, piece_memory, sums
 
 GRAIN = 4096  # ids; a multiple of 8, so a grain fills whole bytes at any width
 BLOCK_IDS = 1 << 18
@@ -60,7 +60,8 @@ def unpack(data: bytes, bits: int, begin: int, end: int) -> np.ndarray:
 
 def _blocks(spec: str, end_id: int, bits: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        memory, part = piece_memory(load_tokenizer(spec)), TaskContext.get().partitionId()
+        memory = kept_by_worker("pieces", spec, lambda: piece_memory(load_tokenizer(spec), spec))
+        part = TaskContext.get().partitionId()
         kept: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
         block = start = 0
 
