@@ -32,11 +32,11 @@ def gathered(starts: np.ndarray, counts: np.ndarray) -> np.ndarray:
     return np.repeat(starts - (ends - counts), counts) + np.arange(ends[-1] if len(ends) else 0)
 
 
-def slices(texts: list[str | None], most: int) -> Iterator[tuple[int, int]]:
-    """Runs of texts of about ``most`` characters; a longer text is a run of its own."""
+def slices(texts: list[str | None] | list[int], most: int) -> Iterator[tuple[int, int]]:
+    """Runs of texts, or of texts' lengths, of about ``most`` characters; a longer text is a run of its own."""
     begin, size = 0, 0
     for i, text in enumerate(texts):
-        n = len(text or "")
+        n = text if isinstance(text, int) else len(text or "")
         if size and size + n > most:
             yield begin, i
             begin, size = i, 0

@@ -13,6 +13,7 @@ from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -24,7 +25,7 @@ from .encoders import kept_by_worker, load_tokenizer, piece_memory, sums
 
 GRAIN = 4096  # ids; a multiple of 8, so a grain fills whole bytes at any width
 BLOCK_IDS = 1 << 18
-BATCH_CHARS = 2_000_000
+BATCH_CHARS = 8_000_000
 _BLOCK = "part int, block int, first_doc long, last_doc long, start_in_part long, bits int, n_ids long, ids binary, docs binary, lengths binary"
 _BLOCK_ARROW = pa.schema([
     ("part", pa.int32()), ("block", pa.int32()), ("first_doc", pa.int64()), ("last_doc", pa.int64()), ("start_in_part", pa.int64()), ("bits", pa.int32()),
@@ -58,9 +59,18 @@ def unpack(data: bytes, bits: int, begin: int, end: int) -> np.ndarray:
     return ids[begin - first * GRAIN:][:n]
 
 
+def split(texts: pa.Array, lower: bool) -> pa.Array:
+    """Pieces between spaces and line feeds, which the tokenizer drops and no token reaches across. A-Z are put in lower case where the tokenizer does so,
+    but not in texts that may hold a special token, which it looks for first."""
+    if lower:
+        texts = pc.if_else(pc.match_substring(texts, "<|"), texts, pc.ascii_lower(texts))
+    return pc.split_pattern(pc.replace_substring(texts, "\n", " "), " ")
+
+
 def _blocks(spec: str, end_id: int, bits: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         memory = kept_by_worker("pieces", spec, lambda: piece_memory(load_tokenizer(spec), spec))
+        lower = '"Lowercase"' in spec
         part = TaskContext.get().partitionId()
         kept: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
         block = start = 0
@@ -75,12 +85,12 @@ def _blocks(spec: str, end_id: int, bits: int):
             return batches_of(row, _BLOCK_ARROW)
 
         for batch in batches:
-            docs, texts = batch.column(0).to_numpy(zero_copy_only=False), batch.column(1).to_pylist()
-            for a, b in slices(texts, BATCH_CHARS):
-                # the tokenizer drops white space and no piece reaches across it
-                pieces = [(t or "").replace("\n", " ").split(" ") for t in texts[a:b]]
-                ids, counts = memory.ids([p for x in pieces for p in x])
-                lengths = sums(counts, np.fromiter(map(len, pieces), np.int64, b - a))
+            docs, sizes = batch.column(0).to_numpy(zero_copy_only=False), pc.fill_null(pc.utf8_length(batch.column(1)), 0).to_numpy(zero_copy_only=False)
+            for a, b in slices(sizes.tolist(), BATCH_CHARS):
+                pieces = split(pc.fill_null(batch.column(1).slice(a, b - a), ""), lower)
+                coded = pieces.flatten().dictionary_encode()
+                ids, counts = memory.ids(coded.dictionary.to_pylist(), coded.indices.to_numpy())
+                lengths = sums(counts, pieces.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64))
                 ids = np.insert(ids, np.cumsum(lengths), end_id)
                 kept.append((docs[a:b], lengths + 1, ids))
                 if sum(len(x[2]) for x in kept) >= BLOCK_IDS:
