@@ -26,9 +26,10 @@ from .common import batches_of, bit_marks, is_marked, saved, slices
 
 LENGTH, GRAM = 200, 40
 SHARD_BYTES = 400_000
-CROWD = 1000  # different segments of one anchor that a shard takes
+CROWD = 16_000  # different segments of one anchor that a shard takes
 BLOCK_BYTES = 1 << 21  # of one long document at a time
-BATCH_CHARS = 1_000_000
+BATCH_CHARS = 600_000
+SORT_ROWS = 50_000  # suffixes that are laid out in full at a time
 _BASE = 0x100000001B3
 _ANCHORS = pa.schema([("anchor", pa.int64()), ("seg", pa.int64()), ("doc_id", pa.int64()), ("th", pa.int64()), ("at", pa.int64()), ("size", pa.int32())])
 _CUT = pa.schema([("anchor", pa.int64()), ("seg", pa.int64()), ("kinds", pa.int64()), ("bytes", pa.binary())])
@@ -106,6 +107,29 @@ def _anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 yield batches_of({"anchor": anchor, "seg": seg, "doc_id": docs.take(take), "th": ths.take(take), "at": begin + shift - starts[own], "size": end - begin}, _ANCHORS)
 
 
+def _sorted_directly(padded: np.ndarray, places: np.ndarray, depth: int) -> np.ndarray:
+    """Places in order of the ``depth`` bytes that follow: by the first eight, then runs of equal ones in full."""
+    head = np.zeros(len(places), np.uint64)
+    for i in range(8):
+        head = (head << np.uint64(8)) | padded[places + i]
+    order = np.argsort(head, kind="stable")
+    places, head = places[order], head[order]
+    first = np.flatnonzero(np.concatenate([[True], head[1:] != head[:-1]])) if len(head) else np.zeros(0, np.int64)
+    ends = np.append(first[1:], len(head))
+    rows = np.lib.stride_tricks.sliding_window_view(padded, depth)
+    tied = ends - first > 1
+    first, ends = first[tied], ends[tied]
+    at = 0
+    while at < len(first):
+        # whole runs, as many as fit; what lies between them stays in place, as it differs in the first eight bytes
+        to = max(at + 1, int(np.searchsorted(ends, first[at] + SORT_ROWS, side="right")))
+        a, b = first[at], ends[to - 1]
+        own = np.ascontiguousarray(rows[places[a:b]]).view(f"S{depth}").ravel()
+        places[a:b] = places[a:b][np.argsort(own, kind="stable")]
+        at = to
+    return places
+
+
 def suffix_array(data: np.ndarray, depth: int) -> np.ndarray:
     """All places of ``data``, in order of at least the ``depth`` bytes that follow; data ends with ``depth`` zero bytes."""
     n = len(data)
@@ -114,9 +138,8 @@ def suffix_array(data: np.ndarray, depth: int) -> np.ndarray:
     small = np.append(data, 0)[next_change] < np.append(data, 0)[np.minimum(next_change + 1, n)]
     small[next_change == n - 1] = False  # greater than the empty suffix, which induces the last place
     own = np.flatnonzero(small)
-    padded = np.concatenate([data, np.zeros(depth, np.uint8)])
-    rows = np.ascontiguousarray(np.lib.stride_tricks.sliding_window_view(padded, depth)[own])
-    direct = own[np.argsort(rows.view(f"S{depth}").ravel(), kind="stable")]
+    padded = np.concatenate([data, np.zeros(max(depth, 8), np.uint8)])
+    direct = _sorted_directly(padded, own, depth)
     bound = np.searchsorted(data[direct], np.arange(257))
     waiting: list[list[np.ndarray]] = [[] for _ in range(256)]
     waiting[data[-1]].append(np.array([n - 1]))
