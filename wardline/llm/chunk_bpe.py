@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import batches_of, gathered, slices
-from .encoders import Memory, kept_by_worker, load_tokenizer, piece_memory, sums
+from .encoders import Memory, load_tokenizer, piece_memory, sums
 
 WINDOW = 16
 MASK_BITS = 8  # a chunk in 256 bytes on average
@@ -81,8 +81,8 @@ def cut_places(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.nda
 
 
 class ChunkEncoder:
-    def __init__(self, spec: str, chunk_limit: int = 60_000) -> None:
-        self.pieces = piece_memory(load_tokenizer(spec), spec)
+    def __init__(self, spec: str, chunk_limit: int = 40_000) -> None:
+        self.pieces = piece_memory(load_tokenizer(spec), spec, limit=250_000)
         self.chunks = Memory(self._encode_chunks, chunk_limit)
         self.decoder = Decoder(spec)
 
@@ -148,7 +148,7 @@ class ChunkEncoder:
 
 def _run(spec: str, with_ids: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = kept_by_worker("chunks", spec, lambda: ChunkEncoder(spec))
+        encoder = ChunkEncoder(spec)
         kind = "<u2" if len(encoder.decoder.lengths) <= 1 << 16 else "<u4"
         for batch in batches:
             docs, texts = batch.column(0), batch.column(1).to_pylist()

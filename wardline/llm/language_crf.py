@@ -25,8 +25,8 @@ UNKNOWN = "und"
 DOCS_PER_LANGUAGE, SPANS_PER_DOC, SPAN_WORDS = 150, 12, 20  # bounds of the training sample
 SPANS_PER_SEQUENCE, EPOCHS, RATE, BATCH, L2 = 3, 4, 0.3, 128, 1e-4
 FEATURE_BITS = 16
-BATCH_WORDS = 400_000
-MEMORY_WORDS = 400_000
+BATCH_WORDS = 250_000
+MEMORY_WORDS = 300_000
 _WORD = re.compile(r"[^\W\d_]+")
 _OUT = pa.schema([("doc_id", pa.int64()), ("lang_pred", pa.string()), ("score", pa.float64())])
 
