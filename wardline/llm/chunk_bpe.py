@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import batches_of, gathered, slices
+from .common import batches_of, gathered, slices, tidied
 from .encoders import Memory, load_tokenizer, piece_memory, sums
 
 WINDOW = 16
@@ -123,9 +123,9 @@ class ChunkEncoder:
             exact = safe[at] == joins
             low = np.maximum(safe[np.maximum(at - reach + (exact & (reach == 1)), 0)], starts[owner])
             high = np.minimum(safe[np.minimum(at + reach - 1, len(safe) - 1)], ends[owner])
-            if len(joins):  # overlapping stretches become one
+            if len(joins):  # overlapping stretches become one; those that only touch may be of two texts
                 top = np.maximum.accumulate(high)
-                first = np.append(True, low[1:] > top[:-1])
+                first = np.append(True, low[1:] >= top[:-1])
                 lows, highs = low[first], top[np.append(np.flatnonzero(first)[1:] - 1, len(top) - 1)]
             else:
                 lows = highs = np.zeros(0, np.int64)
@@ -138,7 +138,7 @@ class ChunkEncoder:
             bad = covered != sizes
             if not bad.any():
                 break
-            reach[bad[owner]] *= 2
+            reach[bad[owner]] = np.minimum(reach[bad[owner]] * 2, len(safe))
         fresh, fresh_counts = self._encode_chunks([whole[a:b] for a, b in zip(lows.tolist(), highs.tolist())])
         places = np.concatenate([begin[kept], np.repeat(lows, fresh_counts)])
         order = np.argsort(places, kind="stable")
@@ -175,5 +175,5 @@ def encoded_documents(docs: DataFrame, tokenizer_file: str, doc_id: str = "doc_i
     """
     spec = Path(tokenizer_file).read_text(encoding="utf-8")
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    out = rows.mapInArrow(_run(spec, with_ids), "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string, ids binary")
+    out = rows.mapInArrow(tidied(_run(spec, with_ids)), "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string, ids binary")
     return out if with_ids else out.drop("ids")

@@ -20,7 +20,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import batches_of, bit_marks, is_marked, saved
+from .common import batches_of, bit_marks, is_marked, saved, tidied
 from .components import components
 
 EDITS = ((32, 2), (16, 1))  # characters from which so many edits are near
@@ -291,9 +291,9 @@ def near_links(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
 
     ``docs``: one text column.
     """
-    keyed = docs.mapInArrow(_key_rows, "key long, line long").repartition("key").sortWithinPartitions("key", "line")
+    keyed = docs.mapInArrow(tidied(_key_rows), "key long, line long").repartition("key").sortWithinPartitions("key", "line")
     shared = saved(keyed.mapInArrow(_shared, "key long, line long"), "line-keys")
-    texts = docs.mapInArrow(_texts_of(bit_marks(shared, "line", FILTER_BITS)), "line long, text string").groupBy("line", "text").agg(F.lit(1).alias("one"))
+    texts = docs.mapInArrow(tidied(_texts_of(bit_marks(shared, "line", FILTER_BITS))), "line long, text string").groupBy("line", "text").agg(F.lit(1).alias("one"))
     texts = texts.join(shared.select("line").distinct(), "line", "left_semi")
     texts = saved(texts.select(F.monotonically_increasing_id().alias("number"), "line", "text"), "line-texts")
     sizes = shared.groupBy("key").agg(F.ceil(F.count("*") / CELL_ROWS).cast("int").alias("blocks"))
@@ -303,7 +303,7 @@ def near_links(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
         "key", F.least("block", "other").alias("left"), F.greatest("block", "other").alias("right"),
         F.when(F.col("block") == F.col("other"), 2).when(F.col("block") < F.col("other"), 0).otherwise(1).alias("side"), "line")
     rows = cells.join(texts, "line").select("key", "left", "right", "side", "number", "text").repartition("key", "left", "right").sortWithinPartitions("key", "left", "right")
-    return texts, saved(rows.mapInArrow(_linked, "line long, n long, root long"), "line-links")
+    return texts, saved(rows.mapInArrow(tidied(_linked), "line long, n long, root long"), "line-links")
 
 
 def _occurrences(docs: DataFrame) -> DataFrame:

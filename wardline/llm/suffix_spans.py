@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import batches_of, bit_marks, is_marked, saved, slices
+from .common import batches_of, bit_marks, is_marked, saved, slices, tidied
 
 LENGTH, GRAM = 200, 40
 SHARD_BYTES = 400_000
@@ -288,7 +288,7 @@ def _removed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def repeated_ranges(rows: DataFrame, crowd: int = CROWD) -> DataFrame:
     """(doc_id, th, found): per document with any, its segments' starts and the ranges in them to remove. rows: doc_id, th, text."""
-    met = saved(rows.mapInArrow(_anchors, "anchor long, seg long, doc_id long, th long, at long, size int"), "anchors")
+    met = saved(rows.mapInArrow(tidied(_anchors), "anchor long, seg long, doc_id long, th long, at long, size int"), "anchors")
     twice = saved(met.groupBy("anchor").count().where("count > 1").select("anchor"), "anchors-twice")
     marks = bit_marks(twice, "anchor", 24)
 
@@ -302,12 +302,12 @@ def repeated_ranges(rows: DataFrame, crowd: int = CROWD) -> DataFrame:
     kinds = segs.groupBy("anchor").agg(F.count("*").alias("kinds")).where("kinds > 1")
     open_segs = segs.join(kinds, "anchor").select("anchor", "seg", "kinds", "n", "one.*")
     wanted = saved(open_segs.groupBy("doc_id", "th").agg(F.collect_list(F.struct("anchor", "seg", "kinds", "at", "size")).alias("wanted")), "segments-wanted")
-    texts = rows.mapInArrow(_marked_texts(bit_marks(wanted, "th", 23), False), "doc_id long, th long, text string, n_bytes long, sha string").select("doc_id", "th", "text")
+    texts = rows.mapInArrow(tidied(_marked_texts(bit_marks(wanted, "th", 23), False)), "doc_id long, th long, text string, n_bytes long, sha string").select("doc_id", "th", "text")
     texts = texts.join(wanted, texts["doc_id"].eqNullSafe(wanted["doc_id"]) & (texts["th"] == wanted["th"])).select("text", "wanted")
-    cut = texts.mapInArrow(_cut, "anchor long, seg long, kinds long, bytes binary")
+    cut = texts.mapInArrow(tidied(_cut), "anchor long, seg long, kinds long, bytes binary")
     # rows that repeat a document cut the same segment each
     cut = saved(cut, "segments-cut").dropDuplicates(["anchor", "seg"])
-    sorted_ranges = cut.where(F.col("kinds") <= crowd).select("anchor", "seg", "bytes").repartition("anchor").sortWithinPartitions("anchor").mapInArrow(_shards, _RANGES_SQL)
+    sorted_ranges = cut.where(F.col("kinds") <= crowd).select("anchor", "seg", "bytes").repartition("anchor").sortWithinPartitions("anchor").mapInArrow(tidied(_shards), _RANGES_SQL)
     windows = cut.where(F.col("kinds") > crowd).select("anchor", "seg", "bytes").mapInArrow(_digests, "anchor long, seg long, place int, digest binary")
     more = windows.groupBy("digest").count().where("count > 1").select("digest")
     counted = windows.join(more, "digest").groupBy("anchor", "seg").agg(F.collect_list("place").alias("places")).mapInArrow(_ranges, _RANGES_SQL)
@@ -324,6 +324,6 @@ def without_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     """
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.xxhash64(F.col(text)).alias("th"), F.col(text).alias("text"))
     found = saved(repeated_ranges(rows, crowd), "found-spans")
-    texts = rows.mapInArrow(_marked_texts(bit_marks(found, "th", 23), True), "doc_id long, th long, text string, n_bytes long, sha string")
+    texts = rows.mapInArrow(tidied(_marked_texts(bit_marks(found, "th", 23), True)), "doc_id long, th long, text string, n_bytes long, sha string")
     joined = texts.join(found, texts["doc_id"].eqNullSafe(found["doc_id"]) & (texts["th"] == found["th"]), "left")
-    return joined.select(texts["doc_id"], "text", "n_bytes", "sha", "found").mapInArrow(_removed, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+    return joined.select(texts["doc_id"], "text", "n_bytes", "sha", "found").mapInArrow(tidied(_removed), "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
