@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import batches_of, gathered, slices, tidied
+from .common import batches_of, gathered, short_batches, slices, tidied
 from .encoders import Memory, load_tokenizer, piece_memory, sums
 
 WINDOW = 16
@@ -82,7 +82,7 @@ def cut_places(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.nda
 
 class ChunkEncoder:
     def __init__(self, spec: str, chunk_limit: int = 40_000) -> None:
-        self.pieces = piece_memory(load_tokenizer(spec), spec, limit=250_000)
+        self.pieces = piece_memory(load_tokenizer(spec), spec, limit=120_000)
         self.chunks = Memory(self._encode_chunks, chunk_limit)
         self.decoder = Decoder(spec)
 
@@ -175,5 +175,5 @@ def encoded_documents(docs: DataFrame, tokenizer_file: str, doc_id: str = "doc_i
     """
     spec = Path(tokenizer_file).read_text(encoding="utf-8")
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    out = rows.mapInArrow(tidied(_run(spec, with_ids)), "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string, ids binary")
+    out = short_batches(rows).mapInArrow(tidied(_run(spec, with_ids)), "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string, ids binary")
     return out if with_ids else out.drop("ids")

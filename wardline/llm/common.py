@@ -19,6 +19,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def short_batches(df: DataFrame, rows: int = 1000) -> DataFrame:
+    """The same rows; from now on the session hands Python this many at a time. Texts are long, and the usual 10,000 would be held several
+    times over on both sides."""
+    spark = df.sparkSession
+    if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch", "10000")) > rows:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", rows)
+    return df
+
+
 def saved(df: DataFrame, label: str) -> DataFrame:
     """The rows as a Parquet table in the shared folder: cuts the lineage, survives lost executors, and Spark knows its size."""
     path = new_path(df.sparkSession, f"llm-{label}")

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import batches_of, gathered, tidied
+from .common import batches_of, gathered, short_batches, tidied
 
 UNKNOWN = "und"
 DOCS_PER_LANGUAGE, SPANS_PER_DOC, SPAN_WORDS = 150, 12, 20  # bounds of the training sample
@@ -297,7 +297,7 @@ def languages(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang:
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
     model = _model(docs, doc_id, text, lang)
     # the model goes along with the function: a fixed number of weights per language
-    out = rows.mapInArrow(tidied(_predict(model, 1)), "doc_id long, lang_pred string, score double")
+    out = short_batches(rows).mapInArrow(tidied(_predict(model, 1)), "doc_id long, lang_pred string, score double")
     held = F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3 == 1, F.lit(False))
     return out.select("doc_id", held.alias("held_out"), "lang_pred", "score")
 
@@ -305,4 +305,4 @@ def languages(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang:
 def accepted(docs: DataFrame, least: float = 0.4, doc_id: str = "doc_id", text: str = "text", lang: str = "lang") -> DataFrame:
     """The rows of ``docs`` in a learned language with a score of at least ``least``; texts that are null or have no letter go. All columns stay as they are."""
     model = _model(docs, doc_id, text, lang)
-    return docs.mapInArrow(tidied(_predict(model, docs.columns.index(text), lambda language, score: language != UNKNOWN and score >= least)), docs.schema)
+    return short_batches(docs).mapInArrow(tidied(_predict(model, docs.columns.index(text), lambda language, score: language != UNKNOWN and score >= least)), docs.schema)

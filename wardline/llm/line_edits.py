@@ -20,7 +20,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import batches_of, bit_marks, is_marked, saved, tidied
+from .common import batches_of, bit_marks, is_marked, saved, short_batches, tidied
 from .components import components
 
 EDITS = ((32, 2), (16, 1))  # characters from which so many edits are near
@@ -291,7 +291,7 @@ def near_links(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
 
     ``docs``: one text column.
     """
-    keyed = docs.mapInArrow(tidied(_key_rows), "key long, line long").repartition("key").sortWithinPartitions("key", "line")
+    keyed = short_batches(docs).mapInArrow(tidied(_key_rows), "key long, line long").repartition("key").sortWithinPartitions("key", "line")
     shared = saved(keyed.mapInArrow(_shared, "key long, line long"), "line-keys")
     texts = docs.mapInArrow(tidied(_texts_of(bit_marks(shared, "line", FILTER_BITS))), "line long, text string").groupBy("line", "text").agg(F.lit(1).alias("one"))
     texts = texts.join(shared.select("line").distinct(), "line", "left_semi")

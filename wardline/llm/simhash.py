@@ -19,7 +19,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import batches_of, saved, tidied
+from .common import batches_of, saved, short_batches, tidied
 from .components import components, merge_labels
 
 BITS, BLOCKS = 64, 4
@@ -131,7 +131,7 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, distance: int = DISTANC
     fingerprint and its component's id. Other columns are not read; no documents give no rows.
     """
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    prints = saved(rows.mapInArrow(tidied(_prints(words, seed)), "doc_id long, fp long"), "fingerprints")
+    prints = saved(short_batches(rows).mapInArrow(tidied(_prints(words, seed)), "doc_id long, fp long"), "fingerprints")
     classes = saved(prints.groupBy("fp").agg(F.min("doc_id").alias("first_doc")), "fingerprint-classes")
     roots = components(near_links(classes, distance, blocks)).withColumnRenamed("node", "fp")
     labelled = classes.join(roots, "fp", "left").select("fp", "first_doc", F.coalesce("root", "fp").alias("root"))

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import batches_of, bit_marks, is_marked, saved, slices, tidied
+from .common import batches_of, bit_marks, is_marked, saved, short_batches, slices, tidied
 
 LENGTH, GRAM = 200, 40
 SHARD_BYTES = 400_000
@@ -288,7 +288,7 @@ def _removed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def repeated_ranges(rows: DataFrame, crowd: int = CROWD) -> DataFrame:
     """(doc_id, th, found): per document with any, its segments' starts and the ranges in them to remove. rows: doc_id, th, text."""
-    met = saved(rows.mapInArrow(tidied(_anchors), "anchor long, seg long, doc_id long, th long, at long, size int"), "anchors")
+    met = saved(short_batches(rows).mapInArrow(tidied(_anchors), "anchor long, seg long, doc_id long, th long, at long, size int"), "anchors")
     twice = saved(met.groupBy("anchor").count().where("count > 1").select("anchor"), "anchors-twice")
     marks = bit_marks(twice, "anchor", 24)
 

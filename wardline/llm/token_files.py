@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 
 from wardline.session import new_path
 
-from .common import batches_of, slices
+from .common import batches_of, short_batches, slices
 from .encoders import kept_by_worker, load_tokenizer, piece_memory, sums
 
 GRAIN = 4096  # ids; a multiple of 8, so a grain fills whole bytes at any width
@@ -111,7 +111,7 @@ def write(docs: DataFrame, path: str, tokenizer_file: str, end_id: int, doc_id:
     bits = width(max(load_tokenizer(spec).get_vocab_size(with_added_tokens=True), end_id + 1))
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")).where("doc_id is not null")
     ranged = rows.repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
-    ranged.mapInArrow(_blocks(spec, end_id, bits), _BLOCK).write.parquet(path)
+    short_batches(ranged).mapInArrow(_blocks(spec, end_id, bits), _BLOCK).write.parquet(path)
 
 
 def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
