@@ -80,6 +80,19 @@ def test_kidney_timeline(spark, sf):
     same(plain.select(*cols, *rates), hot.select(*cols, *rates))
 
 
+def test_kidney_timeline_with_equal_instants(spark):
+    day = 24 * timeline.HOUR_US
+    rows = [("p", i // 2 * day, f"Observation/{i}", "creatinine", v, None, None, None, None, None) for i, v in enumerate((1.0, 1.2, 2.4, 1.2, 3.1, 0.9, 1.0))]
+    rows += [("p", 2 * day, "u1", "urine", None, 100.0, 24.0, None, False, None), ("p", 2 * day, "w1", "weight", None, None, None, None, None, 80.0),
+             ("p", 2 * day, "u2", "urine", None, None, 13.0, None, True, None)]
+    df = spark.createDataFrame(rows, "patient_id string, event_us long, evidence_id string, kind string, creatinine double, volume_ml double, duration_h double, "
+                                     "ml_kg_h double, anuria boolean, weight_kg double")
+    cols = ["evidence_id", "status", "stage", "creatinine_stage", "urine_stage", "baseline_7d", "reference_48h", "anuria_h", "criteria", "missing"]
+    plain, hot = timeline.evaluate(df, hot=False), timeline.evaluate(df, hot=True)
+    same(plain, hot, cols)
+    assert len({tuple(r) for r in hot.where("kind = 'creatinine'").select("event_us", "stage", "baseline_7d").collect()}) == 4
+
+
 def test_cohort(spark, sf):
     hours = P.hourly_stays(spark, sf)
     same(cohort.evaluate_hours(hours, BALANCED, hot=False), cohort.evaluate_hours(hours, BALANCED, hot=True))
@@ -100,6 +113,9 @@ def test_asof(spark, sf):
     args = (["patient_id"], "start_us", "at", ["reading", "at"])
     same(asof.asof_join(left, right, *args, tie="t", hot=False), asof.asof_join(left, right, *args, tie="t", hot=True))
     same(asof.asof_join(left, right, *args, forward=True, hot=False), asof.asof_join(left, right, *args, forward=True, hot=True))
+    twice = right.union(right.selectExpr("patient_id", "at", "reading + 1 AS reading", "t + 100000000 AS t"))
+    for forward in (False, True):
+        same(asof.asof_join(left, twice, *args, tie="t", forward=forward, hot=False), asof.asof_join(left, twice, *args, tie="t", forward=forward, hot=True))
 
 
 def test_threshold_switches_layout(env, monkeypatch):

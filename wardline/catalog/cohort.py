@@ -165,7 +165,7 @@ _BOOT = ", ".join(f"('{m}', {m})" for m in C.BOOTSTRAP_METRICS)
 
 @query("bootstrap_intervals", "AGG-9", f"""{cohort_sql(BALANCED)},
 ix AS (SELECT *, row_number() OVER (ORDER BY stay_id) - 1 AS idx, count(*) OVER () AS n_all FROM sr),
-dr AS (SELECT b.r AS replicate, ('0x' || substr(md5(b.r || '|' || ix.idx), 1, 7))::BIGINT % n_all AS idx FROM ix, range(1, 1001) b(r)),
+dr AS (SELECT b.r AS replicate, ('0x' || substr(md5(b.r || '|' || ix.idx), 1, 15))::BIGINT % n_all AS idx FROM ix, range(1, 1001) b(r)),
 sr2 AS (SELECT dr.replicate, s.* FROM dr JOIN ix s ON s.idx = dr.idx),
 {_metrics_select('replicate').replace('FROM sr GROUP', 'FROM sr2 GROUP')},
 long AS (SELECT metric, value FROM mm, LATERAL (VALUES {_BOOT}) v(metric, value) WHERE value IS NOT NULL)

@@ -37,15 +37,16 @@ def asof_join(left: DataFrame, right: DataFrame, keys: Sequence[str], left_time:
     if hot is None:
         hot = largest_key(both, keys) > folds.HOT_ROWS
     if hot:
-        if forward and tie:
-            raise NotImplementedError("forward joins of very large keys take no tie column")
         seen_schema = T.StructType([T.StructField("_seen", r.schema["_right"].dataType)])
 
         def step(seen, row):
-            side, value = row
-            return (value, None) if side == 0 else (seen, (seen,))
+            side, at, value = row
+            if side:
+                return seen, (seen[1] if seen else None,)
+            # ties come in rising order: the last one holds, looking forward the first one
+            return (seen if forward and seen and seen[0] == at else (at, value)), None
 
-        joined = ordered_fold(both, keys, ["_t", "_side", "_tie"], ["_side", "_right"], step, lambda: None,
+        joined = ordered_fold(both, keys, ["_t", "_side", "_tie"], ["_side", "_t", "_right"], step, lambda: None,
                               seen_schema, keep=["_left"], hot=True)
     else:
         by_tie = F.col("_tie").desc() if forward else F.col("_tie").asc()

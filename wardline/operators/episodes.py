@@ -56,8 +56,6 @@ def _open(s: dict, at: int) -> None:
 
 
 def _add(s: dict, r: EpisodeRules, sid: str, kind: str, tier: str, at: int, suppressed: bool, in_order: bool) -> None:
-    if in_order:  # the same alert has the same millisecond, so older ids cannot come back
-        s["ids"] = {k: v for k, v in s["ids"].items() if v >= at - 1000}
     s["ids"][sid] = at
     s["opened"] = min(s["opened"], at)
     s["updated"] = max(s["updated"], at)

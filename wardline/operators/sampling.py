@@ -33,8 +33,8 @@ def dense_index(df: DataFrame, order: Sequence[str], name: str = "idx") -> tuple
 
 def draw(replicate: Column, slot: Column, n: int) -> Column:
     """Repeatable pseudo-random index in 0..n-1 for one slot of one replicate."""
-    seven = F.substring(F.md5(F.concat_ws("|", replicate.cast("string"), slot.cast("string"))), 1, 7)
-    return F.conv(seven, 16, 10).cast("bigint") % F.lit(n)
+    digits = F.substring(F.md5(F.concat_ws("|", replicate.cast("string"), slot.cast("string"))), 1, 15)  # 60 bits
+    return F.conv(digits, 16, 10).cast("bigint") % F.lit(n)
 
 
 def resampled(rows: DataFrame, order: Sequence[str], replicates: int) -> DataFrame:

@@ -66,12 +66,14 @@ def feedback_status(feedback: DataFrame, alerts: DataFrame) -> DataFrame:
 
 def newest_alerts(alerts: DataFrame, limit: int = 100, offset: int = 0, patient: str | None = None,
                   include_acknowledged: bool = True) -> DataFrame:
-    """Page of alerts, newest first. A page holds 1 to 1000 rows."""
+    """Page of alerts, newest first."""
+    if limit < 1 or offset < 0:
+        raise ValueError(f"a page begins at 0 or later and holds at least one row: limit {limit}, offset {offset}")
     if patient:
         alerts = alerts.where(F.col("patient_id") == patient)
     if not include_acknowledged:
         alerts = alerts.where(~F.coalesce("acknowledged", F.lit(False)))
-    return alerts.orderBy(F.col("event_us").desc(), "alert_id").offset(max(0, offset)).limit(max(1, min(limit, 1000)))
+    return alerts.orderBy(F.col("event_us").desc(), "alert_id").offset(offset).limit(limit)
 
 
 def patient_feed(alerts: DataFrame, visits: DataFrame, include_acknowledged: bool = False) -> DataFrame:

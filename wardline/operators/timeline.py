@@ -1,7 +1,8 @@
 """Kidney timeline: stage from the creatinine, urine and weight history at every observation.
 
 The window form uses trailing time frames per key. Keys with more than ``FRAME_ROWS`` rows go through
-an ordered fold that keeps only the last seven days of creatinine and two of urine.
+an ordered fold that keeps only the last seven days of creatinine and two of urine. Both see every row of
+an instant before any row of it is judged.
 """
 
 from __future__ import annotations
@@ -180,7 +181,7 @@ def _rate(segments: list, t: int, hours: int, weight: float | None):
     return (total / (weight * covered) if volume else total / covered), set()
 
 
-def timeline_one(s: dict, row: tuple, emit_ties: bool = True):
+def timeline_one(s: dict, row: tuple):
     kind, t, eid, cr, ml, h, rate, anuria, weight, esrd, rrt = row
     s = {**s, "esrd": s["esrd"] or bool(esrd), "rrt": s["rrt"] or bool(rrt)}
     week = t - 168 * HOUR_US
@@ -267,6 +268,12 @@ def _folded(rows: DataFrame, keys: Sequence[str]) -> DataFrame:
         s = timeline_one(s, row)
         return s, (timeline_at(s, row[1]) if row[0] in ("creatinine", "urine") else None)
 
-    return ordered_fold(
+    kept = [c for c in rows.columns if c not in RESULT.fieldNames()]
+    folded = ordered_fold(
         rows.withColumn("_first", order), list(keys), ["event_us", "_first", "evidence_id"], _INPUTS, step,
-        timeline_start, RESULT, keep=[c for c in rows.columns if c not in RESULT.fieldNames()], hot=True)
+        timeline_start, RESULT, keep=kept, hot=True)
+    # the last row of an instant has seen them all; an instant holds few rows, whatever its key holds
+    instant = Window.partitionBy(*keys, "event_us").orderBy("evidence_id").rowsBetween(
+        Window.unboundedPreceding, Window.unboundedFollowing)
+    whole = F.last(F.struct(*RESULT.fieldNames())).over(instant)
+    return folded.withColumn("_whole", whole).select(*kept, "_whole.*")

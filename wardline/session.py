@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 
@@ -20,14 +22,18 @@ def use_utc(spark: SparkSession) -> SparkSession:
 def shared_dir(spark: SparkSession) -> str:
     """The folder every executor can reach.
 
-    On a cluster this is what ``spark.checkpoint.dir`` names. Only where that is unset, as in
-    local tests, a fresh local folder stands in for it.
+    On a cluster this is what ``spark.checkpoint.dir`` names, and it has to be set. Only a local session without it,
+    as in tests, gets a fresh local folder, which is removed when the process ends.
     """
     named = spark.sparkContext.getConf().get(CHECKPOINT_CONF) or spark.conf.get(CHECKPOINT_CONF, None)
     if not named:
         named = spark.conf.get("wardline.local.scratch", None)
         if not named:
+            master = spark.sparkContext.master
+            if not (master == "local" or master.startswith("local[")):
+                raise ValueError(f"set spark.checkpoint.dir to a folder all executors of {master} share")
             named = tempfile.mkdtemp(prefix="wardline-")
+            atexit.register(shutil.rmtree, named, ignore_errors=True)
             spark.conf.set("wardline.local.scratch", named)
     if not spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
         spark.sparkContext.setCheckpointDir(named)

@@ -19,9 +19,10 @@ URINE_ITEMS = (226557, 226558, 226559, 226560, 226561, 226563, 226564, 226565, 2
 
 
 def _csv(spark: SparkSession, path: str) -> DataFrame:
-    """CSV with a number that keeps the file's row order, which decides between equal times."""
+    """CSV with a number that decides between equal times: the row id where there is one, else a hash of the whole row, which
+    does not depend on how files are listed and split."""
     raw = spark.read.option("header", True).csv(path)
-    row = F.expr("try_cast(row_id AS bigint)") if "row_id" in raw.columns else F.monotonically_increasing_id()
+    row = F.expr("try_cast(row_id AS bigint)") if "row_id" in raw.columns else F.xxhash64(*raw.columns)
     return raw.withColumn("_row", row)
 
 
@@ -41,7 +42,7 @@ def read_icustays(spark: SparkSession, path: str, limit: int | None = None) -> D
     stays = _csv(spark, path).select(
         "subject_id", F.coalesce("hadm_id", F.lit("")).alias("hadm_id"), "stay_id", _us("intime").alias("intime_us"),
         _us("outtime").alias("outtime_us"))
-    return stays.limit(limit) if limit else stays
+    return stays.orderBy("stay_id", "subject_id", "hadm_id").limit(limit) if limit else stays
 
 
 def read_labs(spark: SparkSession, path: str, stays: DataFrame) -> DataFrame:

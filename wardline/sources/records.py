@@ -23,13 +23,13 @@ def parse_json(values: DataFrame, schema: T.StructType, column: str = "value") -
 def stream_records(values: DataFrame, column: str = "value") -> DataFrame:
     """Envelopes with parsed clocks and a dead-letter reason.
 
-    A malformed record keeps a key derived from its content. Records without a patient or resource are
-    dropped, as nothing can be done with them.
+    A malformed record keeps a key derived from its content. A record without a patient or resource gets a reason of
+    its own, and so reaches the dead letters.
     """
     rows = parse_json(values, ENVELOPE, column)
     bad = F.col(_BAD).isNotNull() | F.col(column).isNull()
     rows = rows.withColumns({
-        "reason": F.when(bad, "malformed_json").otherwise(
+        "reason": F.when(bad, "malformed_json").when(F.col("patient_id").isNull() | F.col("resource").isNull(), "no_patient_or_resource").otherwise(
             stream_time_reason(F.col("event_time"), F.col("ingest_time"))),
         "idempotency_key": F.when(bad, F.concat(F.lit("parse-"), ids.name_uuid(F.coalesce(column, F.lit("")))))
         .otherwise(F.col("idempotency_key")),
@@ -39,7 +39,7 @@ def stream_records(values: DataFrame, column: str = "value") -> DataFrame:
     rows = rows.withColumn("ingest_us", F.when(
         F.trim(F.coalesce("ingest_time", F.lit(""))) == "", F.col("event_us")).otherwise(
         F.unix_micros(stream_time(F.col("ingest_time")))))
-    return rows.where(bad | (F.col("patient_id").isNotNull() & F.col("resource").isNotNull())).drop(_BAD)
+    return rows.drop(_BAD)
 
 
 # Fixed values of the trusted-fact contract.

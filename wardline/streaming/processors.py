@@ -20,7 +20,6 @@ _BYTES = T.StructType([T.StructField("v", T.BinaryType())])
 _CLOCK = T.StructType([T.StructField("newest", T.LongType()), T.StructField("flushed", T.LongType())])
 _KEY = T.StructType([T.StructField("k", T.StringType())])
 _SEEN = T.StructType([T.StructField("at", T.LongType())])
-MAX_KEYS = 10_000
 
 FLUSH_PREFIX = "flush-"
 """Delivery keys with this prefix mark the end of input: they only move the patient's clock."""
@@ -82,11 +81,7 @@ class RecordProcessor(StatefulProcessor):
         return False
 
     def _prune(self, now: int) -> None:
-        held = [(v[0], k[0]) for k, v in self.seen.iterator()]
-        gone = {k for at, k in held if now - at >= DAY_US}
-        left = sorted(x for x in held if x[1] not in gone)
-        gone |= {k for _, k in left[: max(0, len(left) - MAX_KEYS)]}
-        for k in gone:
+        for k in [k[0] for k, v in self.seen.iterator() if now - v[0] >= DAY_US]:
             self.seen.removeKey((k,))
 
     def _out(self, row: dict, reason: str | None, values: tuple | None) -> Row:
@@ -139,14 +134,16 @@ class RecordProcessor(StatefulProcessor):
         for n, row in enumerate(r for r in waiting if r["event_us"] > flushed):
             name = f"{row['event_us']:020d}|{row['idempotency_key'] or ''}|{row['ingest_us']}|{n}"
             self.pending.updateValue((name,), (pickle.dumps(row),))
-            # A lone last event still comes out once the watermark has passed its lateness.
-            self.handle.registerTimer((row["event_us"] + LATENESS_US) // 1000)
+            # A lone last event still comes out once the arrival clock has passed its lateness.
+            self.handle.registerTimer((row["ingest_us"] + LATENESS_US) // 1000)
         self.clock.update((newest or 0, flushed))
         yield from self._flush(flushed, ready)
 
     def handleExpiredTimer(self, key: Any, timerValues: Any, expiredTimerInfo: Any) -> Iterator[Row]:
         newest, flushed = self.clock.get() if self.clock.exists() else (0, 0)
-        flushed = max(flushed, expiredTimerInfo.getExpiryTimeInMs() * 1000)
+        waited = [pickle.loads(bytes(v[0])) for _, v in self.pending.iterator()]
+        due = (expiredTimerInfo.getExpiryTimeInMs() + 1) * 1000
+        flushed = max([flushed, *(r["event_us"] for r in waited if r["ingest_us"] + LATENESS_US < due)])
         self.clock.update((newest, flushed))
         yield from self._flush(flushed, [])
 
