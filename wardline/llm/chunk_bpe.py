@@ -1,14 +1,14 @@
 """Byte-level BPE by chunks that documents share.
 
 A rolling hash of the last ``WINDOW`` bytes cuts texts where its top bits are zero, so equal passages get equal chunks wherever they
-stand. A chunk is encoded once and its ids are reused wherever it comes up again in the rows a task reads. Cuts fall anywhere, also inside
+stand. A chunk is encoded once and its ids are reused wherever it comes up again in the rows a worker reads. Cuts fall anywhere, also inside
 words, so each join is repaired: the stretch between the nearest safe places around the cut is encoded anew, and the ids of both chunks
 are kept only outside it. Kept and new ids must cover the text byte for byte; where they don't, the stretch grows by doubling until they
 agree, up to the whole text. A place is safe where a printable ASCII character is followed by a space or line feed: no match of the
 tokenizer's word pattern goes across it, and what follows is matched alike whatever stands before.
 
-Chunks are shared within a task, not across the cluster: sending ids through a shuffle moves more bytes than the texts have, and
-encoding a chunk again in another task costs less than that.
+Chunks are shared within a Python worker, not across the cluster: sending ids through a shuffle moves more bytes than the texts have, and
+encoding a chunk again in another worker costs less than that.
 """
 
 from __future__ import annotations
@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import batches_of, gathered, short_batches, slices, tidied
-from .encoders import Memory, load_tokenizer, piece_memory, sums
+from .encoders import Memory, kept_by_worker, load_tokenizer, piece_memory, sums
 
 WINDOW = 16
 MASK_BITS = 8  # a chunk in 256 bytes on average
@@ -82,7 +82,7 @@ def cut_places(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.nda
 
 class ChunkEncoder:
     def __init__(self, spec: str, chunk_limit: int = 40_000) -> None:
-        self.pieces = piece_memory(load_tokenizer(spec), spec, limit=120_000)
+        self.pieces = piece_memory(load_tokenizer(spec), spec, limit=300_000)
         self.chunks = Memory(self._encode_chunks, chunk_limit)
         self.decoder = Decoder(spec)
 
@@ -148,7 +148,7 @@ class ChunkEncoder:
 
 def _run(spec: str, with_ids: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = ChunkEncoder(spec)
+        encoder = kept_by_worker("chunks", spec, lambda: ChunkEncoder(spec))
         kind = "<u2" if len(encoder.decoder.lengths) <= 1 << 16 else "<u4"
         for batch in batches:
             docs, texts = batch.column(0), batch.column(1).to_pylist()
