@@ -7,8 +7,8 @@ import numpy as np
 
 import __spark_entry__ as entry
 import corpus_pipeline
+from tests.llm.test_near_copies import wanted
 from tests.llm.test_operators import plain, rows
-from wardline.llm import simhash
 from wardline.llm.common import saved
 
 
@@ -27,13 +27,8 @@ def test_stages(spark, sf):
             lines = [x for r in new for x in r["text"].split("\n") if x.strip()]
             assert len(lines) == len(set(lines)) and set(lines) <= {x for r in old for x in r["text"].split("\n")}
         elif name.startswith("SimHash"):
-            prints = sorted((r["doc_id"], simhash.fingerprint(r["text"], 5)) for r in old)
-            value = np.array([p for _, p in prints], np.uint64)
-            i, j = np.nonzero(np.bitwise_count(value[:, None] ^ value[None, :]) <= 4)
-            from wardline.llm.components import merge_labels
-
-            label = merge_labels(np.arange(len(prints)), i, j)
-            assert sorted(r["doc_id"] for r in new) == [prints[k][0] for k in np.flatnonzero(label == np.arange(len(label)))]
+            groups = wanted([(r["doc_id"], r["text"]) for r in old], distance=2)
+            assert sorted(r["doc_id"] for r in new) == sorted(d for d, c in groups.items() if d == c)
         elif name.startswith("mixing"):
             assert {r["doc_id"] for r in new} <= {r["doc_id"] for r in old}
             assert sum(len(r["text"].split()) for r in new) <= sum(len(r["text"].split()) for r in old)

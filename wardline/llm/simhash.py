@@ -30,22 +30,28 @@ _LINK = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 _PRINT = pa.schema([("doc_id", pa.int64()), ("fp", pa.int64())])
 
 
-def fingerprint(text: str | None, words: int = WORDS, seed: int = SEED) -> int:
-    """Unsigned; 0 without words. A bit is set if more than half of the shingles' hashes have it."""
+def shingle_hashes(text: str | None, words: int, seed: int = SEED) -> Iterator[np.ndarray]:
+    """The hashes of a text's shingles, repeats included, some at a time; nothing without words."""
     parts = (text or "").encode("utf-8", "surrogatepass").lower().split()  # bytes: A-Z and ASCII white space only
     if not parts:
-        return 0
+        return
     if len(parts) < words:
         shingles = [b" ".join(parts)]
     else:
         shingles = list(map(b" ".join, zip(*(parts[i:] for i in range(words)))))
-    total = np.zeros(BITS, np.int64)
     for at in range(0, len(shingles), 1 << 15):
-        hashes = np.fromiter((xxhash.xxh64_intdigest(s, seed) for s in shingles[at:at + (1 << 15)]), "<u8")
+        yield np.fromiter((xxhash.xxh64_intdigest(s, seed) for s in shingles[at:at + (1 << 15)]), "<u8")
+
+
+def fingerprint(text: str | None, words: int = WORDS, seed: int = SEED) -> int:
+    """Unsigned; 0 without words. A bit is set if more than half of the shingles' hashes have it."""
+    total, count = np.zeros(BITS, np.int64), 0
+    for hashes in shingle_hashes(text, words, seed):
         # eight bytes of counts at a time: sums of up to 255 bits fit a byte of each lane
         bits = np.unpackbits(hashes.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
         total += bits.sum(axis=0, dtype=np.int32)
-    return int.from_bytes(np.packbits(total * 2 > len(shingles), bitorder="little").tobytes(), "little")
+        count += len(hashes)
+    return int.from_bytes(np.packbits(total * 2 > count, bitorder="little").tobytes(), "little")
 
 
 def _prints(words: int, seed: int):
@@ -138,10 +144,3 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, distance: int = DISTANC
     smallest = labelled.groupBy("root").agg(F.min("first_doc").alias("component_id"))
     labelled = saved(labelled.join(smallest, "root").select("fp", "component_id"), "fingerprint-components")
     return prints.join(labelled, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
-
-
-def without_copies(docs: DataFrame, words: int = 5, distance: int = 4, blocks: int = 7, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """``docs`` with one document of each component, the one with the smallest doc_id; all columns stay. Rows without doc_id stay, as
-    do all rows that repeat the doc_id kept."""
-    gone = near_duplicates(docs, words, distance, blocks, doc_id=doc_id, text=text).where("doc_id <> component_id").select(F.col("doc_id").alias("_gone")).distinct()
-    return docs.join(saved(gone, "simhash-gone"), F.col(doc_id).cast("long") == F.col("_gone"), "left_anti")
