@@ -78,3 +78,43 @@ def test_without_copies(spark):
 def test_similarity_below_the_samples(spark):
     with pytest.raises(ValueError):
         shingle_links.similar_documents(spark.createDataFrame([], DOCS), similarity=0.5)
+
+
+def dominated(seed):
+    """Texts in which one run makes up over half of the shingles: equal fingerprints, mostly different words."""
+    rnd = random.Random(seed)
+    fresh = lambda n: [f"w{rnd.randrange(10**6)}" for _ in range(n)]
+    texts = [f"{'- ' * 400}{' '.join(fresh(n))}" for n in [3, 8, 30, 60, 60, 60]]
+    words = fresh(100)
+    for at in (50, 5, 95):
+        texts.append(f"{'- ' * 500}{' '.join(words)}")
+        words = [*words[:at], "changed", *words[at + 1:]]
+    texts += [f"{'- ' * 600}{texts[3][800:]}", f"{'0 ' * 300}{' '.join(fresh(40))}", f"{'0 ' * 300}{' '.join(fresh(40))}"]
+    rnd.shuffle(texts)
+    return list(enumerate(texts))
+
+
+def test_fingerprints_are_candidates_only(spark):
+    docs = dominated(1)
+    got = near_copies.without_copies(spark.createDataFrame([(d, t, None, None, None, None) for d, t in docs], DOCS).repartition(3))
+    want = wanted(docs)
+    assert sorted(r["doc_id"] for r in got.collect()) == sorted(d for d, c in want.items() if c == d)
+    assert len(set(want.values())) == len(docs) - 3 and len(set(wanted(docs, distance=2).values())) == 2
+
+
+def test_rare_keys(spark):
+    rnd = random.Random(3)
+    sets = []
+    for n in (4, 5, 6, 9, 10, 15, 35, 80):
+        for _ in range(6):
+            first = [1, *rnd.sample(range(2, 10**6), n - 1)]
+            sets.append(sorted(first))
+            for cut in range(1, n // 9 + 2):
+                sets += [sorted(first[cut:]), sorted(first[:-cut]), sorted([*first[cut:], *rnd.sample(range(10**6, 10**7), cut)])]
+    rows = [(g, 2 * k + g, len(s), s) for k, s in enumerate(sets) for g in (0, 1)]
+    keys = {}
+    for r in shingle_links.rare_keys(spark.createDataFrame(rows, "group long, node long, size long, hashes array<long>"), 0.8).collect():
+        keys.setdefault(r["node"], set()).add(r["key"])
+    group = [(node, set(h)) for g, node, _, h in rows if g]
+    alike = [(a, b) for i, (a, s) in enumerate(group) for b, t in group[:i] if s != t and len(s & t) >= 0.8 * len(s | t)]
+    assert len(alike) > 50 and all(keys.get(a, set()) & keys.get(b, set()) for a, b in alike)
