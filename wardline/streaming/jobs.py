@@ -1,8 +1,9 @@
 """Stream jobs: records -> snapshots and dead letters -> governed alerts -> episodes.
 
 Each job is one streaming query with its own checkpoint and reads what the one before it wrote, so every
-stage restarts on its own. Spark's watermark is on the arrival clock: it only drives timers, and a record that is late
-in event time, by however much, is not dropped by it but reaches the five-minute rule per patient and the dead letters.
+stage restarts on its own. Spark's watermark is on the time a micro-batch reads its records: it only drives timers, and no
+stamp in a record moves it or lies behind it, so a record that is late in event time or in arrival, by however much, is not
+dropped but reaches the five-minute rule per patient and the dead letters.
 """
 
 from __future__ import annotations
@@ -51,7 +52,7 @@ def _dead(rows: DataFrame, like: DataFrame) -> DataFrame:
 
 
 def _with_clock(rows: DataFrame) -> DataFrame:
-    return rows.withColumn("event_ts", F.timestamp_micros(F.coalesce("ingest_us", "event_us"))).withWatermark("event_ts", WATERMARK)
+    return rows.withColumn("read_us", F.unix_micros(F.current_timestamp())).withColumn("read_ts", F.timestamp_micros("read_us")).withWatermark("read_ts", WATERMARK)
 
 
 def snapshot_stream(recs: DataFrame) -> DataFrame:

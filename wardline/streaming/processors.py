@@ -134,8 +134,8 @@ class RecordProcessor(StatefulProcessor):
         for n, row in enumerate(r for r in waiting if r["event_us"] > flushed):
             name = f"{row['event_us']:020d}|{row['idempotency_key'] or ''}|{row['ingest_us']}|{n}"
             self.pending.updateValue((name,), (pickle.dumps(row),))
-            # A lone last event still comes out once the arrival clock has passed its lateness.
-            self.handle.registerTimer((row["ingest_us"] + LATENESS_US) // 1000)
+            # A lone last event still comes out once the reading clock has passed its lateness.
+            self.handle.registerTimer((row["read_us"] + LATENESS_US) // 1000)
         self.clock.update((newest or 0, flushed))
         yield from self._flush(flushed, ready)
 
@@ -143,7 +143,7 @@ class RecordProcessor(StatefulProcessor):
         newest, flushed = self.clock.get() if self.clock.exists() else (0, 0)
         waited = [pickle.loads(bytes(v[0])) for _, v in self.pending.iterator()]
         due = (expiredTimerInfo.getExpiryTimeInMs() + 1) * 1000
-        flushed = max([flushed, *(r["event_us"] for r in waited if r["ingest_us"] + LATENESS_US < due)])
+        flushed = max([flushed, *(r["event_us"] for r in waited if r["read_us"] + LATENESS_US < due)])
         self.clock.update((newest, flushed))
         yield from self._flush(flushed, [])
 
