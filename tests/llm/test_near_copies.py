@@ -118,3 +118,9 @@ def test_rare_keys(spark):
     group = [(node, set(h)) for g, node, _, h in rows if g]
     alike = [(a, b) for i, (a, s) in enumerate(group) for b, t in group[:i] if s != t and len(s & t) >= 0.8 * len(s | t)]
     assert len(alike) > 50 and all(keys.get(a, set()) & keys.get(b, set()) for a, b in alike)
+
+
+def test_short_pair_without_a_common_sample(spark):
+    text = " ".join(f"{c}892" for c in "abcdefgh")  # four shingles, five with one more word; none of the 20 samples was equal
+    got = shingle_links.similar_documents(spark.createDataFrame([(1, text, None, None, None, None), (2, text + " i892", None, None, None, None)], DOCS))
+    assert sorted(map(tuple, got.collect())) == [(1, 1), (2, 1)]
