@@ -307,8 +307,8 @@ def near_links(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 
 def _occurrences(docs: DataFrame) -> DataFrame:
-    lines = docs.select("doc_id", F.posexplode(F.split("text", "\n")).alias("line_no", "line")).where(F.regexp_like("line", F.lit(r"\S")))
-    return lines.select("doc_id", "line_no", F.unhex(F.md5("line")).alias("h"))
+    lines = docs.select("doc_id", F.xxhash64("text").alias("th"), F.posexplode(F.split("text", "\n")).alias("line_no", "line")).where(F.regexp_like("line", F.lit(r"\S")))
+    return lines.select("doc_id", "th", "line_no", F.unhex(F.md5("line")).alias("h"))
 
 
 def line_classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -318,6 +318,11 @@ def line_classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") ->
     number of other different lines near this one. Null and empty texts have no lines; documents without doc_id are left out, as
     the order gives them no place; of rows that repeat a doc_id, lines with the same number are one place. Other columns are not read.
     """
+    return _classed(docs, doc_id, text).drop("th")
+
+
+def _classed(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
+    """The rows of ``line_classes`` with th, a hash of the text they are in: it tells texts with one doc_id apart."""
     docs = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")).where("doc_id is not null")
     places = saved(_occurrences(docs), "line-places")
     first = places.groupBy("h").agg(F.min(F.struct("doc_id", "line_no")).alias("first"))
@@ -329,13 +334,13 @@ def line_classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") ->
     named = linked.join(linked.groupBy("root").agg(F.min("first").alias("class")), "root").select("h", "class", "n_links")
     classes = first.join(named, "h", "left").select("h", F.coalesce("class", "first").alias("class"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
     out = places.join(saved(classes, "line-names"), "h")
-    return out.select("doc_id", "line_no", F.col("class.doc_id").alias("class_doc"), F.col("class.line_no").alias("class_line"), "n_links",
+    return out.select("doc_id", "th", "line_no", F.col("class.doc_id").alias("class_doc"), F.col("class.line_no").alias("class_line"), "n_links",
                       (F.struct("doc_id", "line_no") == F.col("class")).alias("kept"))
 
 
 def without_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """``docs`` with the text of each document reduced to its kept and blank lines; all rows and columns stay, a null text stays null."""
-    gone = line_classes(docs, doc_id, text).where("not kept").groupBy(F.col("doc_id").alias("_gone_doc")).agg(F.collect_set("line_no").alias("_gone"))
+    gone = _classed(docs, doc_id, text).where("not kept").groupBy(F.col("doc_id").alias("_gone_doc"), F.col("th").alias("_gone_text")).agg(F.collect_set("line_no").alias("_gone"))
     kept = F.filter(F.split(F.col(text), "\n"), lambda _, i: ~F.array_contains(F.col("_gone"), i))
-    joined = docs.join(gone, F.col(doc_id).cast("long") == F.col("_gone_doc"), "left")
+    joined = docs.join(gone, (F.col(doc_id).cast("long") == F.col("_gone_doc")) & (F.xxhash64(F.col(text)) == F.col("_gone_text")), "left")
     return joined.withColumn(text, F.when(F.col("_gone").isNull(), F.col(text)).otherwise(F.array_join(kept, "\n"))).select(*docs.columns)
