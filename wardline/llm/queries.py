@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import chunk_bpe, embedding_tiles, kd_search, language_crf, line_edits, mixing, simhash, suffix_spans, token_files, url_rules
+from . import chunk_bpe, embedding_tiles, kd_search, language_crf, line_edits, merkle, mixing, simhash, suffix_spans, token_files, url_rules
 from .common import table
 
 #: Fixed values of the contract: (host, path, verdict).
@@ -58,6 +59,18 @@ def op10_suffix_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_spans.without_repeats(table(spark, sf_dir, "documents"))
 
 
+def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    fields = ("doc_id", "source", "lang", "n_chars", "text")
+    tampered = F.when(F.crc32(F.col("doc_id").cast("string")) % 3 == 0, merkle.leaf([
+        F.translate("text", url_rules.UPPER, url_rules.LOWER) if f == "text" else F.col(f) for f in fields]))
+    paths = merkle.manifest(
+        table(spark, sf_dir, "documents"), [F.col(f) for f in fields], group=F.col("lang"), order=F.col("doc_id"), kept={"doc_id": F.col("doc_id"), "tampered": tampered}).paths
+    found = paths.select(
+        "doc_id", "leaf", "subroot", "root", merkle.proof_digest(F.col("path")).alias("proof_sha256"),
+        merkle.folded(F.coalesce("tampered", "leaf"), F.col("path")).alias("folded_root"))
+    return found.withColumn("verified", F.col("folded_root") == F.col("root"))
+
+
 URL_SQL = """
 WITH parts AS (
   SELECT page_id, CASE WHEN instr(url, '://') > 0 THEN substr(url, instr(url, '://') + 3) ELSE '' END AS rest FROM pages),
@@ -108,9 +121,55 @@ FROM r GROUP BY doc_id, source, place, size, source_size, target
 """
 
 
+def _merkle_sql(levels: int) -> str:
+    """Level by level; ``levels`` of 8 hold 8 ** levels documents of a language."""
+
+    def leaf(text: str) -> str:
+        return "sha256(" + " || ".join(
+            f"coalesce(strlen(CAST({c} AS VARCHAR)) || ':' || {c}, '-')" for c in ("doc_id", "source", "lang", "n_chars", text)) + ")"
+
+    def climb(name: str, keys: str) -> str:
+        out = ""
+        for k in range(levels):
+            out += f"""
+{name}_runs{k} AS (SELECT {keys} g, idx // 8 AS run, any_value(n) AS n, string_agg(h, '' ORDER BY idx) AS s FROM {name}{k} GROUP BY ALL),
+{name}{k + 1} AS (SELECT g, run AS idx, CASE WHEN n = 1 THEN s ELSE sha256(s) END AS h, (n + 7) // 8 AS n FROM {name}_runs{k}),"""
+        return out
+
+    def beside(table: str, name: str) -> str:
+        out, at = "", table
+        for k in range(levels):
+            place = f"(d.{name}_idx // {8 ** k})"
+            out += f"""
+{table}_{k} AS (
+  SELECT d.*, CASE WHEN r.n > 1 THEN substr(s, 1, {place} % 8 * 64) ELSE '' END AS l, CASE WHEN r.n > 1 THEN substr(s, ({place} % 8 + 1) * 64 + 1) ELSE '' END AS r, r.n > 1 AS met
+  FROM {at} d JOIN {name}_runs{k} r ON d.{name}_g IS NOT DISTINCT FROM r.g AND {place} // 8 = r.run),
+{table}_{k}x AS (SELECT * REPLACE (proof || l || r AS proof, CASE WHEN met THEN sha256(l || x || r) ELSE x END AS x) FROM {table}_{k}),
+{table}_{k}y AS (SELECT * EXCLUDE (l, r, met) FROM {table}_{k}x),"""
+            at = f"{table}_{k}y"
+        return out
+
+    return f"""
+WITH docs AS (
+  SELECT doc_id, lang, {leaf("text")} AS leaf, {leaf("translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')")} AS altered,
+    list_reduce(list_prepend(4294967295::BIGINT, list_transform(string_split(doc_id::VARCHAR, ''), lambda c: ord(c)::BIGINT)), lambda c, b:
+      list_reduce(list_prepend(xor(c, b), [0, 0, 0, 0, 0, 0, 0, 0]::BIGINT[]), lambda x, z: CASE WHEN x & 1 = 1 THEN xor(x >> 1, 3988292384) ELSE x >> 1 END)) AS crc
+  FROM documents),
+t0 AS (SELECT lang AS g, leaf AS h, row_number() OVER w - 1 AS idx, count(*) OVER (PARTITION BY lang) AS n FROM docs WINDOW w AS (PARTITION BY lang ORDER BY doc_id NULLS FIRST, leaf)),{climb("t", "")}
+u0 AS (SELECT 0 AS g, g AS lang, h, row_number() OVER (ORDER BY g NULLS FIRST) - 1 AS idx, count(*) OVER () AS n FROM t{levels}),{climb("u", "")}
+d AS (
+  SELECT doc_id, lang AS t_g, row_number() OVER (PARTITION BY lang ORDER BY doc_id NULLS FIRST, leaf) - 1 AS t_idx, leaf,
+         CASE WHEN doc_id IS NOT NULL AND xor(crc, 4294967295) % 3 = 0 THEN altered ELSE leaf END AS x, '' AS proof FROM docs),{beside("d", "t")}
+e AS (
+  SELECT d.*, u0.g AS u_g, u0.idx AS u_idx, u0.h AS subroot, u{levels}.h AS root FROM d_{levels - 1}y d JOIN u0 ON d.t_g IS NOT DISTINCT FROM u0.lang, u{levels}),{beside("e", "u")}
+done AS (SELECT * FROM e_{levels - 1}y)
+SELECT doc_id, leaf, subroot, root, sha256(proof) AS proof_sha256, x AS folded_root, x = root AS verified FROM done
+"""
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_token_files, op2_chunk_bpe, op3_url_rules, op4_embedding_tiles, op5_mixing, op6_line_edits, op7_simhash, op8_language_crf, op9_kd_search, op10_suffix_spans)}
+    return {f.__name__: f for f in (op1_token_files, op2_chunk_bpe, op3_url_rules, op4_embedding_tiles, op5_mixing, op6_line_edits, op7_simhash, op8_language_crf, op9_kd_search, op10_suffix_spans, op11_merkle_manifest)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_url_rules": URL_SQL, "op5_mixing": MIX_SQL, "op9_kd_search": TOP_SQL}
+    return {"op3_url_rules": URL_SQL, "op5_mixing": MIX_SQL, "op9_kd_search": TOP_SQL, "op11_merkle_manifest": _merkle_sql(levels=8)}
