@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chunk_bpe, embedding_tiles, kd_search, language_crf, line_edits, merkle, mixing, simhash, suffix_spans, token_files, url_rules
-from .common import table
+from . import chunk_bpe, embedding_tiles, kd_search, language_crf, line_edits, merkle, mixing, simhash, suffix_spans, token_files, url_rules, word_runs
+from .common import WORD, table
 
 #: Fixed values of the contract: (host, path, verdict).
 RULES = (("net", "/", "block"), ("example.net", "/en/", "allow"), ("example.com", "/de/", "block"), ("org", "/fr/", "allow"))
@@ -71,6 +71,24 @@ def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.withColumn("verified", F.col("folded_root") == F.col("root"))
 
 
+def _looped(docs: DataFrame) -> DataFrame:
+    """``text`` as the contract alters it: where 10 divides the crc32 of doc_id, the words from the a-th on repeat the p words there."""
+    h = F.crc32(F.col("doc_id").cast("string"))
+    rows = docs.select("doc_id", "text", F.floor(h / 10).alias("g"), F.when(h % 10 == 0, F.regexp_extract_all("text", F.lit(f"({WORD})"), F.lit(1))).alias("words"))
+    rows = rows.withColumn("n", F.size("words").cast("long")).withColumn("a", F.when(F.col("n") > 0, F.col("g") % F.col("n")))
+    rows = rows.withColumn("p", 1 + F.floor((F.col("n") - F.col("a")) / (3 + F.col("g") % 8)))
+    tail = F.transform(F.sequence(F.lit(0).cast("long"), F.col("n") - F.col("a") - 1), lambda i: F.col("words")[(F.col("a") + i % F.col("p")).cast("int")])
+    return rows.select("doc_id", F.when(F.col("a").isNotNull(), F.array_join(F.concat(F.slice("words", F.lit(1), F.col("a").cast("int")), tail), " ")).otherwise(F.col("text")).alias("text"))
+
+
+def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = word_runs.periodic_runs(_looped(table(spark, sf_dir, "documents")), F.col("text"), kept={"doc_id": F.col("doc_id")})
+    best = found.withColumn("best", word_runs.dominant(F.col("runs")))
+    return best.select(
+        "doc_id", F.size("runs").cast("long").alias("n_runs"), "best.*", F.floor(1000 * F.col("best.length") / F.col("best.period")).alias("exponent_milli"),
+        F.sha2(word_runs.listing(F.col("runs")), 256).alias("runs_sha256"), F.sha2("collapsed", 256).alias("collapsed_sha256"))
+
+
 URL_SQL = """
 WITH parts AS (
   SELECT page_id, CASE WHEN instr(url, '://') > 0 THEN substr(url, instr(url, '://') + 3) ELSE '' END AS rest FROM pages),
@@ -168,7 +186,7 @@ SELECT doc_id, leaf, subroot, root, sha256(proof) AS proof_sha256, x AS folded_r
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_token_files, op2_chunk_bpe, op3_url_rules, op4_embedding_tiles, op5_mixing, op6_line_edits, op7_simhash, op8_language_crf, op9_kd_search, op10_suffix_spans, op11_merkle_manifest)}
+    return {f.__name__: f for f in (op1_token_files, op2_chunk_bpe, op3_url_rules, op4_embedding_tiles, op5_mixing, op6_line_edits, op7_simhash, op8_language_crf, op9_kd_search, op10_suffix_spans, op11_merkle_manifest, op13_periodic_runs)}
 
 
 def oracle_sql() -> dict[str, str]:
