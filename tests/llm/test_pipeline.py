@@ -49,4 +49,4 @@ def test_queries_match_sql(spark, sf):
             names = [d[0] for d in want.description]
             assert sorted(df.columns) == sorted(names)
             assert rows(df.select(*names)) == sorted(want.fetchall(), key=repr), name
-    assert {f"op{n}" for n in range(1, 12)} == {n.split("_")[0] for n in entry.queries() if n.startswith("op") and n[2].isdigit()} and "pipeline" in entry.queries()
+    assert {f"op{n}" for n in range(1, 14)} == {n.split("_")[0] for n in entry.queries() if n.startswith("op") and n[2].isdigit()} and "pipeline" in entry.queries()

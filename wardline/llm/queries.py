@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chunk_bpe, embedding_tiles, kd_search, language_crf, line_edits, merkle, mixing, simhash, suffix_spans, token_files, url_rules, word_runs
+from . import chunk_bpe, embedding_tiles, kd_search, language_crf, line_blocks, line_edits, merkle, mixing, simhash, suffix_spans, token_files, url_rules, word_runs
 from .common import WORD, table
 
 #: Fixed values of the contract: (host, path, verdict).
@@ -71,6 +71,11 @@ def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.withColumn("verified", F.col("folded_root") == F.col("root"))
 
 
+def op12_line_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = line_blocks.extracted(table(spark, sf_dir, "pages"), F.col("html"), kept={"page_id": F.col("page_id"), "url": F.col("url")})
+    return found.withColumn("n_chars", F.char_length("text").cast("long"))
+
+
 def _looped(docs: DataFrame) -> DataFrame:
     """``text`` as the contract alters it: where 10 divides the crc32 of doc_id, the words from the a-th on repeat the p words there."""
     h = F.crc32(F.col("doc_id").cast("string"))
@@ -186,7 +191,7 @@ SELECT doc_id, leaf, subroot, root, sha256(proof) AS proof_sha256, x AS folded_r
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_token_files, op2_chunk_bpe, op3_url_rules, op4_embedding_tiles, op5_mixing, op6_line_edits, op7_simhash, op8_language_crf, op9_kd_search, op10_suffix_spans, op11_merkle_manifest, op13_periodic_runs)}
+    return {f.__name__: f for f in (op1_token_files, op2_chunk_bpe, op3_url_rules, op4_embedding_tiles, op5_mixing, op6_line_edits, op7_simhash, op8_language_crf, op9_kd_search, op10_suffix_spans, op11_merkle_manifest, op12_line_blocks, op13_periodic_runs)}
 
 
 def oracle_sql() -> dict[str, str]:
