@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import count, islice
 
 import numpy as np
 import pyarrow as pa
@@ -19,6 +20,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def fresh(df: DataFrame, n: int) -> list[str]:
+    """``n`` names that no column of ``df`` has."""
+    have = {c.lower() for c in df.columns}
+    return list(islice((name for k in count() if (name := f"_{k}") not in have), n))
+
+
 def short_batches(df: DataFrame, rows: int = 1000) -> DataFrame:
     """The same rows; from now on the session hands Python this many at a time. Texts are long, and the usual 10,000 would be held several
     times over on both sides."""

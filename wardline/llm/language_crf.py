@@ -205,8 +205,8 @@ class Labeller:
         self.emit = np.zeros((0, len(model.languages)), np.float32)
         self.switch, self.first = np.exp(model.switch).astype(np.float32), np.exp(model.first).astype(np.float32)
 
-    def label(self, texts: list[list[str]]) -> np.ndarray:
-        """Mean posterior of every language, for texts with at least one word each."""
+    def label(self, texts: list[list[str]]) -> tuple[np.ndarray, np.ndarray]:
+        """Mean posterior of every language, and the mean over words of the greatest posterior, for texts with at least one word each."""
         flat = [w for words in texts for w in words]
         new = [w for w in dict.fromkeys(flat) if w not in self.index]
         if new:
@@ -217,26 +217,26 @@ class Labeller:
             self.emit = np.concatenate([self.emit, *(_positive(self.model.emissions(new[i:i + 50_000])) for i in range(0, len(new), 50_000))])
         at = np.fromiter(map(self.index.__getitem__, flat), np.int64, len(flat))
         lengths = np.fromiter(map(len, texts), np.int64, len(texts))
-        posterior = forward_backward(lengths, at, self.emit, self.switch, self.first)
-        return np.add.reduceat(posterior.astype(np.float64), np.cumsum(lengths) - lengths, axis=0) / lengths[:, None]
+        posterior = forward_backward(lengths, at, self.emit, self.switch, self.first).astype(np.float64)
+        starts = np.cumsum(lengths) - lengths
+        return np.add.reduceat(posterior, starts, axis=0) / lengths[:, None], np.add.reduceat(posterior.max(axis=1), starts) / lengths
 
 
 def _predict(model: Model | None, text: int, keep=None):
-    """``keep``: instead of predictions, the rows whose (language, score) it accepts."""
+    """``keep``: instead of predictions, the rows whose (language, mean over words of the greatest posterior) it accepts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         labeller = Labeller(model) if model else None
         for batch in batches:
             texts = batch.column(text)
-            best, score = [UNKNOWN] * batch.num_rows, [0.0] * batch.num_rows
+            best, score, sure = [UNKNOWN] * batch.num_rows, [0.0] * batch.num_rows, [0.0] * batch.num_rows
             sizes = pa.compute.fill_null(pa.compute.utf8_length(texts), 0).to_numpy(zero_copy_only=False) if labeller else np.zeros(batch.num_rows)
             group: list[tuple[int, list[str]]] = []
             held = 0
 
             def flush() -> None:
-                means = labeller.label([words for _, words in group])
-                for (i, _), mean in zip(group, means):
-                    top = int(np.argmax(mean))
+                for (i, _), mean, each in zip(group, *labeller.label([words for _, words in group])):
+                    top, sure[i] = int(np.argmax(mean)), float(each)
                     best[i], score[i] = model.languages[top], float(min(1.0, max(0.0, mean[top])))
                 group.clear()
 
@@ -250,7 +250,7 @@ def _predict(model: Model | None, text: int, keep=None):
             if group:
                 flush()
             if keep:
-                yield batch.filter(pa.array([keep(*x) for x in zip(best, score)], pa.bool_()))
+                yield batch.filter(pa.array([keep(*x) for x in zip(best, sure)], pa.bool_()))
             else:
                 yield batches_of({"doc_id": batch.column(0), "lang_pred": best, "score": score}, _OUT)
 
@@ -302,7 +302,12 @@ def languages(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang:
     return out.select("doc_id", held.alias("held_out"), "lang_pred", "score")
 
 
-def accepted(docs: DataFrame, least: float = 0.4, doc_id: str = "doc_id", text: str = "text", lang: str = "lang") -> DataFrame:
-    """The rows of ``docs`` in a learned language with a score of at least ``least``; texts that are null or have no letter go. All columns stay as they are."""
+def accepted(docs: DataFrame, least: float = 0.5, doc_id: str = "doc_id", text: str = "text", lang: str = "lang") -> DataFrame:
+    """The rows of ``docs`` whose words are, on average, labelled with a learned language with a posterior of at least ``least``. All columns stay as they are.
+
+    It is each word's own best language that counts, so a text that switches between learned languages stays however many they are. Texts that are null or have no letter go, and so do all
+    if there is nothing to learn from. Each row is judged by its text alone: repeated rows, rows without doc_id or language, and languages that tie (the word's posterior is what counts, whichever
+    of them has it) are no special case.
+    """
     model = _model(docs, doc_id, text, lang)
-    return short_batches(docs).mapInArrow(tidied(_predict(model, docs.columns.index(text), lambda language, score: language != UNKNOWN and score >= least)), docs.schema)
+    return short_batches(docs).mapInArrow(tidied(_predict(model, docs.columns.index(text), lambda language, sure: language != UNKNOWN and sure >= least)), docs.schema)

@@ -20,17 +20,18 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import batches_of, bit_marks, is_marked, saved, short_batches, tidied
+from .common import batches_of, bit_marks, fresh, is_marked, saved, short_batches, tidied
 from .components import components
 
 EDITS = ((32, 2), (16, 1))  # characters from which so many edits are near
 CELL_ROWS = 512
 FILTER_BITS = 23
 SLICE_CHARS = 1_000_000
+_LAST = (1 << 63) - 1
 _BASE, _MIX = 0x100000001B3, 0x9E3779B97F4A7C15
 _KEYS = pa.schema([("key", pa.int64()), ("line", pa.int64())])
 _LINES = pa.schema([("line", pa.int64()), ("text", pa.string())])
-_LINKS = pa.schema([("line", pa.int64()), ("n", pa.int64()), ("root", pa.int64())])
+_LINKS = pa.schema([("line", pa.int64()), ("n", pa.int64()), ("root", pa.int64()), ("best", pa.int64())])
 
 
 def edits_of(length: int) -> int:
@@ -227,7 +228,7 @@ def _profile(lines: list[str]) -> np.ndarray:
 
 
 def _linked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Links inside cells: rows sorted by cell, with key, side (0: first block, 1: second, 2: both), line number and text."""
+    """Links inside cells: rows sorted by cell, with key, side (0: first block, 1: second, 2: both), line number, text and rank. ``best``: the least rank near a line."""
     keys = Keys()
     last, members = None, []
     known: dict[int, tuple[np.ndarray, np.ndarray]] = {}
@@ -245,6 +246,8 @@ def _linked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lengths = np.fromiter(map(len, texts), np.int64, len(texts))
         profile = _profile(texts)
         n, up = np.zeros(len(members), np.int64), list(range(len(members)))
+        ranks = [m[3] for m in members]
+        best = [_LAST] * len(members)
 
         def root(x: int) -> int:
             while up[x] != x:
@@ -269,41 +272,75 @@ def _linked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 if min(common) == key:
                     n[a] += 1
                     n[b] += 1
+                    best[a], best[b] = min(best[a], ranks[b]), min(best[b], ranks[a])
                     up[max(root(a), root(b), key=numbers.__getitem__)] = min(root(a), root(b), key=numbers.__getitem__)
         has = np.flatnonzero(n)
         if len(has):
-            return batches_of({"line": [numbers[i] for i in has], "n": n[has], "root": [numbers[root(i)] for i in has]}, _LINKS)
+            return batches_of({"line": [numbers[i] for i in has], "n": n[has], "root": [numbers[root(i)] for i in has], "best": [best[i] for i in has]}, _LINKS)
         return None
 
     for batch in batches:
-        for key, left, right, side, number, text in zip(*(c.to_pylist() for c in batch.columns)):
+        for key, left, right, side, number, text, rank in zip(*(c.to_pylist() for c in batch.columns)):
             if (key, left, right) != last:
                 if len(members) > 1 and (out := compare()):
                     yield out
                 last, members = (key, left, right), []
-            members.append((number, text, side))
+            members.append((number, text, side, rank))
     if len(members) > 1 and (out := compare()):
         yield out
 
 
-def near_links(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(number, text): the lines that may be near another one, and (line, n, root): per cell, how many links each has and its component.
+def near_links(docs: DataFrame, staying: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """(number, line, text, rank): the lines that may be near another one, and (line, n, root, best): per cell, how many links each has, its component and
+    the least rank among the lines near it.
 
-    ``docs``: one text column.
+    ``docs``: one text column. Ranks are a fixed shuffle of the lines; those of lines in ``staying`` (line) are negative, so they come first.
     """
     keyed = short_batches(docs).mapInArrow(tidied(_key_rows), "key long, line long").repartition("key").sortWithinPartitions("key", "line")
     shared = saved(keyed.mapInArrow(_shared, "key long, line long"), "line-keys")
     texts = docs.mapInArrow(tidied(_texts_of(bit_marks(shared, "line", FILTER_BITS))), "line long, text string").groupBy("line", "text").agg(F.lit(1).alias("one"))
     texts = texts.join(shared.select("line").distinct(), "line", "left_semi")
-    texts = saved(texts.select(F.monotonically_increasing_id().alias("number"), "line", "text"), "line-texts")
+    rank = F.xxhash64("text").bitwiseAND(F.lit(_LAST - 1))
+    if staying is not None:
+        texts = texts.join(staying.select("line", F.lit(True).alias("stays")), "line", "left")
+        rank = F.when(F.col("stays"), -1 - rank).otherwise(rank)
+    texts = saved(texts.select(F.monotonically_increasing_id().alias("number"), "line", "text", rank.alias("rank")), "line-texts")
     sizes = shared.groupBy("key").agg(F.ceil(F.count("*") / CELL_ROWS).cast("int").alias("blocks"))
     member = shared.join(sizes, "key").withColumn("block", F.pmod(F.xxhash64("line"), F.col("blocks")).cast("int"))
     other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
     cells = member.select("key", "line", "block", other.alias("other")).select(
         "key", F.least("block", "other").alias("left"), F.greatest("block", "other").alias("right"),
         F.when(F.col("block") == F.col("other"), 2).when(F.col("block") < F.col("other"), 0).otherwise(1).alias("side"), "line")
-    rows = cells.join(texts, "line").select("key", "left", "right", "side", "number", "text").repartition("key", "left", "right").sortWithinPartitions("key", "left", "right")
-    return texts, saved(rows.mapInArrow(tidied(_linked), "line long, n long, root long"), "line-links")
+    rows = cells.join(texts, "line").select("key", "left", "right", "side", "number", "text", "rank").repartition("key", "left", "right").sortWithinPartitions("key", "left", "right")
+    return texts, saved(rows.mapInArrow(tidied(_linked), "line long, n long, root long, best long"), "line-links")
+
+
+def near_staying(docs: DataFrame) -> DataFrame:
+    """(h): md5 of the lines that go, each near a line that stays. ``docs``: one text column.
+
+    Lines are ranked by a shuffle. In a round every line whose rank is the least among the lines near it stays, and a line goes if the least rank near it is that of a line
+    that stays; the others, few after a round or two, meet again together with the lines that stay. In the end no two lines that stay are near each other. A shuffle
+    needs about as many rounds as a table of lines has digits, however long the chains of near lines are.
+    """
+    lines, staying, gone = docs, None, []
+    while True:
+        texts, links = near_links(lines, staying)
+        least = links.groupBy(F.col("line").alias("number")).agg(F.min("best").alias("best"))
+        met = texts.join(least, "number").withColumn("stays", (F.col("rank") < 0) | (F.col("rank") < F.col("best")))
+        met = saved(met.select("line", "text", "rank", "best", "stays"), "line-round")
+        ranks = met.where("stays").select(F.col("rank").alias("best")).distinct()
+        goes = met.where("not stays").join(ranks, "best", "left_semi")
+        gone.append(saved(goes.select("line", F.unhex(F.md5("text")).alias("h")), "lines-gone"))
+        open_ = met.where("not stays").join(gone[-1].select("line"), "line", "left_anti")
+        if open_.isEmpty():
+            break
+        # only a line that stays and is near an open one matters further, and it is among those that were met
+        kept = met.where("stays")
+        lines, staying = saved(open_.select("text").unionByName(kept.select("text")), "lines-open"), kept.select("line")
+    out = gone[0]
+    for more in gone[1:]:
+        out = out.unionByName(more)
+    return out.select("h")
 
 
 def _occurrences(docs: DataFrame) -> DataFrame:
@@ -318,11 +355,6 @@ def line_classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") ->
     number of other different lines near this one. Null and empty texts have no lines; documents without doc_id are left out, as
     the order gives them no place; of rows that repeat a doc_id, lines with the same number are one place. Other columns are not read.
     """
-    return _classed(docs, doc_id, text).drop("th")
-
-
-def _classed(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
-    """The rows of ``line_classes`` with th, a hash of the text they are in: it tells texts with one doc_id apart."""
     docs = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")).where("doc_id is not null")
     places = saved(_occurrences(docs), "line-places")
     first = places.groupBy("h").agg(F.min(F.struct("doc_id", "line_no")).alias("first"))
@@ -334,13 +366,28 @@ def _classed(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
     named = linked.join(linked.groupBy("root").agg(F.min("first").alias("class")), "root").select("h", "class", "n_links")
     classes = first.join(named, "h", "left").select("h", F.coalesce("class", "first").alias("class"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
     out = places.join(saved(classes, "line-names"), "h")
-    return out.select("doc_id", "th", "line_no", F.col("class.doc_id").alias("class_doc"), F.col("class.line_no").alias("class_line"), "n_links",
+    return out.select("doc_id", "line_no", F.col("class.doc_id").alias("class_doc"), F.col("class.line_no").alias("class_line"), "n_links",
                       (F.struct("doc_id", "line_no") == F.col("class")).alias("kept"))
 
 
 def without_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """``docs`` with the text of each document reduced to its kept and blank lines; all rows and columns stay, a null text stays null."""
-    gone = _classed(docs, doc_id, text).where("not kept").groupBy(F.col("doc_id").alias("_gone_doc"), F.col("th").alias("_gone_text")).agg(F.collect_set("line_no").alias("_gone"))
-    kept = F.filter(F.split(F.col(text), "\n"), lambda _, i: ~F.array_contains(F.col("_gone"), i))
-    joined = docs.join(gone, (F.col(doc_id).cast("long") == F.col("_gone_doc")) & (F.xxhash64(F.col(text)) == F.col("_gone_text")), "left")
-    return joined.withColumn(text, F.when(F.col("_gone").isNull(), F.col(text)).otherwise(F.array_join(kept, "\n"))).select(*docs.columns)
+    """``docs`` without repeated lines; all rows and columns stay, a null text stays null, blank lines stay.
+
+    Of equal lines the first in order of doc_id, text and line number stays. Of different lines that are near each other one goes only if it is near one that stays, so of a family of
+    lines that differ a little from one to the next, like numbered ones, as many stay as are not near each other. Which ones is a fixed shuffle of the texts. Rows without doc_id keep all
+    lines; rows that repeat a doc_id and text lose the same lines. The columns of ``docs`` may have any names.
+    """
+    own = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")).where("doc_id is not null")
+    places = saved(_occurrences(own), "line-places")
+    at = F.struct("doc_id", "th", "line_no")
+    near_gone = saved(near_staying(own.select("text")).distinct(), "lines-near").withColumn("near", F.lit(True))
+    first = saved(places.groupBy("h").agg(F.min(at).alias("first"), F.count("*").alias("n")).join(near_gone, "h", "left").where("near or n > 1"), "lines-first")
+    lost = places.join(first, "h").where(F.col("near") | (at != F.col("first")))
+    # a row of digits, 1 for each line that goes; made before the join, so once a text
+    numbers = F.sort_array(F.collect_set("line_no"))
+    digits = F.transform(F.col("numbers"), lambda n, i: F.concat(F.repeat(F.lit("0"), n - F.when(i > 0, F.col("numbers")[i - 1] + 1).otherwise(0)), F.lit("1")))
+    d, t, g = fresh(docs, 3)
+    gone = lost.groupBy("doc_id", "th").agg(numbers.alias("numbers")).select(F.col("doc_id").alias(d), F.col("th").alias(t), F.array_join(digits, "").cast("binary").alias(g))
+    joined = docs.join(saved(gone, "lines-lost"), (F.col(doc_id).cast("long") == F.col(d)) & (F.xxhash64(F.col(text)) == F.col(t)), "left")
+    kept = F.filter(F.split(F.col(text), "\n"), lambda _, i: F.substring(F.col(g), i + 1, F.lit(1)) != F.lit(bytearray(b"1")))
+    return joined.withColumn(text, F.when(F.col(g).isNull(), F.col(text)).otherwise(F.array_join(kept, "\n"))).select(*docs.columns)

@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import WORD, saved
+from .common import WORD, fresh, saved
 
 MAX_PASSES = 3
 WEIGHTS = (1, 2, 3)
@@ -91,10 +91,10 @@ def mixed(docs: DataFrame, seed: str = "mix", doc_id: str = "doc_id", text: str
 
 def repeated(docs: DataFrame, seed: str = "mix", doc_id: str = "doc_id", text: str = "text", source: str = "source") -> DataFrame:
     """The mix itself: every row of ``docs`` as often as the mix takes it; all columns stay. Rows that repeat a doc_id, source and text come as often
-    each as the one of them that comes most."""
+    each as the one of them that comes most. The columns of ``docs`` may have any names."""
     sized = docs.select(F.col(doc_id).alias("doc_id"), F.col(source).alias("source"), F.col(text).alias("text"))
-    copies = mixed(sized, seed).where("taken > 0").groupBy("doc_id", "source", "th").agg(F.max(F.col("taken") / F.col("size")).cast("int").alias("_copies"))
-    copies = copies.select(F.col("doc_id").alias("_d"), F.col("source").alias("_s"), F.col("th").alias("_t"), "_copies")
-    on = F.col(doc_id).eqNullSafe(F.col("_d")) & F.col(source).eqNullSafe(F.col("_s")) & (F.xxhash64(F.col(text)) == F.col("_t"))
-    joined = docs.join(saved(copies, "mix-copies"), on)
-    return joined.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies")))).select(*docs.columns)
+    copies = mixed(sized, seed).where("taken > 0").groupBy("doc_id", "source", "th").agg(F.max(F.col("taken") / F.col("size")).cast("int").alias("copies"))
+    d, s, t, c, each = fresh(docs, 5)
+    copies = saved(copies.select(F.col("doc_id").alias(d), F.col("source").alias(s), F.col("th").alias(t), F.col("copies").alias(c)), "mix-copies")
+    joined = docs.join(copies, F.col(doc_id).eqNullSafe(F.col(d)) & F.col(source).eqNullSafe(F.col(s)) & (F.xxhash64(F.col(text)) == F.col(t)))
+    return joined.withColumn(each, F.explode(F.sequence(F.lit(1), F.col(c)))).select(*docs.columns)
