@@ -10,16 +10,17 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from wardline import ids
 from wardline.functions import scores as S
 from wardline.operators import mapping
 from wardline.operators.latest import SNAPSHOT_FIELDS
+from wardline.operators.rule_history import rule_updates
 from wardline.rules import Bundle, load_bundle
 from wardline.sources import records
-from wardline.streaming import processors as PR
+from wardline.streaming import processors as PR, ruled
 
 WATERMARK = "1 hour"
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
@@ -149,6 +150,14 @@ class Pipeline:
         src = self.spark.readStream.schema(PR.SNAPSHOT_OUT).parquet(self.at("snapshots") + "/*")
         run_available(governed_stream(scored_stream(src, self.bundle), self.bundle), self.at("alerts"), self.at("ck_alerts"))
 
+    def snapshots_to_ruled_alerts(self, bundle_of: Column) -> None:
+        """Alerts governed by the updates that lie in the folder ``rules`` and arrive there; ``bundle_of`` names each alert's bundle."""
+        src = self.spark.readStream.schema(PR.SNAPSHOT_OUT).parquet(self.at("snapshots") + "/*")
+        alerts = scored_stream(src, self.bundle).withColumns({
+            "rule_bundle_id": bundle_of, "context_flags": F.when(F.col("context_flag").isNotNull(), F.array("context_flag"))})
+        updates = rule_updates(self.spark.readStream.format("text").load(self.at("rules")))
+        run_available(ruled.governed_by_rules(alerts, updates, S.SOFA_COMPONENTS), self.at("ruled"), self.at("ck_ruled"))
+
     def alerts_to_episodes(self) -> None:
         src = self.spark.readStream.schema(PR.GOVERNED_OUT).parquet(self.at("alerts")).where("emit").select(
             "patient_id", F.coalesce("encounter_id", F.lit("")).alias("encounter_key"), F.lit("signal").alias("event"),
