@@ -7,7 +7,7 @@ import pytest
 
 from wardline.operators.episodes import EpisodeRules, episode_one, episode_start
 from wardline.operators.governance import govern_one, governance_start
-from wardline.operators.timeline import timeline_at, timeline_one, timeline_start
+from wardline.operators.timeline import History
 from wardline.rules import Governance
 
 M, H = 60_000_000, 3_600_000_000
@@ -142,14 +142,14 @@ def test_opener_does_not_depend_on_arrival_order():
 
 
 def kidney(rows, at=None):
-    s, t = timeline_start(), 0
+    s, t = History(), 0
     for kind, hour, eid, value in rows:
         t = round(hour * H)
         cr = value if kind == "creatinine" else None
         ml, d, rate, an = value if kind == "urine" else (None,) * 4
-        s = timeline_one(s, (kind, t, eid, cr, ml, d, rate, an, value if kind == "weight" else None, kind == "esrd", kind == "rrt"))
+        s.add(kind, t, eid, cr, ml, d, rate, an, value if kind == "weight" else None, kind == "esrd", kind == "rrt")
     return dict(zip(("status", "stage", "cr", "uo", "cur", "base", "ref", "w", "r6", "r12", "r24", "an", "criteria", "missing"),
-                    timeline_at(s, t if at is None else round(at * H))))
+                    s.result(t if at is None else round(at * H))))
 
 
 @pytest.mark.parametrize("later,stage", [(1.29, 0), (1.31, 1)])

@@ -73,6 +73,8 @@ def ordered_fold(
     hot: bool | None = None,
     partitions: int | None = None,
     spread: bool = False,
+    pack: Callable[[Any], Any] | None = None,
+    unpack: Callable[[Any], Any] | None = None,
 ) -> DataFrame:
     """Fold ``step`` over every key in order and return its outputs.
 
@@ -80,7 +82,8 @@ def ordered_fold(
     tuple (or ``None`` for no output). ``keep`` columns are passed through in front of it. ``hot``
     says whether a key is over ``hot_rows``; when not given it is counted. ``spread`` gives the fold its
     own exchange on the keys: worth it when the rows were multiplied after the last one, as every task
-    would otherwise fold many times what it read.
+    would otherwise fold many times what it read. ``pack`` and ``unpack`` turn a state into plain values and back
+    where it goes from one partition to the next.
     """
     keys, order, inputs, keep = list(keys), list(order), list(inputs), list(keep)
     columns = list(dict.fromkeys([*keys, *order, *inputs, *keep]))
@@ -93,7 +96,7 @@ def ordered_fold(
         if spread:
             df = df.repartition(_partitions(df, partitions), *keys)
         return _clustered(df, keys, order, inputs, step, start, out_schema, arrow_out, keep)
-    return _ranged(df, keys, order, inputs, step, start, out_schema, arrow_out, keep, partitions)
+    return _ranged(df, keys, order, inputs, step, start, out_schema, arrow_out, keep, partitions, pack or _same, unpack or _same)
 
 
 def _clustered(df, keys, order, inputs, step, start, out_schema, arrow_out, keep):
@@ -124,7 +127,11 @@ _TAIL = T.StructType(
 )
 
 
-def _ranged(df, keys, order, inputs, step, start, out_schema, arrow_out, keep, partitions):
+def _same(state):
+    return state
+
+
+def _ranged(df, keys, order, inputs, step, start, out_schema, arrow_out, keep, partitions, pack, unpack):
     n = partitions or max(_partitions(df, None), -(-df.count() // CHUNK_ROWS))
     # Range bounds are sampled, so the placement is written down before anything relies on it.
     placed = checkpointed(
@@ -158,10 +165,10 @@ def _ranged(df, keys, order, inputs, step, start, out_schema, arrow_out, keep, p
                 for c, *vals in _rows(batch, ["_chunk", *inputs]):
                     if chunk is None:
                         chunk = c
-                        state = pickle.loads(carry[c]) if c in carry else start()
+                        state = unpack(pickle.loads(carry[c])) if c in carry else start()
                     state, _ = step(state, tuple(vals))
             if chunk is not None:
-                yield _to_batch([(chunk, pickle.dumps(state))], tail_schema)
+                yield _to_batch([(chunk, pickle.dumps(pack(state)))], tail_schema)
 
         return run
 
@@ -185,7 +192,7 @@ def _ranged(df, keys, order, inputs, step, start, out_schema, arrow_out, keep, p
             for c, *vals in _rows(batch, ["_chunk", *names]):
                 now = tuple(vals[:n_keys])
                 if now != last:
-                    state = pickle.loads(carry[c]) if last is None and c in carry else start()
+                    state = unpack(pickle.loads(carry[c])) if last is None and c in carry else start()
                     last = now
                 state, emitted = step(state, tuple(vals[n_keys + n_keep:]))
                 if emitted is not None:

@@ -1,23 +1,26 @@
 """Kidney timeline: stage from the creatinine, urine and weight history at every observation.
 
-The window form uses trailing time frames per key. Keys with more than ``FRAME_ROWS`` rows go through
-an ordered fold that keeps only the last seven days of creatinine and two of urine. Both see every row of
-an instant before any row of it is judged.
+One ``History`` per key takes the rows in order, in tables and on streams. Minima over two and seven days are monotone queues; what urine flowed in a trailing
+window is what its segments hold less what they had given before the window began, kept as running sums. So a row costs the same however long the
+history is. A history keeps seven days of creatinine and two of urine; queues and sums are rebuilt from them when a history is stored and read again, or
+corrected. Every row of an instant is taken in before any row of it is judged.
 """
 
 from __future__ import annotations
 
+import json
+from collections import deque
 from collections.abc import Sequence
+from heapq import heappop, heappush
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from wardline.functions.scores import known, stage_score, stage_tier
-from wardline.operators.folds import largest_key, ordered_fold
+from wardline.operators.folds import HOT_ROWS, largest_key, ordered_fold
 
 HOUR_US = 3_600_000_000
-FRAME_ROWS = 50_000
 IGNORED_STATUS = ("entered-in-error", "cancelled", "unknown")
 WINDOWS_H = (6, 12, 24)
 
@@ -48,91 +51,32 @@ def _with_flags(rows: DataFrame) -> DataFrame:
     return rows
 
 
+_INPUTS = ["kind", "event_us", "evidence_id", "creatinine", "volume_ml", "duration_h", "ml_kg_h", "anuria", "weight_kg", "esrd", "rrt"]
+
+
 def evaluate(rows: DataFrame, keys: Sequence[str] = ("patient_id",), hot: bool | None = None) -> DataFrame:
     """Stage at every creatinine and urine observation, from the history up to its time."""
     rows = _with_flags(rows)
     if hot is None:
-        hot = largest_key(rows, keys) > FRAME_ROWS
-    if hot:
-        return _folded(rows, keys)
-    by_time = Window.partitionBy(*keys).orderBy("event_us")
-    so_far = by_time.rangeBetween(Window.unboundedPreceding, 0)
-    cr = (F.col("kind") == "creatinine") & (F.col("creatinine") > 0)
-    uo = F.col("kind") == "urine"
-    sample = F.struct(F.col("creatinine").alias("v"), "event_us", "evidence_id")
-    odd = uo & ~F.coalesce("anuria", F.lit(False)) & (F.col("ml_kg_h").isNull() != F.col("duration_h").isNull())
-    wide = rows.withColumns({
-        "_cur": F.max(F.when(cr, F.struct("event_us", "evidence_id", F.col("creatinine").alias("v")))).over(so_far),
-        "_ref": F.min(F.when(cr, sample)).over(by_time.rangeBetween(-48 * HOUR_US, 0)),
-        "_week": F.collect_list(F.when(cr, sample)).over(by_time.rangeBetween(-168 * HOUR_US, 0)),
-        "_weight": F.max(F.when(F.col("kind") == "weight", F.struct("event_us", "evidence_id", "weight_kg"))).over(so_far),
-        "_segments": F.collect_list(F.when(uo, F.struct(
-            F.col("event_us").alias("end"), F.col("volume_ml").alias("ml"), F.col("duration_h").alias("h"),
-            F.col("ml_kg_h").alias("rate")))).over(by_time.rangeBetween(-24 * HOUR_US + 1, 0)),
-        "anuria_h": F.coalesce(F.sum(F.when(uo & F.coalesce("anuria", F.lit(False)), F.coalesce(
-            "duration_h", F.lit(0.0)))).over(by_time.rangeBetween(-48 * HOUR_US, 0)), F.lit(0.0)),
-        "_odd": F.coalesce(F.max(odd).over(so_far), F.lit(False)),
-        "_esrd": F.coalesce(F.max("esrd").over(so_far), F.lit(False)),
-        "_rrt": F.coalesce(F.max("rrt").over(so_far), F.lit(False)),
-    }).where(F.col("kind").isin("creatinine", "urine"))
-    others = F.expr("array_min(filter(_week, x -> x.evidence_id <> _cur.evidence_id))")
-    wide = wide.withColumns({
-        "current_creatinine": F.col("_cur.v"), "reference_48h": F.col("_ref.v"),
-        "_base": F.coalesce(others, F.expr("array_min(_week)")), "weight_now": F.col("_weight.weight_kg"),
-    }).withColumn("baseline_7d", F.col("_base.v"))
-    for h in WINDOWS_H:
-        start = f"(event_us - {h * HOUR_US}L)"
-        inside = f"filter(_segments, s -> s.end > {start})"
-        overlap = f"((s.end - greatest(s.end - cast(round(s.h * {HOUR_US}D) AS bigint), {start})) / {HOUR_US}D)"
-        usable = f"filter(_in{h}, s -> s.h > 0 AND {overlap} > 0)"
-        total = "aggregate({a}, 0D, (acc, s) -> acc + {e})"
-        volume = f"filter({usable}, s -> s.ml IS NOT NULL)"
-        legacy = f"filter({usable}, s -> s.rate IS NOT NULL)"
-        wide = wide.withColumn(f"_in{h}", F.expr(inside)).withColumns({
-            f"_vol{h}": F.expr(f"exists(_in{h}, s -> s.ml IS NOT NULL)"),
-            f"_cov{h}": F.expr(total.format(a=volume, e=overlap)),
-            f"_ml{h}": F.expr(total.format(a=volume, e=f"s.ml * greatest(0D, least(1D, {overlap} / s.h))")),
-            f"_lcov{h}": F.expr(total.format(a=legacy, e=overlap)),
-            f"_lsum{h}": F.expr(total.format(a=legacy, e=f"s.rate * {overlap}")),
-        }).withColumn(f"rate_{h}", F.expr(
-            f"CASE WHEN _vol{h} THEN CASE WHEN weight_now > 0 AND _cov{h} + 1e-9 >= {h} "
-            f"THEN _ml{h} / (weight_now * _cov{h}) END "
-            f"WHEN _lcov{h} + 1e-9 >= {h} THEN _lsum{h} / _lcov{h} END"))
-    r6, r12, r24, an = F.col("rate_6"), F.col("rate_12"), F.col("rate_24"), F.col("anuria_h")
-    any_rate = r6.isNotNull() | r12.isNotNull() | r24.isNotNull()
-    cur, base, ref = F.col("current_creatinine"), F.col("baseline_7d"), F.col("reference_48h")
-    ratio = cur / base
-    rise = F.coalesce(cur - ref >= 0.3, F.lit(False))
-    wide = wide.withColumns({
-        "urine_stage": F.when(an >= 12, 3).when(r24 < 0.3, 3).when(r12 < 0.5, 2).when(r6 < 0.5, 1).when(any_rate, 0),
-        "creatinine_stage": F.when(cur.isNull(), F.lit(None).cast("int")).when((cur >= 4.0) | (ratio >= 3.0), 3)
-        .when(ratio >= 2.0, 2).when((ratio >= 1.5) | rise, 1).otherwise(0),
-    })
-    nothing = cur.isNull() & F.col("urine_stage").isNull() & ~F.col("_rrt")
-    out = F.col("_esrd") & ~F.col("_rrt")
-    no_weight = (F.col("_vol6") | F.col("_vol12") | F.col("_vol24")) & F.coalesce(F.col("weight_now") <= 0, F.lit(True))
-    half = F.lit(False)
-    for h in WINDOWS_H:
-        neither = f"size(_in{h}) > 0 AND NOT _vol{h} AND NOT exists(_in{h}, s -> s.rate IS NOT NULL AND s.h <> 0)"
-        half = half | F.expr(f"{neither} AND exists(_in{h}, s -> (s.rate IS NULL) <> (s.h IS NULL))")
-    urine_missing = half | (F.col("urine_stage").isNull() & F.col("_odd"))
-    empty = F.array().cast("array<string>")
-    wide = wide.withColumns({
-        "status": F.when(out, "excluded").when(nothing, "insufficient_data").otherwise("scored"),
-        "stage": F.when(~out & ~nothing, F.greatest(
-            "creatinine_stage", "urine_stage", F.when(F.col("_rrt"), 3))),
-        "criteria": F.when(out, F.array(F.lit("exclusion_esrd"))).otherwise(known(
-            ("cr_ge_4_0", cur >= 4.0), ("cr_ge_3_0x_baseline", ratio >= 3.0),
-            ("cr_ge_2_0x_baseline", (ratio >= 2.0) & (ratio < 3.0)),
-            ("cr_ge_1_5x_baseline", (ratio >= 1.5) & (ratio < 2.0)), ("delta_cr_ge_0_3_within_48h", rise),
-            ("anuria_ge_12h", an >= 12), ("uo_lt_0_3_for_24h", (an < 12) & (r24 < 0.3)),
-            ("uo_lt_0_5_for_12h", (an < 12) & ~F.coalesce(r24 < 0.3, F.lit(False)) & (r12 < 0.5)),
-            ("uo_lt_0_5_for_6h", (an < 12) & ~F.coalesce(r24 < 0.3, F.lit(False))
-             & ~F.coalesce(r12 < 0.5, F.lit(False)) & (r6 < 0.5)), ("rrt", F.col("_rrt")))),
-        "missing": F.when(out, F.array(F.lit("esrd_exclusion"))).otherwise(F.when(F.lit(True), known(
-            ("creatinine", nothing), ("weight_kg", no_weight), ("urine_output", urine_missing)))),
-    }).withColumns({c: F.when(~out, F.col(c)) for c in ("creatinine_stage", "urine_stage")})
-    return wide.drop(*[c for c in wide.columns if c.startswith("_")])
+        hot = largest_key(rows, keys) > HOT_ROWS
+    # the rows of an instant: few, whatever the key holds
+    instant = Window.partitionBy(*keys, "event_us") if hot else Window.partitionBy(*keys).orderBy("event_us").rangeBetween(Window.currentRow, Window.currentRow)
+    kept = [c for c in rows.columns if c not in RESULT.fieldNames()]
+    together = rows.withColumn("_instant", F.collect_list(F.struct(*_INPUTS)).over(instant))
+
+    def step(history, row):
+        at, kind, members = row
+        if history.seen != at:
+            for m in members:
+                history.add(*(m[c] for c in _INPUTS))
+            history.seen, history.found = at, None
+        if kind not in ("creatinine", "urine"):
+            return history, None
+        if history.found is None:
+            history.found = history.result(at)
+        return history, history.found
+
+    return ordered_fold(together, list(keys), ["event_us", "evidence_id"], ["event_us", "kind", "_instant"], step, History, RESULT, keep=kept, hot=hot, pack=History.facts, unpack=History)
 
 
 def with_score(evaluated: DataFrame) -> DataFrame:
@@ -149,131 +93,212 @@ def onset(evaluated: DataFrame, keys: Sequence[str] = ("patient_id",)) -> DataFr
     return evaluated.groupBy(*keys).agg(F.min(F.when(F.col("stage") >= 1, F.col("event_us"))).alias("onset_us"))
 
 
-# --- the same evaluation as a step function, for very large keys and for streams ----------------
-
-def timeline_start() -> dict:
-    return {"cr": [], "uo": [], "weight": None, "odd": False, "esrd": False, "rrt": False}
-
-
-def _rate(segments: list, t: int, hours: int, weight: float | None):
-    start = t - hours * HOUR_US
-    inside = [s for s in segments if s[0] > start]
-    if not inside:
-        return None, set()
-    volume = [s for s in inside if s[1] is not None]
-    legacy = [s for s in inside if s[3] is not None and s[2]]
-    if volume:
-        if not weight or weight <= 0:
-            return None, {"weight_kg"}
-    elif not legacy:
-        return None, {"urine_output"} if any((s[3] is None) != (s[2] is None) for s in inside) else set()
-    covered = total = 0.0
-    for end, ml, h, rate, _ in volume or legacy:
-        if not h or h <= 0:
-            continue
-        over = (end - max(end - round(h * HOUR_US), start)) / HOUR_US
-        if over <= 0:
-            continue
-        covered += over
-        total += ml * max(0.0, min(1.0, over / h)) if volume else rate * over
-    if covered + 1e-9 < hours:
-        return None, set()
-    return (total / (weight * covered) if volume else total / covered), set()
-
-
-def timeline_one(s: dict, row: tuple):
-    kind, t, eid, cr, ml, h, rate, anuria, weight, esrd, rrt = row
-    s = {**s, "esrd": s["esrd"] or bool(esrd), "rrt": s["rrt"] or bool(rrt)}
-    week = t - 168 * HOUR_US
-    keep = [c for c in s["cr"] if c[1] >= week] or s["cr"][-1:]
-    if kind == "creatinine" and cr is not None and cr > 0:
-        keep = sorted([c for c in keep if c[2] != eid] + [(cr, t, eid)], key=lambda c: (c[1], c[2]))
-    s["cr"] = keep
-    uo = [u for u in s["uo"] if u[0] >= t - 48 * HOUR_US]
-    if kind == "urine":
-        uo = [u for u in uo if u[4] != eid] + [(t, ml, h, rate, eid, bool(anuria))]
-        s["odd"] = s["odd"] or (not anuria and (rate is None) != (h is None))
-    s["uo"] = uo
-    if kind == "weight" and weight is not None and weight > 0:
-        s["weight"] = max(s["weight"] or (t, eid, weight), (t, eid, weight))
-    return s
-
-
-def timeline_at(s: dict, t: int):
-    """Result tuple of the state at time ``t`` (see ``RESULT``)."""
-    w = s["weight"][2] if s["weight"] else None
-    if s["esrd"] and not s["rrt"]:
-        return ("excluded", None, None, None, None, None, None, w, None, None, None, 0.0,
-                ["exclusion_esrd"], ["esrd_exclusion"])
-    cur = s["cr"][-1] if s["cr"] else None
-    week = [c for c in s["cr"] if c[1] >= t - 168 * HOUR_US]
-    others = [c for c in week if cur and c[2] != cur[2]]
-    base = min(others or week, default=None)
-    ref = min((c for c in s["cr"] if c[1] >= t - 48 * HOUR_US), default=None)
-    segments = [u[:5] for u in s["uo"]]
-    rates, lacking = [], set()
-    for hours in WINDOWS_H:
-        r, m = _rate(segments, t, hours, w)
-        rates.append(r)
-        lacking |= m
-    r6, r12, r24 = rates
-    anuria = float(sum((u[2] or 0.0) for u in s["uo"] if u[5] and u[0] >= t - 48 * HOUR_US))
-    criteria, uo_criteria, uo_stage = [], [], None
-    if anuria >= 12:
-        uo_stage, uo_criteria = 3, ["anuria_ge_12h"]
-    elif r24 is not None and r24 < 0.3:
-        uo_stage, uo_criteria = 3, ["uo_lt_0_3_for_24h"]
-    elif r12 is not None and r12 < 0.5:
-        uo_stage, uo_criteria = 2, ["uo_lt_0_5_for_12h"]
-    elif r6 is not None and r6 < 0.5:
-        uo_stage, uo_criteria = 1, ["uo_lt_0_5_for_6h"]
-    elif any(r is not None for r in rates):
-        uo_stage = 0
-    cr_stage = None
-    if cur:
-        v, cr_stage = cur[0], 0
-        ratio = v / base[0] if base else None
-        if v >= 4.0:
-            cr_stage = 3
-            criteria.append("cr_ge_4_0")
-        for limit, st, label in ((3.0, 3, "cr_ge_3_0x_baseline"), (2.0, 2, "cr_ge_2_0x_baseline"),
-                                 (1.5, 1, "cr_ge_1_5x_baseline")):
-            if ratio is not None and ratio >= limit:
-                cr_stage = max(cr_stage, st)
-                criteria.append(label)
-                break
-        if ref and v - ref[0] >= 0.3:
-            cr_stage = max(cr_stage, 1)
-            criteria.append("delta_cr_ge_0_3_within_48h")
-    criteria += uo_criteria + (["rrt"] if s["rrt"] else [])
-    if uo_stage is None and s["odd"]:
-        lacking.add("urine_output")
-    nothing = cur is None and uo_stage is None and not s["rrt"]
-    missing = (["creatinine"] if nothing else []) + [m for m in ("weight_kg", "urine_output") if m in lacking]
-    stages = [x for x in (cr_stage, uo_stage, 3 if s["rrt"] else None) if x is not None]
-    return ("insufficient_data" if nothing else "scored", None if nothing else max(stages), cr_stage, uo_stage,
-            cur[0] if cur else None, base[0] if base else None, ref[0] if ref else None, w, r6, r12, r24, anuria,
-            criteria, missing)
-
-
-_INPUTS = ["kind", "event_us", "evidence_id", "creatinine", "volume_ml", "duration_h", "ml_kg_h", "anuria",
-           "weight_kg", "esrd", "rrt"]
-
-
-def _folded(rows: DataFrame, keys: Sequence[str]) -> DataFrame:
-    # Weights and flags sort before the observations of the same instant, as a time frame sees them.
-    order = F.when(F.col("kind").isin("creatinine", "urine"), 1).otherwise(0)
-
-    def step(s, row):
-        s = timeline_one(s, row)
-        return s, (timeline_at(s, row[1]) if row[0] in ("creatinine", "urine") else None)
-
-    kept = [c for c in rows.columns if c not in RESULT.fieldNames()]
-    folded = ordered_fold(
-        rows.withColumn("_first", order), list(keys), ["event_us", "_first", "evidence_id"], _INPUTS, step,
-        timeline_start, RESULT, keep=kept, hot=True)
-    # the last row of an instant has seen them all; an instant holds few rows, whatever its key holds
-    instant = Window.partitionBy(*keys, "event_us").orderBy("evidence_id").rowsBetween(
-        Window.unboundedPreceding, Window.unboundedFollowing)
-    whole = F.last(F.struct(*RESULT.fieldNames())).over(instant)
-    return folded.withColumn("_whole", whole).select(*kept, "_whole.*")
+class _Low:
+    """The least value of a trailing window: values that a later one undercuts are forgotten, so the first is the least."""
+
+    def __init__(self, hours: int) -> None:
+        self.width, self.queue = hours * HOUR_US, deque()
+
+    def add(self, at: int, value: float) -> None:
+        while self.queue and self.queue[-1][1] >= value:
+            self.queue.pop()
+        self.queue.append((at, value))
+
+    def least(self, now: int) -> float | None:
+        while self.queue and self.queue[0][0] < now - self.width:
+            self.queue.popleft()
+        return self.queue[0][1] if self.queue else None
+
+
+class _Flow:
+    """What flowed in a trailing window, of amounts that each flowed evenly over a span up to their end."""
+
+    def __init__(self, hours: int) -> None:
+        self.width, self.order, self.origin = hours * HOUR_US, 0, None
+        self.live, self.ahead = deque(), []  # items by end; items that begin inside the window, by begin
+        self.span = self.cut = self.cut_from = 0
+        self.amount = self.slope = self.past = 0.0
+
+    def add(self, end: int, span: int, amount: float) -> None:
+        if span <= 0:
+            return
+        self.origin = end if self.origin is None else self.origin
+        self.order += 1
+        item = [end - span, self.order, end, span, amount, False]
+        self.live.append(item)
+        heappush(self.ahead, item)
+        self.span += span
+        self.amount += amount
+
+    def within(self, now: int) -> tuple[int, float]:
+        """(time covered, amount) of the window that ends now."""
+        edge = now - self.width
+        while self.live and self.live[0][2] <= edge:
+            begin, _, end, span, amount, crossing = self.live.popleft()
+            self.span -= span
+            self.amount -= amount
+            if crossing:
+                self._cross(begin, amount / span, -1)
+        while self.ahead and self.ahead[0][0] < edge:
+            item = heappop(self.ahead)
+            if item[2] > edge:
+                item[5] = True
+                self._cross(item[0], item[4] / item[3], 1)
+        if not self.live:
+            self.amount = self.slope = self.past = 0.0
+            return 0, 0.0
+        return self.span - (self.cut * edge - self.cut_from), self.amount - (self.slope * (edge - self.origin) - self.past)
+
+    def _cross(self, begin: int, density: float, sign: int) -> None:
+        """An item begins, or ceases, to lie across the window's edge."""
+        self.cut += sign
+        self.cut_from += sign * begin
+        self.slope += sign * density
+        self.past += sign * density * (begin - self.origin)
+
+
+class History:
+    """A key's facts up to now, and the stage they give."""
+
+    CREATININE_H, URINE_H = 168, 48
+
+    def __init__(self, facts: str | None = None) -> None:
+        held = json.loads(facts) if facts else {}
+        self.samples = deque(tuple(x) for x in held.get("samples", ()))  # (time, evidence, value), seven days and the newest
+        self.urine = deque(tuple(x) for x in held.get("urine", ()))  # (time, ml, hours, ml/kg/h, evidence, anuria), two days
+        self.weight = tuple(held["weight"]) if held.get("weight") else None
+        self.odd, self.esrd, self.rrt, self.seen = (held.get(k, d) for k, d in (("odd", False), ("esrd", False), ("rrt", False), ("seen", None)))
+        self.found = None
+        self._rebuild()
+
+    def facts(self) -> str:
+        """What the history holds, as text; equal histories have equal facts."""
+        return json.dumps({"samples": list(self.samples), "urine": list(self.urine), "weight": self.weight, "odd": self.odd, "esrd": self.esrd, "rrt": self.rrt, "seen": self.seen})
+
+    def _rebuild(self) -> None:
+        self.two_days, self.before = _Low(48), _Low(self.CREATININE_H)
+        self.evidence = set()
+        own, self.samples = sorted(self.samples), deque()
+        for at, eid, value in own:
+            self._sample(at, eid, value)
+        self.volumes, self.rates = {h: _Flow(h) for h in WINDOWS_H}, {h: _Flow(h) for h in WINDOWS_H}
+        self.last = dict.fromkeys(("any", "volume", "rate", "half"), 0)  # when the last segment of a sort ended
+        self.anuria_us, self.urine_evidence = 0, set()
+        own, self.urine = sorted(self.urine, key=lambda u: u[0]), deque()
+        for u in own:
+            self._segment(*u)
+
+    def add(self, kind: str, at: int, eid: str, creatinine=None, ml=None, hours=None, rate=None, anuria=None, weight=None, esrd=False, rrt=False) -> None:
+        self.esrd, self.rrt = self.esrd or bool(esrd), self.rrt or bool(rrt)
+        while len(self.samples) > 1 and self.samples[0][0] < at - self.CREATININE_H * HOUR_US:
+            self.evidence.discard(self.samples.popleft()[1])
+        while self.urine and self.urine[0][0] < at - self.URINE_H * HOUR_US:
+            self._forget(self.urine.popleft())
+        if kind == "creatinine" and creatinine is not None and creatinine > 0:
+            if eid in self.evidence or self.samples and at < self.samples[-1][0]:  # a correction, or out of order
+                self.samples = deque([*(x for x in self.samples if x[1] != eid), (at, eid, creatinine)])
+                self._rebuild()
+            else:
+                self._sample(at, eid, creatinine)
+        elif kind == "urine":
+            self.odd = self.odd or (not anuria and (rate is None) != (hours is None))
+            segment = (at, ml, hours, rate, eid, bool(anuria))
+            if eid in self.urine_evidence or self.urine and at < self.urine[-1][0]:
+                self.urine = deque([*(u for u in self.urine if u[4] != eid), segment])
+                self._rebuild()
+            else:
+                self._segment(*segment)
+        elif kind == "weight" and weight is not None and weight > 0:
+            self.weight = max(self.weight or (at, eid, weight), (at, eid, weight))
+
+    def _sample(self, at: int, eid: str, value: float) -> None:
+        self.two_days.add(at, value)
+        self.evidence.add(eid)
+        newest = self.samples[-1] if self.samples else None
+        if newest is None or (at, eid) > newest[:2]:
+            if newest:  # what was the newest counts for the baseline from now on
+                self.before.add(newest[0], newest[2])
+            self.samples.append((at, eid, value))
+        else:
+            self.before.add(at, value)
+            self.samples.insert(len(self.samples) - 1, (at, eid, value))
+
+    def _segment(self, at: int, ml, hours, rate, eid: str, anuria: bool) -> None:
+        self.urine.append((at, ml, hours, rate, eid, anuria))
+        self.urine_evidence.add(eid)
+        span = round(hours * HOUR_US) if hours else 0
+        self.anuria_us += span if anuria else 0
+        for sort, given in (("any", True), ("volume", ml is not None), ("rate", rate is not None and bool(hours)), ("half", (rate is None) != (hours is None))):
+            if given:
+                self.last[sort] = at
+        for h in WINDOWS_H:
+            if ml is not None:
+                self.volumes[h].add(at, span, ml)
+            if rate is not None:
+                self.rates[h].add(at, span, rate * span / HOUR_US)
+
+    def _forget(self, segment: tuple) -> None:
+        _, _, hours, _, eid, anuria = segment
+        self.urine_evidence.discard(eid)
+        self.anuria_us -= round(hours * HOUR_US) if anuria and hours else 0
+
+    def _urine_rate(self, now: int, hours: int, lacking: set[str]) -> float | None:
+        """Mean ml/kg/h over a window that is covered; what stands in the way goes to ``lacking``."""
+        edge = now - hours * HOUR_US
+        volume, per_kg = self.volumes[hours].within(now), self.rates[hours].within(now)
+        if self.last["volume"] > edge:
+            covered, amount = volume
+            if self.weight is None:
+                lacking.add("weight_kg")
+                return None
+            amount /= self.weight[2]
+        else:
+            covered, amount = per_kg
+            if self.last["rate"] <= edge and self.last["half"] > edge:
+                lacking.add("urine_output")
+        # a window counts as covered with a few microseconds missing
+        return amount * HOUR_US / covered if covered and covered + 4 >= hours * HOUR_US else None
+
+    def _urine_stage(self, now: int, rates: dict[int, float | None]) -> tuple[int | None, str | None]:
+        if self.anuria_us >= 12 * HOUR_US:
+            return 3, "anuria_ge_12h"
+        for stage, hours, limit in ((3, 24, 0.3), (2, 12, 0.5), (1, 6, 0.5)):
+            if rates[hours] is not None and rates[hours] < limit:
+                return stage, f"uo_lt_{str(limit).replace('.', '_')}_for_{hours}h"
+        return (0, None) if any(r is not None for r in rates.values()) else (None, None)
+
+    def _creatinine(self, now: int) -> tuple[float | None, float | None, float | None]:
+        """Current value, least other value of seven days (the current one if it is alone), least of two days."""
+        if not self.samples:
+            return None, None, None
+        at, _, value = self.samples[-1]
+        other = self.before.least(now)
+        own = value if at >= now - self.CREATININE_H * HOUR_US else None
+        return value, own if other is None else other, self.two_days.least(now)
+
+    def result(self, now: int) -> tuple:
+        """The row of ``RESULT`` at ``now``, the time of the last fact or later."""
+        kg = self.weight[2] if self.weight else None
+        if self.esrd and not self.rrt:
+            return "excluded", None, None, None, None, None, None, kg, None, None, None, 0.0, ["exclusion_esrd"], ["esrd_exclusion"]
+        while self.urine and self.urine[0][0] < now - self.URINE_H * HOUR_US:
+            self._forget(self.urine.popleft())
+        value, base, low = self._creatinine(now)
+        lacking: set[str] = set()
+        rates = {h: self._urine_rate(now, h, lacking) for h in WINDOWS_H}
+        urine, urine_label = self._urine_stage(now, rates)
+        labels, kidney = [], None
+        if value is not None:
+            ratio = value / base if base else 0.0
+            steps = [(3, "cr_ge_4_0")] if value >= 4.0 else []
+            steps += [next(((s, f"cr_ge_{s_}x_baseline") for s, limit, s_ in ((3, 3.0, "3_0"), (2, 2.0, "2_0"), (1, 1.5, "1_5")) if ratio >= limit), (0, ""))]
+            steps += [(1, "delta_cr_ge_0_3_within_48h")] if low is not None and value - low >= 0.3 else []
+            kidney, labels = max(s for s, _ in steps), [label for _, label in steps if label]
+        labels += [urine_label] if urine_label else []
+        labels += ["rrt"] if self.rrt else []
+        if urine is None and self.odd:
+            lacking.add("urine_output")
+        stages = [s for s in (kidney, urine, 3 if self.rrt else None) if s is not None]
+        missing = [*(() if stages else ("creatinine",)), *(m for m in ("weight_kg", "urine_output") if m in lacking)]
+        return ("scored" if stages else "insufficient_data", max(stages) if stages else None, kidney, urine, value, base, low, kg, rates[6], rates[12], rates[24],
+                self.anuria_us / HOUR_US, labels, missing)

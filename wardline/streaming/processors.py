@@ -59,6 +59,13 @@ class RecordProcessor(StatefulProcessor):
         """State after a row that was refused; most leave it alone."""
         return state
 
+    def packed(self, state: Any) -> Any:
+        """The state as plain values, for the state store."""
+        return state
+
+    def unpacked(self, held: Any) -> Any:
+        return held
+
     def blank(self) -> tuple:
         raise NotImplementedError
 
@@ -67,7 +74,7 @@ class RecordProcessor(StatefulProcessor):
         self.clock = handle.getValueState("clock", _CLOCK)
         self.seen = handle.getMapState("seen", _KEY, _SEEN)
         self.pending = handle.getMapState("pending", _KEY, _BYTES)
-        self.state = _Pickled(handle, "state", self.start)
+        self.state = _Pickled(handle, "state", lambda: self.packed(self.start()))
 
     def close(self) -> None:
         pass
@@ -99,7 +106,7 @@ class RecordProcessor(StatefulProcessor):
         if not ready:
             return
         ready.sort(key=lambda r: (r["event_us"], r["idempotency_key"] or ""))
-        state = self.state.get()
+        state = self.unpacked(self.state.get())
         for row in ready:
             if (row["idempotency_key"] or "").startswith(FLUSH_PREFIX):
                 continue
@@ -110,7 +117,7 @@ class RecordProcessor(StatefulProcessor):
             state, values = self.apply(state, row)
             if values is not None:
                 yield self._out(row, None, values)
-        self.state.set(state)
+        self.state.set(self.packed(state))
 
     def handleInputRows(self, key: Any, rows: Iterator[Row], timerValues: Any) -> Iterator[Row]:
         newest, flushed = self.clock.get() if self.clock.exists() else (None, 0)
@@ -177,7 +184,13 @@ class KidneyProcessor(RecordProcessor):
     """Kidney stage after every creatinine or urine record; a new encounter starts a new history."""
 
     def start(self):
-        return (None, timeline.timeline_start())
+        return (None, timeline.History())
+
+    def packed(self, state):
+        return state[0], state[1].facts()
+
+    def unpacked(self, held):
+        return held[0], timeline.History(held[1])
 
     def blank(self):
         return (None,) * (1 + len(timeline.RESULT.fields))
@@ -188,15 +201,15 @@ class KidneyProcessor(RecordProcessor):
         encounter = (row["encounter_id"] or "").strip() or None
         if row["component"] is None or encounter is None:
             return state
-        return encounter, (timeline.timeline_start() if now is not None and encounter != now else s)
+        return encounter, (timeline.History() if now is not None and encounter != now else s)
 
     def apply(self, state, row):
         now, s = self.refused(state, row)
         if row["kind"] is None:
             return (now, s), None
-        s = timeline.timeline_one(s, (row["kind"], row["event_us"], row["evidence_id"], row["creatinine"], row["volume_ml"],
-                                      row["duration_h"], row["ml_kg_h"], row["anuria"], row["weight_kg"], False, False))
-        return (now, s), (now, *timeline.timeline_at(s, row["event_us"]))
+        s.add(row["kind"], row["event_us"], row["evidence_id"], row["creatinine"], row["volume_ml"], row["duration_h"], row["ml_kg_h"], row["anuria"], row["weight_kg"],
+              row["kind"] == "esrd", row["kind"] == "rrt")
+        return (now, s), (now, *s.result(row["event_us"])) if row["kind"] in ("creatinine", "urine") else None
 
 
 GOVERNED_OUT = T.StructType([T.StructField(n, t) for n, t in (
