@@ -73,15 +73,15 @@ def kidney_replay(rows: DataFrame, order: Sequence[str] = ORDER, hot: bool | Non
     def step(s, row):
         creatinine, value, event_us, evidence, clock = row
         if creatinine and value is not None:
-            s = timeline.timeline_one(s, ("creatinine", event_us, evidence, value, None, None, None, False, None, False, False))
-        if not s["cr"]:
+            s.add("creatinine", event_us, evidence, value)
+        if not s.samples:
             return s, (None, None)
-        result = timeline.timeline_at(s, clock)
+        result = s.result(clock)
         return s, (result[1], result[0])
 
     marked = rows.withColumn("_cr", is_creatinine() & ~F.col("is_discharge_diagnosis"))
     folded = ordered_fold(marked, ["stay_id"], list(order), ["_cr", "valuenum", "event_us", "evidence_id", order[0]], step,
-                          timeline.timeline_start, out, keep=["stay_id", "event_us", "evidence_id", order[0]], hot=hot)
+                          timeline.History, out, keep=["stay_id", "event_us", "evidence_id", order[0]], hot=hot, pack=timeline.History.facts, unpack=timeline.History)
     return folded.withColumn("score", S.stage_score(F.col("stage"))).withColumns({
         "tier": S.stage_tier(F.col("score")), "clock_us": F.col(order[0])})
 
