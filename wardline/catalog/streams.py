@@ -22,12 +22,12 @@ def record_lines(env: DataFrame) -> DataFrame:
       'idempotency_key', idempotency_key, 'context_flags', context_flags)) AS value""")
 
 
-def deliver(spark: SparkSession, sf: str, pipeline: J.Pipeline, stages, halves: int = 2) -> None:
-    """Deliver the records in arrival order in pieces and run the stages after each, as restarts would.
+def deliver(spark: SparkSession, sf: str, pipeline: J.Pipeline, stages, halves: int = 2, env: DataFrame | None = None) -> None:
+    """Deliver the records (those of ``events`` if not given) in arrival order in pieces and run the stages after each, as restarts would.
 
     The last piece ends with one end-of-input marker per patient.
     """
-    env = P.envelopes(spark, sf)
+    env = P.envelopes(spark, sf) if env is None else env
     lo, hi = env.agg(F.min("ingest_us"), F.max("ingest_us")).first()
     width = (hi - lo) // halves + 1
     lines = record_lines(env)

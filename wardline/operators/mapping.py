@@ -126,6 +126,9 @@ def map_medications(df: DataFrame) -> DataFrame:
 # Kidney observation codes.
 CREATININE_CODE, URINE_CODE, ANURIA_CODES, DURATION_CODE = (
     "2160-0", "9187-6", ("anuria", "urine-anuria"), "duration-hours")
+# ICD-10 and SNOMED CT codes of end-stage renal disease, and of dialysis in its forms.
+FAILURE_CODES = ("N18.6", "46177005")
+REPLACEMENT_CODES = ("265764009", "302497006", "714749008", "71192002")
 
 
 def component_with(resource: Column, code: str) -> Column:
@@ -133,8 +136,9 @@ def component_with(resource: Column, code: str) -> Column:
     return F.get(F.filter(resource.component, lambda c: F.lower(primary_code(c.code)) == code.lower()), F.lit(0))
 
 
-def map_kidney(df: DataFrame, urine_code: str = URINE_CODE, anuria_codes=ANURIA_CODES) -> DataFrame:
-    """Creatinine, urine-rate and anuria observations for the kidney timeline, with reject reasons."""
+def map_kidney(df: DataFrame, urine_code: str = URINE_CODE, anuria_codes=ANURIA_CODES, failure_codes=FAILURE_CODES, replacement_codes=REPLACEMENT_CODES) -> DataFrame:
+    """Facts for the kidney timeline, with reject reasons: creatinine, urine-rate and anuria observations, conditions that say end-stage renal disease and
+    procedures that start renal replacement."""
     r = F.col("resource")
     code, value, unit, status = primary_code(r.code), r.valueQuantity.value, value_unit(r), r.status
     is_cr, is_uo = code == CREATININE_CODE, code == urine_code
@@ -150,7 +154,8 @@ def map_kidney(df: DataFrame, urine_code: str = URINE_CODE, anuria_codes=ANURIA_
     df = df.withColumn("reason", reason)
     ok = F.col("reason").isNull()
     return df.withColumns({
-        "kind": F.when(ok & is_cr, "creatinine").when(ok & (is_uo | is_an), "urine"),
+        "kind": F.when(ok & is_cr, "creatinine").when(ok & (is_uo | is_an), "urine")
+        .when(ok & (r.resourceType == "Condition") & code.isin(*failure_codes), "esrd").when(ok & (r.resourceType == "Procedure") & code.isin(*replacement_codes), "rrt"),
         "creatinine": F.when(ok & is_cr, value),
         "as_baseline": F.when(ok & is_cr, F.coalesce(
             F.lower(F.to_json(r.interpretation)).contains("baseline"), F.lit(False))),

@@ -75,6 +75,20 @@ def envelopes(spark: SparkSession, sf_dir: str) -> DataFrame:
         "idempotency_key", "if(context_flag IS NULL, cast(array() AS array<string>), array(context_flag)) AS context_flags")
 
 
+def kidney_envelopes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``envelopes`` and, a microsecond after some of the readings, a condition that says end-stage renal disease or a procedure that starts dialysis."""
+    r = readings(spark, sf_dir)
+    facts = r.where("event_id % 61 = 7").selectExpr("*", "'Condition' AS kind", "'http://hl7.org/fhir/sid/icd-10' AS system", "'N18.6' AS fact").unionByName(
+        r.where("event_id % 37 = 11").selectExpr("*", "'Procedure' AS kind", "'http://snomed.info/sct' AS system", "'302497006' AS fact"))
+    resource = """named_struct('resourceType', kind, 'id', cast(event_id AS string), 'status', 'final',
+      'code', named_struct('coding', array(named_struct('system', system, 'code', fact, 'display', cast(null AS string))), 'text', cast(null AS string)),
+      'valueQuantity', named_struct('value', cast(null AS double), 'unit', cast(null AS string), 'code', cast(null AS string)),
+      'valueInteger', cast(null AS int), 'valueBoolean', cast(null AS boolean)) AS resource"""
+    return envelopes(spark, sf_dir).unionByName(facts.selectExpr(
+        "event_id", "patient_id", "encounter_id", "kind AS resource_type", resource, "event_us + 1 AS event_us", "ingest_us",
+        "concat(lower(kind), '-', event_id) AS idempotency_key", "cast(array() AS array<string>) AS context_flags"))
+
+
 def medications(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Vasopressor infusions read from ``purchase`` rows: start, end, agent text and rate."""
     r = readings(spark, sf_dir).where(F.col("event_type") == "purchase")

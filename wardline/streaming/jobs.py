@@ -98,6 +98,22 @@ def scored_stream(snapshots: DataFrame, bundle: Bundle) -> DataFrame:
                                  F.col("event_us"), F.lit(bundle.version))})
 
 
+def kidney_alerts(kidney: DataFrame, bundle_id: str = "aki-kdigo") -> DataFrame:
+    """Alerts from a stream of kidney stages, ready for governance: what is excluded or not scored gives none, tier ``none`` is forwarded for recovery."""
+    rows = kidney.where(F.col("reason").isNull() & (F.col("status") == "scored")).withColumn("score", S.stage_score(F.col("stage")).cast("int"))
+    return rows.select(
+        "patient_id", F.col("encounter_now").alias("encounter_id"), "event_us", "idempotency_key", F.lit(None).cast("string").alias("alert_id"), F.lit("aki").alias("indicator"),
+        F.lit(bundle_id).alias("rule_bundle_id"), "score", S.stage_tier(F.col("score")).alias("tier"),
+        (F.coalesce((F.col("creatinine_stage") > 0).cast("int"), F.lit(0)) + F.coalesce((F.col("urine_stage") > 0).cast("int"), F.lit(0))).alias("positive_components"),
+        F.when(F.col("context_flag").isNotNull(), F.array("context_flag")).alias("context_flags"))
+
+
+def identified(decisions: DataFrame) -> DataFrame:
+    """Decisions with the id of each alert; the version of the rules in force is part of it."""
+    return decisions.withColumn("alert_id", ids.alert_id(
+        F.col("patient_id"), F.col("encounter_id"), F.col("indicator"), F.col("score"), F.col("event_us"), F.coalesce("rule_version", F.lit(""))))
+
+
 def governed_stream(alerts: DataFrame, bundle: Bundle) -> DataFrame:
     alerts = alerts.select("patient_id", "encounter_id", "event_us", "idempotency_key", "alert_id", "indicator", "score", "tier",
                            "context_flag", "positive_components", *[f"p_{c}" for c in S.SOFA_COMPONENTS])
@@ -158,6 +174,12 @@ class Pipeline:
         updates = rule_updates(self.spark.readStream.format("text").load(self.at("rules")))
         run_available(ruled.governed_by_rules(alerts, updates, S.SOFA_COMPONENTS), self.at("ruled"), self.at("ck_ruled"))
 
+    def kidney_to_ruled_alerts(self) -> None:
+        """Kidney alerts governed by the updates in the folder ``rules``."""
+        src = self.spark.readStream.schema(PR.KIDNEY_OUT).parquet(self.at("kidney"))
+        updates = rule_updates(self.spark.readStream.format("text").load(self.at("rules")))
+        run_available(identified(ruled.governed_by_rules(kidney_alerts(src), updates, ())), self.at("ruled"), self.at("ck_ruled"))
+
     def alerts_to_episodes(self) -> None:
         src = self.spark.readStream.schema(PR.GOVERNED_OUT).parquet(self.at("alerts")).where("emit").select(
             "patient_id", F.coalesce("encounter_id", F.lit("")).alias("encounter_key"), F.lit("signal").alias("event"),
