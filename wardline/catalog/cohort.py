@@ -6,9 +6,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from wardline.catalog.base import POINTS, POSITIVE, PRESENT, READINGS, TOTAL, governance_sql, joined, query, tier_sql
+from wardline.operators.skyline import on_skyline
 from wardline.plans import cohort as C
 from wardline.rules import PROFILES, profile, sweep_grid
-from wardline.session import new_path
+from wardline.session import checkpointed, new_path
 from wardline.sources import projection as P
 
 SWEEP = sweep_grid()
@@ -188,6 +189,29 @@ def knob_sweep(spark: SparkSession, sf: str) -> DataFrame:
     return m.select("config_id", "meets_primary", "meets_coprimary", _r("burden"), _r("nna"), _r("governed_sensitivity"))
 
 
+_BURDEN_SQL = f"""{cohort_sql(SWEEP)}, {_metrics_select()},
+b AS (SELECT *, CASE WHEN config_id IN ({', '.join(f"'{c.candidate_id}'" for c in SWEEP if c.governance.page_gate_enabled)}) THEN interruptive_reduction_ratio ELSE alert_reduction_ratio END AS burden FROM mm)"""
+
+
+@query("operating_point_pareto", "AGG-27 SRT-4", f"""{_BURDEN_SQL}
+SELECT config_id, {_rs('burden')}, {_rs('governed_sensitivity')}, NOT EXISTS (SELECT 1 FROM b o WHERE o.burden <= b.burden AND o.governed_sensitivity >= b.governed_sensitivity
+  AND (o.burden < b.burden OR o.governed_sensitivity > b.governed_sensitivity)) AS on_front FROM b""")
+def operating_point_pareto(spark: SparkSession, sf: str) -> DataFrame:
+    """Candidates by burden and sensitivity, and those that no other beats in both."""
+    m = C.ranked(C.cohort_metrics(rollup(spark, sf, SWEEP), percentiles=False), SWEEP)
+    return on_skyline(checkpointed(m.select("config_id", "burden", "governed_sensitivity")), "burden", "governed_sensitivity", "on_front").select(
+        "config_id", _r("burden"), _r("governed_sensitivity"), "on_front")
+
+
+@query("stay_front", "AGG-27", f"""{cohort_sql(BALANCED)}
+SELECT stay_id, hours, governed_count, NOT EXISTS (SELECT 1 FROM sr o WHERE o.governed_count <= s.governed_count AND o.hours >= s.hours
+  AND (o.governed_count < s.governed_count OR o.hours > s.hours)) AS on_front FROM sr s""")
+def stay_front(spark: SparkSession, sf: str) -> DataFrame:
+    """Stays by alerts and hours: the longest stays for how few alerts they had."""
+    rows = checkpointed(rollup(spark, sf, BALANCED).select("stay_id", "hours", "governed_count"))
+    return on_skyline(rows, "governed_count", "hours", "on_front")
+
+
 @query("frozen_holdout", "JOB-5", f"""{cohort_sql(STRICTP, "CAST(substr(stay_id, 2) AS INT) % 2 = 1")}, {_metrics_select()}
 SELECT config_id, stays, sepsis_stays, governed_alerts, governed_tp, {_rs('governed_sensitivity')} FROM mm""")
 def frozen_holdout(spark: SparkSession, sf: str) -> DataFrame:
