@@ -27,7 +27,7 @@ from .simhash import SEED, shingle_hashes
 SAMPLES, TAKEN = 20, 3
 SHORT = 96  # shingles; up to here the exact keys are no more than the samples would be
 STAR_ROWS = 1000  # members a task compares with one centre
-SALTS = 32  # parts a key's members are dealt into for joins with what is known of the key
+SALT_ROWS = 512  # members of a key that meet what is known of the key in one task
 BLOCK_HASHES = 200_000  # hashes in a block of a cell; a larger set is a block of its own
 _ODD = np.array([xxhash.xxh64_intdigest(bytes([i]), SEED) | 1 for i in range(SAMPLES)], np.uint64)[:, None]
 _LINK = pa.schema([("a", pa.int64()), ("b", pa.int64())])
@@ -202,10 +202,11 @@ def similar_documents(docs: DataFrame, words: int = 5, similarity: float = 0.8,
     links = saved(stars.repartition("centre", "part").sortWithinPartitions("centre", "part", "side").mapInArrow(tidied(_star(similarity)), "a long, b long"), "shingle-links")
 
     labelled = met.where("members > 2").join(components(links), "node", "left").withColumn("root", F.coalesce("root", "node"))
-    mixed = labelled.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.ceil(F.sum("size") / block_hashes).cast("int").alias("blocks")).where("low < high")
-    # a crowded key's members are spread before the join
-    salted = met.withColumn("salt", F.pmod(F.xxhash64("node"), F.lit(SALTS)).cast("int"))
-    spread = mixed.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    mixed = labelled.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.ceil(F.sum("size") / block_hashes).cast("int").alias("blocks"), F.max("members").alias("members")).where("low < high")
+    # a crowded key's members are spread before the join; most keys have one part
+    parts = F.ceil(F.col("members") / SALT_ROWS).cast("int")
+    salted = met.withColumn("salt", F.pmod(F.xxhash64("node"), parts).cast("int"))
+    spread = mixed.withColumn("salt", F.explode(F.sequence(F.lit(0), parts - 1))).drop("members")
     cells = _blocked(salted.join(spread, ["key", "salt"]).select("key", "node", "blocks")).join(sets, "node").select("key", "left", "right", "side", "node", "hashes")
     cell = ["key", "left", "right"]
     more = cells.repartition(*cell).sortWithinPartitions(*cell).mapInArrow(tidied(_cells(similarity)), "a long, b long")
