@@ -19,7 +19,13 @@ from wardline.rules import Governance
 _BYTES = T.StructType([T.StructField("v", T.BinaryType())])
 _CLOCK = T.StructType([T.StructField("newest", T.LongType()), T.StructField("flushed", T.LongType())])
 _KEY = T.StructType([T.StructField("k", T.StringType())])
-_SEEN = T.StructType([T.StructField("at", T.LongType())])
+_AT = T.StructType([T.StructField("at", T.LongType())])
+_PIECE = T.StructType([T.StructField("bucket", T.LongType()), T.StructField("piece", T.LongType())])
+
+PENDING_US = 10_000_000
+"""Event time of one bucket of waiting records; what waits spans at most the lateness, so some thirty buckets."""
+SEEN_US = 3_600_000_000
+"""Arrival time of one bucket of delivery keys; some twenty-five are kept."""
 
 FLUSH_PREFIX = "flush-"
 """Delivery keys with this prefix mark the end of input: they only move the patient's clock."""
@@ -38,12 +44,64 @@ class _Pickled:
         self._state.update((pickle.dumps(value),))
 
 
+class _Buckets:
+    """Items of one key by time: pieces in a map state, and how many each bucket has in a small value state.
+
+    A batch writes one piece per bucket it adds to and reads the buckets it takes; the others stay untouched,
+    whatever they hold.
+    """
+
+    def __init__(self, handle: StatefulProcessorHandle, name: str, width_us: int) -> None:
+        self._pieces = handle.getMapState(f"{name}_pieces", _PIECE, _BYTES)
+        self._counts = _Pickled(handle, f"{name}_counts", dict)
+        self.width = width_us
+
+    def add(self, items: list[tuple[int, Any]]) -> None:
+        """Keep (time, item) pairs."""
+        if not items:
+            return
+        parts: dict[int, list[tuple[int, Any]]] = {}
+        for at, item in items:
+            parts.setdefault(at // self.width, []).append((at, item))
+        counts = self._counts.get()
+        for bucket, part in parts.items():
+            n = counts.get(bucket, 0)
+            self._pieces.updateValue((bucket, n), (pickle.dumps(part),))
+            counts[bucket] = n + 1
+        self._counts.set(counts)
+
+    def take(self, until: int, whole: bool = False) -> list[Any]:
+        """Remove and return the items at or before ``until``; with ``whole``, only buckets that end there."""
+        counts = self._counts.get()
+        due = [b for b in counts if ((b + 1) * self.width - 1 if whole else b * self.width) <= until]
+        if not due:
+            return []
+        out = []
+        for bucket in due:
+            later = []
+            for n in range(counts.pop(bucket)):
+                for at, item in pickle.loads(bytes(self._pieces.getValue((bucket, n))[0])):
+                    if at <= until:
+                        out.append(item)
+                    else:
+                        later.append((at, item))
+                self._pieces.removeKey((bucket, n))
+            if later:
+                self._pieces.updateValue((bucket, 0), (pickle.dumps(later),))
+                counts[bucket] = 1
+        self._counts.set(counts)
+        return out
+
+
 class RecordProcessor(StatefulProcessor):
     """Arrival rules of one patient: duplicate removal, lateness, event-time reordering, then a step.
 
     ``apply(state, row) -> (state, output tuple or None)`` gets rows in event order. Late rows come out
     with reason ``late_beyond_lateness``; rows with a reason of their own come out with it and never
     reach the step.
+
+    A batch touches what it brings and what is due. Waiting records lie in buckets of event time, delivery keys
+    are looked up one by one and forgotten by whole buckets of arrival time, and a batch sets one timer.
     """
 
     def __init__(self, columns: list[str], output: T.StructType) -> None:
@@ -72,24 +130,29 @@ class RecordProcessor(StatefulProcessor):
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
         self.clock = handle.getValueState("clock", _CLOCK)
-        self.seen = handle.getMapState("seen", _KEY, _SEEN)
-        self.pending = handle.getMapState("pending", _KEY, _BYTES)
+        self.seen = handle.getMapState("seen", _KEY, _AT)
+        self.arrivals = _Buckets(handle, "arrivals", SEEN_US)
+        self.pending = _Buckets(handle, "pending", PENDING_US)
+        self.waits = handle.getMapState("waits", _AT, _AT)
         self.state = _Pickled(handle, "state", lambda: self.packed(self.start()))
 
     def close(self) -> None:
         pass
 
-    def _duplicate(self, key: str | None, now: int) -> bool:
+    def _duplicate(self, key: str | None, now: int, arrived: list[tuple[int, str]]) -> bool:
         if not (key or "").strip():
             return False
         if self.seen.containsKey((key,)) and now - self.seen.getValue((key,))[0] < DAY_US:
             return True
         self.seen.updateValue((key,), (now,))
+        arrived.append((now, key))
         return False
 
-    def _prune(self, now: int) -> None:
-        for k in [k[0] for k, v in self.seen.iterator() if now - v[0] >= DAY_US]:
-            self.seen.removeKey((k,))
+    def _forget(self, now: int) -> None:
+        """Drop delivery keys of a day ago and more, by whole buckets; a key that came again since is kept."""
+        for key in self.arrivals.take(now - DAY_US, whole=True):
+            if self.seen.containsKey((key,)) and now - self.seen.getValue((key,))[0] >= DAY_US:
+                self.seen.removeKey((key,))
 
     def _out(self, row: dict, reason: str | None, values: tuple | None) -> Row:
         head = (row["patient_id"], row["encounter_id"], row["event_us"], row["ingest_us"], row["idempotency_key"],
@@ -97,12 +160,7 @@ class RecordProcessor(StatefulProcessor):
         return Row(*self.names)(*head, *(values if values is not None else self.blank()))
 
     def _flush(self, until: int, extra: list[dict]) -> Iterator[Row]:
-        ready = list(extra)
-        for k, v in list(self.pending.iterator()):
-            row = pickle.loads(bytes(v[0]))
-            if row["event_us"] <= until:
-                ready.append(row)
-                self.pending.removeKey((k[0],))
+        ready = extra + self.pending.take(until)
         if not ready:
             return
         ready.sort(key=lambda r: (r["event_us"], r["idempotency_key"] or ""))
@@ -123,10 +181,11 @@ class RecordProcessor(StatefulProcessor):
         newest, flushed = self.clock.get() if self.clock.exists() else (None, 0)
         arrived = sorted((dict(zip(self.columns, r)) for r in rows), key=lambda r: (r["ingest_us"], r["event_us"], r["idempotency_key"] or ""))
         waiting: list[dict] = []
+        keys: list[tuple[int, str]] = []
         last = 0
         for row in arrived:
             last = max(last, row["ingest_us"])
-            if self._duplicate(row["idempotency_key"], row["ingest_us"]):
+            if self._duplicate(row["idempotency_key"], row["ingest_us"], keys):
                 continue
             at = row["event_us"]
             if newest is None or at > newest:
@@ -136,21 +195,29 @@ class RecordProcessor(StatefulProcessor):
                 yield self._out(row, "late_beyond_lateness", None)
             else:
                 waiting.append(row)
-        self._prune(last)
+        self.arrivals.add(keys)
+        self._forget(last)
         ready = [r for r in waiting if r["event_us"] <= flushed]
-        for n, row in enumerate(r for r in waiting if r["event_us"] > flushed):
-            name = f"{row['event_us']:020d}|{row['idempotency_key'] or ''}|{row['ingest_us']}|{n}"
-            self.pending.updateValue((name,), (pickle.dumps(row),))
-            # A lone last event still comes out once the reading clock has passed its lateness.
-            self.handle.registerTimer((row["read_us"] + LATENESS_US) // 1000)
+        held = [r for r in waiting if r["event_us"] > flushed]
         self.clock.update((newest or 0, flushed))
         yield from self._flush(flushed, ready)
+        if held:
+            self.pending.add([(r["event_us"], r) for r in held])
+            # A lone last event still comes out once the reading clock has passed its lateness.
+            timer = (max(r["read_us"] for r in held) + LATENESS_US) // 1000
+            until = max(r["event_us"] for r in held)
+            if self.waits.containsKey((timer,)):
+                until = max(until, self.waits.getValue((timer,))[0])
+            self.waits.updateValue((timer,), (until,))
+            self.handle.registerTimer(timer)
 
     def handleExpiredTimer(self, key: Any, timerValues: Any, expiredTimerInfo: Any) -> Iterator[Row]:
         newest, flushed = self.clock.get() if self.clock.exists() else (0, 0)
-        waited = [pickle.loads(bytes(v[0])) for _, v in self.pending.iterator()]
-        due = (expiredTimerInfo.getExpiryTimeInMs() + 1) * 1000
-        flushed = max([flushed, *(r["event_us"] for r in waited if r["read_us"] + LATENESS_US < due)])
+        timer = expiredTimerInfo.getExpiryTimeInMs()
+        if not self.waits.containsKey((timer,)):
+            return
+        flushed = max(flushed, self.waits.getValue((timer,))[0])
+        self.waits.removeKey((timer,))
         self.clock.update((newest, flushed))
         yield from self._flush(flushed, [])
 
