@@ -9,17 +9,19 @@ without ever holding a key's rows in memory. It has two layouts:
   ``hot_rows`` rows, which is measured first.
 * *ranged* - when a key is larger than that, rows are range-partitioned on (key, order), so a hot
   key spreads over as many partitions as its size asks for. Each partition starts from the state
-  its predecessor ended with. Those states are found by running all partitions at once from a
-  guess and re-running only the partitions whose guess turned out wrong. The answer is exact for
-  any step function; step functions that forget old rows settle after one or two rounds. The
-  driver holds one state per partition and no rows.
+  its predecessor ended with. A step that says what a stretch of rows does to any state (``Summary``:
+  counts, sums, maxima, last values) needs one pass for that, and a prefix over the partitions' summaries.
+  For other steps the states are found by running all partitions at once from a guess and re-running
+  only the partitions whose guess turned out wrong: exact for any step function, one or two rounds for
+  those that forget old rows, up to one round per partition of a key for those that do not. The driver
+  holds one state per partition and no rows.
 """
 
 from __future__ import annotations
 
 import pickle
 from collections.abc import Callable, Iterator, Sequence
-from typing import Any
+from typing import Any, NamedTuple
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
@@ -35,6 +37,18 @@ CHUNK_ROWS = 2_000_000
 Step = Callable[[Any, tuple], tuple[Any, tuple | None]]
 
 
+class Summary(NamedTuple):
+    """What a stretch of one key's rows does to a state that comes before it.
+
+    ``add(summary, row)`` takes a row in, ``after(state, summary)`` is the state behind the stretch. A summary
+    has a bounded size, whatever the number of rows.
+    """
+
+    start: Callable[[], Any]
+    add: Callable[[Any, tuple], Any]
+    after: Callable[[Any, Any], Any]
+
+
 def largest_key(df: DataFrame, keys: Sequence[str]) -> int:
     """Rows of the most frequent key; only the key columns are read and counts are combined map-side."""
     row = df.groupBy(*keys).count().agg(F.max("count").alias("n")).first()
@@ -75,6 +89,7 @@ def ordered_fold(
     spread: bool = False,
     pack: Callable[[Any], Any] | None = None,
     unpack: Callable[[Any], Any] | None = None,
+    summary: Summary | None = None,
 ) -> DataFrame:
     """Fold ``step`` over every key in order and return its outputs.
 
@@ -83,7 +98,8 @@ def ordered_fold(
     says whether a key is over ``hot_rows``; when not given it is counted. ``spread`` gives the fold its
     own exchange on the keys: worth it when the rows were multiplied after the last one, as every task
     would otherwise fold many times what it read. ``pack`` and ``unpack`` turn a state into plain values and back
-    where it goes from one partition to the next.
+    where it goes from one partition to the next. ``summary`` makes the number of jobs over a very large key
+    independent of how many partitions it fills.
     """
     keys, order, inputs, keep = list(keys), list(order), list(inputs), list(keep)
     columns = list(dict.fromkeys([*keys, *order, *inputs, *keep]))
@@ -96,7 +112,7 @@ def ordered_fold(
         if spread:
             df = df.repartition(_partitions(df, partitions), *keys)
         return _clustered(df, keys, order, inputs, step, start, out_schema, arrow_out, keep)
-    return _ranged(df, keys, order, inputs, step, start, out_schema, arrow_out, keep, partitions, pack or _same, unpack or _same)
+    return _ranged(df, keys, order, inputs, step, start, out_schema, arrow_out, keep, partitions, pack or _same, unpack or _same, summary)
 
 
 def _clustered(df, keys, order, inputs, step, start, out_schema, arrow_out, keep):
@@ -131,7 +147,7 @@ def _same(state):
     return state
 
 
-def _ranged(df, keys, order, inputs, step, start, out_schema, arrow_out, keep, partitions, pack, unpack):
+def _ranged(df, keys, order, inputs, step, start, out_schema, arrow_out, keep, partitions, pack, unpack, summary):
     n = partitions or max(_partitions(df, None), -(-df.count() // CHUNK_ROWS))
     # Range bounds are sampled, so the placement is written down before anything relies on it.
     placed = checkpointed(
@@ -172,9 +188,24 @@ def _ranged(df, keys, order, inputs, step, start, out_schema, arrow_out, keep, p
 
         return run
 
+    def summaries(batches):
+        chunk, held = None, summary.start() if summary else None
+        for batch in batches:
+            for chunk, *vals in _rows(batch, ["_chunk", *inputs]):
+                held = summary.add(held, tuple(vals))
+        if chunk is not None:
+            yield _to_batch([(chunk, pickle.dumps(held))], tail_schema)
+
     carry: dict[int, bytes] = {}
     todo = sorted(set(before.values()))
     ended: dict[int, bytes] = {}
+    if summary and todo:
+        part = last_rows.where(F.col("_chunk").isin(todo))
+        stretch = {r["chunk"]: pickle.loads(bytes(r["state"])) for r in part.mapInArrow(summaries, _TAIL).collect()}  # one per partition
+        for c in todo:  # in the partitions' order, so a continued key's state is known before it is passed on
+            state = unpack(pickle.loads(ended[before[c]])) if c in whole and c in before else start()
+            ended[c] = pickle.dumps(pack(summary.after(state, stretch[c])))
+        carry, todo = {c: ended[p] for c, p in before.items()}, []
     while todo:
         part = last_rows.where(F.col("_chunk").isin(todo))
         known = {c: carry[c] for c in todo if c in carry and c in whole}

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from wardline.operators import folds
-from wardline.operators.folds import largest_key, ordered_fold
+from wardline.operators.folds import Summary, largest_key, ordered_fold
 
 DAY_US = 24 * 3_600_000_000
 LATENESS_US = 5 * 60_000_000
@@ -48,8 +48,23 @@ def numbered(df: DataFrame, keys: Sequence[str], order: Sequence[str], name: str
     if not is_hot(df, keys, hot):
         return df.withColumn(name, F.row_number().over(Window.partitionBy(*keys).orderBy(*order)))
     out = T.StructType([T.StructField(name, T.IntegerType())])
-    return ordered_fold(df, keys, order, [], lambda s, _: (s + 1, (s + 1,)), lambda: 0, out,
-                        keep=df.columns, hot=True)
+    return ordered_fold(df, keys, order, [], lambda s, _: (s + 1, (s + 1,)), lambda: 0, out, keep=df.columns, hot=True,
+                        summary=Summary(lambda: 0, lambda n, _: n + 1, lambda s, n: s + n))
+
+
+def running_sum(df: DataFrame, keys: Sequence[str], order: Sequence[str], column: str, name: str,
+                hot: bool | None = None) -> DataFrame:
+    """Sum of a whole-number column over the key's rows up to and with this one."""
+    if not is_hot(df, keys, hot):
+        w = Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+        return df.withColumn(name, F.sum(column).over(w))
+
+    def add(s, row):
+        return s + (row[0] or 0)
+
+    return ordered_fold(df, keys, order, [column], lambda s, row: (add(s, row), (add(s, row),)), lambda: 0,
+                        T.StructType([T.StructField(name, T.LongType())]), keep=df.columns, hot=True,
+                        summary=Summary(lambda: 0, add, lambda s, n: s + n))
 
 
 def forward_fill(df: DataFrame, keys: Sequence[str], order: Sequence[str], columns: Sequence[str],
@@ -60,14 +75,20 @@ def forward_fill(df: DataFrame, keys: Sequence[str], order: Sequence[str], colum
         w = Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
         return df.withColumns({c: F.last(c, ignorenulls=True).over(w) for c in columns})
 
+    def onto(state, row):
+        return tuple(v if v is not None else s for v, s in zip(row, state))
+
     def step(state, row):
-        state = tuple(v if v is not None else s for v, s in zip(row, state))
+        state = onto(state, row)
         return state, state
 
+    def nothing():
+        return (None,) * len(columns)
+
     kept = [c for c in df.columns if c not in columns]
     out = T.StructType([df.schema[c] for c in columns])
-    return ordered_fold(df, keys, order, columns, step, lambda: (None,) * len(columns), out,
-                        keep=kept, hot=True).select(*df.columns)
+    return ordered_fold(df, keys, order, columns, step, nothing, out, keep=kept, hot=True,
+                        summary=Summary(nothing, onto, onto)).select(*df.columns)
 
 
 def deduplicate(df: DataFrame, shape: Shape | None = None, ttl_us: int = DAY_US) -> DataFrame:
@@ -104,12 +125,16 @@ def mark_late(df: DataFrame, hot: bool | None = None, lateness_us: int = LATENES
         newest = F.max("event_us").over(w)
         return df.withColumn("late", F.coalesce(F.col("event_us") < newest - F.lit(lateness_us), F.lit(False)))
 
+    def newer(a, b):
+        return b if a is None else a if b is None else max(a, b)
+
     def step(newest, row):
         late = newest is not None and row[0] < newest - lateness_us
-        return (row[0] if newest is None else max(newest, row[0])), (late,)
+        return newer(newest, row[0]), (late,)
 
     return ordered_fold(df, ["patient_id"], order, ["event_us"], step, lambda: None,
-                        T.StructType([T.StructField("late", T.BooleanType())]), keep=df.columns, hot=True)
+                        T.StructType([T.StructField("late", T.BooleanType())]), keep=df.columns, hot=True,
+                        summary=Summary(lambda: None, lambda s, row: newer(s, row[0]), newer))
 
 
 def mark_out_of_order(df: DataFrame, name: str = "out_of_order", hot: bool | None = None) -> DataFrame:
@@ -135,8 +160,22 @@ def encounter_scope(df: DataFrame, order: Sequence[str] = ("event_us", "idempote
                 now = named
             return (now, scope), (now, scope)
 
+        def add(s, row):  # first and last encounter of the stretch, changes between them
+            first, last, changes = s
+            named = (row[0] or "").strip() or None
+            if named is None:
+                return s
+            return (named, named, 0) if first is None else (first, named, changes + (named != last))
+
+        def after(state, s):
+            (now, scope), (first, last, changes) = state, s
+            if first is None:
+                return state
+            return last, scope + changes + (first != now and (now is not None or null_opens))
+
         out = T.StructType([T.StructField("encounter_now", T.StringType()), T.StructField("scope", T.LongType())])
-        return ordered_fold(df, keys, order, ["encounter_id"], step, lambda: (None, 0), out, keep=df.columns, hot=True)
+        return ordered_fold(df, keys, order, ["encounter_id"], step, lambda: (None, 0), out, keep=df.columns, hot=True,
+                            summary=Summary(lambda: (None, None, 0), add, after))
     named = F.nullif(F.trim("encounter_id"), F.lit(""))
     w = Window.partitionBy(*keys).orderBy(*order)
     before = F.last(named, ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, -1))
@@ -183,6 +222,59 @@ def snapshot_start(fields: int):
     return lambda: (None, 0, (None,) * fields, {})
 
 
+def snapshot_summary(fields: int) -> Summary:
+    """What a stretch of updates does to any snapshot before it.
+
+    Of each component it keeps the newest clock and, per field, the last value that no earlier update of the
+    stretch made stale, with its clock and place: it counts if the snapshot's own clock is not newer. ``joint``
+    is the part that may meet the snapshot's encounter, ``own`` the part since the stretch last named one.
+    """
+
+    def put(part, at, row):
+        _, component, event_us, ingest_us, *values = row
+        newest, kept = part.get(component, (None, {}))
+        clock = (event_us, ingest_us)
+        if newest is None or clock >= newest:
+            part[component] = (clock, kept | {i: (at, clock, v) for i, v in enumerate(values) if v is not None})
+
+    def add(s, row):
+        named = (row[0] or "").strip() or None
+        if named is not None:
+            if s["first"] is None:
+                s["first"] = named
+            elif named != s["last"]:
+                s["changes"] += 1
+                s["joint"], s["own"] = None, {}
+            s["last"] = named
+        s["at"] += 1
+        if s["joint"] is not None:
+            put(s["joint"], s["at"], row)
+        if s["first"] is not None:
+            put(s["own"], s["at"], row)
+        return s
+
+    def onto(merged, clocks, part):
+        best = {}
+        for component, (newest, kept) in part.items():
+            seen = clocks.get(component)
+            for i, (at, clock, v) in kept.items():
+                if (seen is None or clock >= seen) and (i not in best or at > best[i][0]):
+                    best[i] = (at, v)
+        fresh = {c: newest for c, (newest, _) in part.items() if c not in clocks or newest > clocks[c]}
+        return tuple(best[i][1] if i in best else m for i, m in enumerate(merged)), {**clocks, **fresh}
+
+    def after(state, s):
+        now, scope, merged, clocks = state
+        if s["first"] is None:
+            return now, scope, *onto(merged, clocks, s["joint"])
+        turned = now is not None and s["first"] != now
+        if turned or s["changes"]:
+            return s["last"], scope + turned + s["changes"], *onto((None,) * fields, {}, s["own"])
+        return s["last"], scope, *onto(merged, clocks, s["joint"])
+
+    return Summary(lambda: {"first": None, "last": None, "changes": 0, "at": 0, "joint": {}, "own": {}}, add, after)
+
+
 def latest_inputs(mapped: DataFrame, hot: bool | None = None) -> DataFrame:
     """Latest value of every input per patient and encounter, one row per applied update.
 
@@ -199,7 +291,7 @@ def latest_inputs(mapped: DataFrame, hot: bool | None = None) -> DataFrame:
             + [T.StructField(f, SNAPSHOT_FIELDS[f]) for f in fields])
         return ordered_fold(
             rows, ["patient_id"], order, ["encounter_id", "component", "event_us", "ingest_us", *fields],
-            snapshot_step(len(fields)), snapshot_start(len(fields)), out, keep=keep, hot=True)
+            snapshot_step(len(fields)), snapshot_start(len(fields)), out, keep=keep, hot=True, summary=snapshot_summary(len(fields)))
     scoped = encounter_scope(rows, order)
     clock = F.struct("event_us", "ingest_us")
     before = Window.partitionBy("patient_id", "scope", "component").orderBy(*order).rowsBetween(
