@@ -5,9 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wardline.catalog.base import READINGS, joined, query, tier_sql
+from wardline.catalog.base import READINGS, governance_sql, joined, query, tier_sql
 from wardline.functions import scores
+from wardline.operators import governance as G
 from wardline.operators import timeline as TL
+from wardline.rules import load_bundle
 from wardline.sources import projection as P
 
 H = "3600000000::BIGINT"
@@ -102,31 +104,32 @@ def aki_onset(spark: SparkSession, sf: str) -> DataFrame:
 
 
 _POINT = READINGS + """,
-pt AS (SELECT event_id, reading AS cr, CASE WHEN k % 5 = 0 THEN NULL ELSE 0.5 + (k % 10) / 5.0::DOUBLE END AS base,
+pt AS (SELECT event_id, CASE WHEN code = '2160-0' THEN reading END AS cr, CASE WHEN k % 5 = 0 THEN NULL ELSE 0.5 + (k % 10) / 5.0::DOUBLE END AS base,
     CASE WHEN k % 3 = 0 THEN (k % 7) / 10.0::DOUBLE END AS rate, CASE WHEN k % 4 <> 0 THEN (k % 30)::DOUBLE END AS hours,
-    k % 25 = 0 AS anuria FROM rd WHERE code IN ('2160-0', '1975-2')),
-p1 AS (SELECT *, CASE WHEN cr >= 4 THEN 3 WHEN base IS NULL OR base <= 0 THEN 0 WHEN cr / base >= 3 THEN 3
+    k % 25 = 0 AS anuria FROM rd),
+p0 AS (SELECT *, CASE WHEN cr IS NULL THEN NULL WHEN cr >= 4 THEN 3 WHEN base IS NULL OR base <= 0 THEN 0 WHEN cr / base >= 3 THEN 3
     WHEN cr / base >= 2 THEN 2 WHEN cr / base >= 1.5 OR cr - base >= 0.3 THEN 1 ELSE 0 END AS cr_stage,
     CASE WHEN anuria AND coalesce(hours, 0) >= 12 THEN 3 WHEN rate IS NULL OR hours IS NULL THEN NULL
       WHEN rate < 0.3 AND hours >= 24 THEN 3 WHEN rate < 0.5 AND hours >= 12 THEN 2 WHEN rate < 0.5 AND hours >= 6 THEN 1
-      ELSE 0 END AS uo_stage FROM pt)"""
+      ELSE 0 END AS uo_stage FROM pt),
+p1 AS (SELECT *, CASE WHEN cr_stage IS NOT NULL OR uo_stage IS NOT NULL THEN greatest(coalesce(cr_stage, 0), coalesce(uo_stage, 0)) END AS stage FROM p0)"""
 
 
 @query("aki_point_score", "SCO-12 SCO-13 SCO-14", f"""WITH {_POINT}
-SELECT event_id, cr_stage AS creatinine_stage, uo_stage AS urine_stage, greatest(cr_stage, coalesce(uo_stage, 0)) AS stage,
-  greatest(cr_stage, coalesce(uo_stage, 0)) * 2 AS score, CASE WHEN base IS NULL OR base <= 0 OR (uo_stage IS NULL AND
+SELECT event_id, cr_stage AS creatinine_stage, uo_stage AS urine_stage, stage, stage * 2 AS score,
+  CASE WHEN stage IS NULL THEN 'insufficient_data' WHEN (cr IS NOT NULL AND (base IS NULL OR base <= 0)) OR (uo_stage IS NULL AND
     (rate IS NOT NULL OR hours IS NOT NULL OR anuria)) THEN 'partial' ELSE 'complete' END AS completeness,
-  {tier_sql('greatest(cr_stage, coalesce(uo_stage, 0)) * 2', '2', 4, 6)} AS tier FROM p1""")
+  {tier_sql('stage * 2', '2', 4, 6)} AS tier FROM p1""")
 def aki_point(spark: SparkSession, sf: str) -> DataFrame:
-    """Single-point kidney score from creatinine, baseline and urine."""
-    r = P.readings(spark, sf).where(F.col("code").isin("2160-0", "1975-2")).selectExpr(
-        "event_id", "reading AS creatinine", "CASE WHEN k % 5 <> 0 THEN 0.5D + (k % 10) / 5D END AS baseline_creatinine",
+    """Single-point kidney score at every reading, from creatinine where it is one, baseline and urine."""
+    r = P.readings(spark, sf).selectExpr(
+        "event_id", "CASE WHEN code = '2160-0' THEN reading END AS creatinine", "CASE WHEN k % 5 <> 0 THEN 0.5D + (k % 10) / 5D END AS baseline_creatinine",
         "CASE WHEN k % 3 = 0 THEN (k % 7) / 10D END AS urine_ml_kg_h",
         "CASE WHEN k % 4 <> 0 THEN cast(k % 30 AS double) END AS urine_hours", "k % 25 = 0 AS anuria")
     return scores.aki_point(r).select("event_id", "creatinine_stage", "urine_stage", "stage", "score", "completeness", "tier")
 
 
-@query("aki_scenario_replay", "JOB-2 STR-8", f"""WITH {KIDNEY}
+@query("aki_scenario_replay", "JOB-2", f"""WITH {KIDNEY}
 SELECT tier, count(*) AS n, count(*) FILTER (completeness = 'partial') AS n_partial FROM (
   SELECT {tier_sql('score', '2', 4, 6)} AS tier, CASE WHEN status <> 'scored' THEN 'insufficient_data'
     WHEN missing <> '' THEN 'partial' ELSE 'complete' END AS completeness FROM aki) GROUP BY tier""")
@@ -134,3 +137,31 @@ def aki_replay(spark: SparkSession, sf: str) -> DataFrame:
     """Kidney alerts by tier over the whole history."""
     return evaluated(spark, sf).groupBy("tier").agg(
         F.count(F.lit(1)).alias("n"), F.count_if(F.col("completeness") == "partial").alias("n_partial"))
+
+
+AKI_RULES = load_bundle("aki-kdigo").governance
+_FLAGS = ", ".join(f"'{f}'" for f in AKI_RULES.suppression_flags)
+
+
+@query("kidney_governed_replay", "JOB-2 GOV-14 AGG-1", f"""WITH RECURSIVE {KIDNEY},
+ksrc AS (SELECT a.patient_id AS pk, row_number() OVER (PARTITION BY a.patient_id ORDER BY a.event_us, a.evidence_id) AS rn, a.event_us, r.encounter_id AS enc, a.score,
+    a.tier, CASE WHEN r.context_flag IN ({_FLAGS}) THEN r.context_flag END AS flag, (coalesce(creatinine_stage, 0) > 0)::INT + (coalesce(urine_stage, 0) > 0)::INT AS positive,
+    NULL::VARCHAR AS quality
+  FROM (SELECT *, {tier_sql('score', '2', 4, 6)} AS tier FROM aki) a JOIN rd r ON a.evidence_id = 'Observation/' || r.event_id WHERE a.tier <> 'none'),
+{governance_sql('ksrc', AKI_RULES)}
+SELECT coalesce(pk, 'all') AS scenario, count(*) AS naive, count(*) FILTER (emit) AS governed, count(*) FILTER (routing = 'interruptive') AS interruptive,
+  count(*) FILTER (reason LIKE 'context:%') AS suppressed, round(count(*) FILTER (emit) / count(*), 9) AS reduction
+FROM gov WHERE rn > 0 GROUP BY ROLLUP (pk)""")
+def kidney_governed_replay(spark: SparkSession, sf: str) -> DataFrame:
+    """Kidney alerts of every patient's history before and after governance under the active bundle, and of all patients together."""
+    said = P.readings(spark, sf).selectExpr(
+        "concat('Observation/', event_id) AS evidence_id", "encounter_id", "if(context_flag IS NULL, cast(array() AS array<string>), array(context_flag)) AS context_flags")
+    alerts = evaluated(spark, sf).where(F.col("tier") != "none").join(said, "evidence_id").withColumn(
+        "positive_components", F.expr("int(coalesce(creatinine_stage, 0) > 0) + int(coalesce(urine_stage, 0) > 0)"))
+    decided = G.govern(alerts, AKI_RULES, order=("event_us", "evidence_id"), keep=["patient_id"])
+    out = decided.rollup("patient_id").agg(
+        F.count(F.lit(1)).alias("naive"), F.count_if("emit").alias("governed"), F.count_if(F.col("routing") == "interruptive").alias("interruptive"),
+        F.count_if(F.col("reason").startswith("context:")).alias("suppressed"))
+    # An empty history has a row of totals too; it says nothing.
+    return out.where("naive > 0").select(F.coalesce("patient_id", F.lit("all")).alias("scenario"), "naive", "governed", "interruptive", "suppressed",
+                                         F.round(G.reduction_ratio(F.col("naive"), F.col("governed")), 9).alias("reduction"))

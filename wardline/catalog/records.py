@@ -9,6 +9,7 @@ from wardline.catalog.base import SCORED, alert_id_sql, alert_source, governance
 from wardline.catalog.governance import ACTIVE, governed
 from wardline.functions.scores import SOFA_COMPONENTS
 from wardline.operators import store
+from wardline.plans import snapshots as snap
 from wardline.session import new_path
 from wardline.sources import projection as P, records
 
@@ -143,6 +144,30 @@ def operations_status(spark: SparkSession, sf: str) -> DataFrame:
         (F.col("alerts") > 40).alias("volume_alarm"))
 
 
+_SITE = "CASE WHEN user_id % 9 = 0 THEN 'north' WHEN user_id % 2 = 0 THEN 'south' ELSE 'west' END"
+HOURLY_LIMIT = 4.0
+
+
+@query("operations_alarms", "AGG-12 FLT-7", f"""{STORED},
+site AS (SELECT DISTINCT patient_id, {_SITE} AS site_id FROM rd),
+vol AS (SELECT site_id, count(*) AS n, count(*) / greatest((max(event_us) - min(event_us)) / 3600000000.0::DOUBLE, 1) AS rate FROM al JOIN site USING (patient_id) GROUP BY 1),
+dead AS (SELECT {_SITE} AS site_id, count(*) AS n FROM mp WHERE late OR reason IS NOT NULL GROUP BY 1),
+sw AS (SELECT {_SITE} AS site_id, CASE WHEN k < 62 THEN 'alerts_ingest' ELSE 'interruptive_lane' END AS switch, arg_max(k % 2 = 1, {{'a': event_us, 'b': event_id}}) AS enabled
+  FROM rd WHERE k BETWEEN 60 AND 63 GROUP BY ALL)
+SELECT site_id, 'warning' AS severity, 'alert_volume_high' AS code, round(rate, 6) AS observed FROM vol WHERE rate > {HOURLY_LIMIT}
+UNION ALL SELECT site_id, 'warning', 'dlq_nonempty', n::DOUBLE FROM dead WHERE n > 0
+UNION ALL SELECT site_id, CASE switch WHEN 'alerts_ingest' THEN 'critical' ELSE 'warning' END, CASE switch WHEN 'alerts_ingest' THEN 'ingest_disabled' ELSE 'interruptive_disabled' END,
+  0.0::DOUBLE FROM sw WHERE NOT enabled""")
+def operations_alarms(spark: SparkSession, sf: str) -> DataFrame:
+    """Alarms per site: alert volume, refused records, and switches that are off."""
+    site = F.expr(_SITE.replace("user_id", "cast(replace(patient_id, 'Patient/', '') AS bigint)")).alias("site_id")
+    updates = P.readings(spark, sf).where("k BETWEEN 60 AND 63").select(
+        site, F.expr("if(k < 62, 'alerts_ingest', 'interruptive_lane')").alias("switch"), (F.col("k") % 2 == 1).alias("enabled"), F.col("event_us").alias("at_us"), "event_id")
+    dead = snap.validated(P.envelopes(spark, sf))[0].where(F.col("reason").isNotNull()).select(site)
+    alarms = store.operations_alarms(stored(spark, sf).select(site, "event_us"), dead, store.switch_states(updates), hourly_limit=HOURLY_LIMIT)
+    return alarms.select("site_id", "severity", "code", F.round("observed", 6).alias("observed"))
+
+
 @query("feedback_acknowledges", "EPI-9", f"""{STORED}
 SELECT alert_id, tier, acknowledged OR event_id % 4 = 1 AS acknowledged, CASE WHEN acknowledged OR event_id % 4 = 1 THEN 'acknowledged' ELSE 'open' END AS resolution_state FROM al""")
 def feedback_acknowledges(spark: SparkSession, sf: str) -> DataFrame:

@@ -7,8 +7,11 @@ from pyspark.sql import functions as F
 
 from wardline.catalog.base import READINGS, SCORED, joined, query
 from wardline.functions.scores import SOFA_COMPONENTS
+from wardline.operators import latest
+from wardline.operators.quantiles import quantiles
 from wardline.plans import snapshots as snap
 from wardline.plans import stewardship as SW
+from wardline.plans import study as ST
 from wardline.plans import uncertainty as U
 from wardline.sources import projection as P
 
@@ -182,10 +185,11 @@ def draft_gate(spark: SparkSession, sf: str) -> DataFrame:
     return U.gate_drafts(drafts, U.validate_claims(claims, evidence)).select("draft_id", "status", "quarantine_reason")
 
 
-@query("site_drift", "AGG-20 JOB-11", f"""WITH {SCORED},
+@query("site_drift", "AGG-20", f"""WITH {SCORED},
+u AS (SELECT user_id % 3 AS site, avg((coalesce(reason, '') = 'invalid_unit')::INT) AS unit_error_rate FROM mp WHERE NOT late GROUP BY 1),
 o AS (SELECT CASE (user_id % 3) WHEN 0 THEN 'north' WHEN 1 THEN 'south' ELSE 'west' END AS site_id, avg((completeness <> 'complete')::INT) AS missingness_rate,
-  avg((tier IN ('urgent','critical'))::INT) AS page_rate, coalesce(avg(score), 0) AS mean_score, 0.01::DOUBLE AS unit_error_rate,
-  quantile_cont((ingest_us - event_us) / 1000000.0::DOUBLE, 0.95) AS arrival_delay_p95_s FROM scored GROUP BY 1),
+  avg((tier IN ('urgent','critical'))::INT) AS page_rate, coalesce(avg(score), 0) AS mean_score, any_value(u.unit_error_rate) AS unit_error_rate,
+  quantile_cont((ingest_us - event_us) / 1000000.0::DOUBLE, 0.95) AS arrival_delay_p95_s FROM scored LEFT JOIN u ON u.site = user_id % 3 GROUP BY 1),
 b(site_id, missingness_rate, page_rate, mean_score, unit_error_rate, arrival_delay_p95_s) AS (VALUES ('north', 0.5, 0.1, 1.0, 0.0, 300.0), ('south', 0.0, 0.15, 3.0, 0.01, 500.0), ('west', 0.2, 0.3, 9.0, 0.0, 60.0)),
 l AS (SELECT site_id, m AS metric, CASE m WHEN 'missingness_rate' THEN o.missingness_rate WHEN 'page_rate' THEN o.page_rate WHEN 'mean_score' THEN o.mean_score
     WHEN 'unit_error_rate' THEN o.unit_error_rate ELSE o.arrival_delay_p95_s END AS observed, (CASE m WHEN 'missingness_rate' THEN b.missingness_rate WHEN 'page_rate' THEN b.page_rate
@@ -195,11 +199,39 @@ SELECT site_id, metric, round(observed, 6)::DOUBLE AS observed, CASE WHEN baseli
 WHERE (baseline <= 0 AND observed > 0 AND metric IN ('unit_error_rate', 'missingness_rate')) OR (baseline > 0 AND observed / baseline >= 1.5)""")
 def site_drift(spark: SparkSession, sf: str) -> DataFrame:
     """Site metrics against their baselines."""
-    rows = snap.scored(P.envelopes(spark, sf)).withColumn("user", F.expr("cast(replace(patient_id, 'Patient/', '') AS bigint)"))
-    obs = rows.groupBy(F.expr("CASE user % 3 WHEN 0 THEN 'north' WHEN 1 THEN 'south' ELSE 'west' END").alias("site_id")).agg(
+    env = P.envelopes(spark, sf)
+    shape = latest.shape_of(env)
+    user = F.expr("cast(replace(patient_id, 'Patient/', '') AS bigint)")
+    site = F.when(user % 3 == 0, "north").when(user % 3 == 1, "south").otherwise("west").alias("site_id")
+    rows = snap.scored(env, shape=shape).select(site, "completeness", "tier", "score", "ingest_us", "event_us")
+    units = snap.validated(env, shape)[0].where(~F.col("late")).groupBy(site).agg(
+        F.avg(F.coalesce(F.col("reason") == "invalid_unit", F.lit(False)).cast("int")).alias("unit_error_rate"))
+    delays = quantiles(rows, ["site_id"], (F.col("ingest_us") - F.col("event_us")) / 1e6, {"arrival_delay_p95_s": 0.95})
+    obs = rows.groupBy("site_id").agg(
         F.avg((F.col("completeness") != "complete").cast("int")).alias("missingness_rate"),
-        F.avg(F.col("tier").isin("urgent", "critical").cast("int")).alias("page_rate"), F.coalesce(F.avg("score"), F.lit(0.0)).alias("mean_score"),
-        F.lit(0.01).alias("unit_error_rate"), F.percentile((F.col("ingest_us") - F.col("event_us")) / 1e6, 0.95).alias("arrival_delay_p95_s"))
+        F.avg(F.col("tier").isin("urgent", "critical").cast("int")).alias("page_rate"), F.coalesce(F.avg("score"), F.lit(0.0)).alias("mean_score"))
+    obs = obs.join(units, "site_id", "left").join(delays, "site_id", "left")
     base = spark.createDataFrame([("north", "v1", 0.5, 0.1, 1.0, 0.0, 300.0), ("south", "v1", 0.0, 0.15, 3.0, 0.01, 500.0), ("west", "v1", 0.2, 0.3, 9.0, 0.0, 60.0)],
                                  "site_id string, version string, missingness_rate double, page_rate double, mean_score double, unit_error_rate double, arrival_delay_p95_s double")
     return U.drift_alarms(obs, base).select("site_id", "metric", F.round("observed", 6).alias("observed"), "level")
+
+
+_LOCKS = (("north", "2024-01-01", "2024-01-01"), ("south", "2024-01-01", "2024-06-30"), ("west", "2024-01-02", None))
+
+
+@query("site_lock", "JOB-11", f"""WITH {READINGS},
+l(site_id, locked_start, locked_end) AS (VALUES ('north', '2024-01-01', '2024-01-01'), ('south', '2024-01-01', '2024-06-30'), ('west', '2024-01-02', NULL)),
+q AS (SELECT event_id, CASE WHEN user_id % 4 = 3 THEN 'east' ELSE CASE user_id % 3 WHEN 0 THEN 'north' WHEN 1 THEN 'south' ELSE 'west' END END AS site_id,
+    strftime(make_timestamp(event_us), '%Y-%m-%d') AS as_of, CASE k % 3 WHEN 0 THEN 'sweep' WHEN 1 THEN 'Tune ' ELSE 'bootstrap_ci' END AS command FROM rd)
+SELECT site_id, as_of, trim(lower(command)) AS command, count(*) AS n, count(*) FILTER (NOT held) AS n_allowed,
+  max(CASE WHEN held THEN 'site ' || site_id || ' is locked from ' || locked_start || ' to ' || locked_end END) AS refusal
+FROM (SELECT q.*, l.locked_start, l.locked_end, coalesce(as_of BETWEEN l.locked_start AND l.locked_end AND trim(lower(command)) IN ('sweep', 'tune'), false) AS held
+  FROM q LEFT JOIN l USING (site_id)) GROUP BY 1, 2, 3""")
+def site_lock(spark: SparkSession, sf: str) -> DataFrame:
+    """Commands on site profiles: nothing is tuned inside a site's locked test period, what only evaluates may run."""
+    asked = P.readings(spark, sf).selectExpr(
+        "CASE WHEN user_id % 4 = 3 THEN 'east' WHEN user_id % 3 = 0 THEN 'north' WHEN user_id % 3 = 1 THEN 'south' ELSE 'west' END AS site_id",
+        "date_format(timestamp_micros(event_us), 'yyyy-MM-dd') AS as_of", "CASE k % 3 WHEN 0 THEN 'sweep' WHEN 1 THEN 'Tune ' ELSE 'bootstrap_ci' END AS command")
+    locks = spark.createDataFrame(_LOCKS, "site_id string, locked_start string, locked_end string")
+    return ST.lock_decisions(asked, locks).groupBy("site_id", "as_of", F.trim(F.lower("command")).alias("command")).agg(
+        F.count(F.lit(1)).alias("n"), F.count_if("allowed").alias("n_allowed"), F.max("refusal").alias("refusal"))

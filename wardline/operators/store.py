@@ -129,3 +129,41 @@ def hourly_rate(alerts: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
     return alerts.groupBy(*keys, hour).agg(
         F.count(F.lit(1)).alias("alerts"),
         (F.count_if(F.col("completeness") == "partial") / F.count(F.lit(1))).alias("partial_rate"))
+
+
+def switch_states(updates: DataFrame, keys: Sequence[str] = ("site_id",)) -> DataFrame:
+    """Each switch as its last update left it (``switch``, ``enabled``, ``at_us``, ``event_id``)."""
+    return updates.groupBy(*keys, "switch").agg(F.max_by("enabled", F.struct("at_us", "event_id")).alias("enabled"))
+
+
+def operations_alarms(alerts: DataFrame, dead_letters: DataFrame, switches: DataFrame, keys: Sequence[str] = ("site_id",),
+                      hourly_limit: float = 500.0) -> DataFrame:
+    """Alarms as rows: ``severity``, ``code`` and the ``observed`` figure.
+
+    ``alert_volume_high`` compares alerts per hour, over the time they span but at least one hour, with the
+    limit; ``dlq_nonempty`` counts refused records; ``ingest_disabled`` and ``interruptive_disabled`` are
+    switches that are off (a switch nobody set is on). The three inputs are summed up by key before they meet.
+    """
+    none_n, none_t = F.lit(None).cast("bigint"), F.lit(None).cast("boolean")
+
+    def summed(rows: DataFrame, **columns: Column) -> DataFrame:
+        named = {"n": none_n, "first_us": none_n, "last_us": none_n, "dead": none_n, "ingest": none_t, "interruptive": none_t} | columns
+        return rows.select(*keys, *[c.alias(name) for name, c in named.items()])
+
+    volume = alerts.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"), F.min("event_us").alias("_a"), F.max("event_us").alias("_b"))
+    refused = dead_letters.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
+    states = switches.groupBy(*keys).agg(
+        F.min(F.when(F.col("switch") == "alerts_ingest", F.col("enabled"))).alias("_i"),
+        F.min(F.when(F.col("switch") == "interruptive_lane", F.col("enabled"))).alias("_l"))
+    all_rows = summed(volume, n=F.col("_n"), first_us=F.col("_a"), last_us=F.col("_b")).unionByName(
+        summed(refused, dead=F.col("_n"))).unionByName(summed(states, ingest=F.col("_i"), interruptive=F.col("_l")))
+    facts = all_rows.groupBy(*keys).agg(*[F.max(c).alias(c) for c in ("n", "first_us", "last_us", "dead", "ingest", "interruptive")])
+    rate = F.col("n") / F.greatest((F.col("last_us") - F.col("first_us")) / 3_600_000_000, F.lit(1.0))
+
+    def alarm(when: Column, severity: str, code: str, observed: Column) -> Column:
+        return F.when(when, F.struct(F.lit(severity).alias("severity"), F.lit(code).alias("code"), observed.cast("double").alias("observed")))
+
+    raised = F.array_compact(F.array(
+        alarm(rate > hourly_limit, "warning", "alert_volume_high", rate), alarm(~F.col("ingest"), "critical", "ingest_disabled", F.lit(0)),
+        alarm(~F.col("interruptive"), "warning", "interruptive_disabled", F.lit(0)), alarm(F.col("dead") > 0, "warning", "dlq_nonempty", F.col("dead"))))
+    return facts.select(*keys, F.explode(raised).alias("_alarm")).select(*keys, "_alarm.*")

@@ -240,3 +240,18 @@ def not_locked(as_of: str, locked_start: str | None, locked_end: str | None, sit
     """A site profile is not tuned inside its locked test period."""
     if locked_start and locked_end and locked_start <= as_of <= locked_end:
         raise RuleError(f"site {site!r} is locked from {locked_start} to {locked_end}")
+
+
+def lock_decisions(requests: DataFrame, locks: DataFrame) -> DataFrame:
+    """``requests`` (``site_id``, ``as_of`` date, ``command``) with ``allowed`` and the ``refusal``.
+
+    Tuning is refused from the first to the last day of a site's locked test period (``locks``: ``site_id``,
+    ``locked_start``, ``locked_end``); a period without both ends locks nothing, nor does a site without one.
+    Other commands may run. The data form of ``not_locked``.
+    """
+    period = locks.select(F.col("site_id").alias("_site"), F.col("locked_start").alias("_from"), F.col("locked_end").alias("_to"))
+    inside = F.col("as_of").between(F.col("_from"), F.col("_to")) & F.trim(F.lower("command")).isin(*sorted(TUNING))
+    held = F.coalesce(inside, F.lit(False))
+    return requests.join(period, F.col("site_id") == F.col("_site"), "left").withColumns({
+        "allowed": ~held,
+        "refusal": F.when(held, F.concat(F.lit("site "), F.col("site_id"), F.lit(" is locked from "), F.col("_from"), F.lit(" to "), F.col("_to")))}).drop("_site", "_from", "_to")
