@@ -258,3 +258,44 @@ def episode_audit(spark: SparkSession, sf: str) -> DataFrame:
     """Audit entries of all episodes."""
     out = EP.audit_log(steps(spark, sf))
     return out.select(F.concat_ws("#", "patient_id", "encounter_key").alias("pk"), "episode_no", "at_us", "action", "reason")
+
+
+# What a signal names: the reading of its moment and the panel of its hour, which other signals of that hour name too; some name nothing.
+_EVIDENCE = "CASE WHEN event_us % 7 = 3 THEN {none} ELSE {array}(concat('Observation/', event_us), concat('Panel/', {hour})) END"
+_NAMED = f"""{_STEPS},
+named AS (SELECT e.pk, e.no, e.rn, e.signal_id, i.signal_type, i.score, {_EVIDENCE.format(none='[]::VARCHAR[]', array='list_value', hour='i.event_us // 3600000000').replace('event_us %', 'i.event_us %').replace(' event_us)', ' i.event_us)')} AS evidence
+  FROM ep e JOIN ep_in i ON i.pk = e.pk AND i.rn = e.rn WHERE e.rn > 0 AND e.action <> 'skip' AND e.event = 'signal' AND e.reason <> 'duplicate_signal_id')"""
+
+
+def named_steps(spark: SparkSession, sf: str) -> DataFrame:
+    shape = latest.shape_of(P.envelopes(spark, sf))
+    evidence = F.expr(_EVIDENCE.format(none="cast(array() AS array<string>)", array="array", hour="event_us div 3600000000"))
+    return EP.arbitrate(signals(spark, sf, shape).withColumn("evidence_ids", F.when(F.col("event") == "signal", evidence)), hot=shape.hot)
+
+
+_PK = "concat_ws('#', patient_id, encounter_key) AS pk"
+
+
+@query("episode_evidence", "EPI-8", f"""{_NAMED}
+SELECT pk, no AS episode_no, evidence_id, min(rn) AS first_step, count(*) AS n_signals FROM (SELECT pk, no, rn, unnest(evidence) AS evidence_id FROM named) GROUP BY ALL""")
+def episode_evidence(spark: SparkSession, sf: str) -> DataFrame:
+    """Evidence of every episode: the union over its signals."""
+    return EP.evidence_union(named_steps(spark, sf)).selectExpr(_PK, "episode_no", "evidence_id", "first_step", "n_signals")
+
+
+@query("episode_missing_evidence", "EPI-10", f"""{_NAMED}
+SELECT pk, no AS episode_no, signal_type || ':' || signal_id || ':no_evidence' AS missing_input FROM named WHERE len(evidence) = 0""")
+def episode_missing(spark: SparkSession, sf: str) -> DataFrame:
+    """Signals of every episode that name no evidence, as its context discloses them."""
+    return EP.missing_evidence(named_steps(spark, sf)).selectExpr(_PK, "episode_no", "missing_input")
+
+
+@query("episode_disclosure", "EPI-10", f"""{_NAMED},
+dom AS (SELECT pk, no, arg_max(dtype, rn) AS dtype FROM ep WHERE rn > 0 AND action <> 'skip' GROUP BY ALL)
+SELECT d.pk, d.no AS episode_no, count(n.rn) AS n_signals, count(*) FILTER (len(n.evidence) = 0) AS n_missing,
+  CASE WHEN count(*) FILTER (len(n.evidence) = 0) > 0 THEN 'partial' ELSE 'complete' END AS completeness,
+  arg_min(n.score, n.rn) FILTER (n.signal_type = d.dtype) AS score
+FROM dom d LEFT JOIN named n ON n.pk = d.pk AND n.no = d.no GROUP BY d.pk, d.no""")
+def episode_disclosure(spark: SparkSession, sf: str) -> DataFrame:
+    """How complete every episode's context is, and the score it shows."""
+    return EP.disclosures(named_steps(spark, sf)).selectExpr(_PK, "episode_no", "n_signals", "n_missing", "completeness", "score")

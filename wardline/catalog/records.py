@@ -145,7 +145,7 @@ def operations_status(spark: SparkSession, sf: str) -> DataFrame:
 
 
 _SITE = "CASE WHEN user_id % 9 = 0 THEN 'north' WHEN user_id % 2 = 0 THEN 'south' ELSE 'west' END"
-HOURLY_LIMIT = 4.0
+HOURLY_LIMIT = 10.0
 
 
 @query("operations_alarms", "AGG-12 FLT-7", f"""{STORED},

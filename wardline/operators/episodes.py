@@ -152,8 +152,9 @@ def _out(s: dict, action: str, reason: str, closed: bool):
 
 
 def signal_refs(alerts: DataFrame) -> DataFrame:
-    """Alerts as episode input."""
+    """Alerts as episode input; the evidence they name (``evidence_ids``) goes along."""
     have = set(alerts.columns)
+    evidence = ["evidence_ids"] if "evidence_ids" in have else []
 
     def c(name: str, kind: str, default=None) -> Column:
         return F.col(name) if name in have else F.lit(default).cast(kind)
@@ -164,7 +165,7 @@ def signal_refs(alerts: DataFrame) -> DataFrame:
         F.coalesce(c("indicator", "string"), F.lit("unknown")).alias("signal_type"),
         F.coalesce(c("tier", "string"), F.lit("none")).alias("severity"), c("routing", "string").alias("routing"),
         F.coalesce(c("suppressed", "boolean"), F.lit(False)).alias("suppressed"), "event_us",
-        c("score", "int").alias("score"))
+        c("score", "int").alias("score"), *evidence)
 
 
 def control_rows(df: DataFrame, event: Column) -> DataFrame:
@@ -220,6 +221,48 @@ def summarise(steps: DataFrame, keys: Sequence[str] = ("patient_id", "encounter_
         F.col("l.reason").alias("last_reason"))
 
 
+def _own_signals(steps: DataFrame) -> DataFrame:
+    """Signals that joined an episode: no control events, no signal told twice."""
+    return steps.where((F.col("event") == "signal") & (F.col("reason") != "duplicate_signal_id"))
+
+
+def evidence_union(steps: DataFrame, keys: Sequence[str] = ("patient_id", "encounter_key")) -> DataFrame:
+    """Evidence of each episode as rows: every id once, where it first came up and how many signals name it.
+
+    Suppressed signals count too. ``first_step`` and ``place`` (in that signal's list) give the order of the union;
+    as rows an episode's evidence may grow without a growing value. Null ids are left out.
+    """
+    rows = _own_signals(steps).select(*keys, "episode_no", "step_no", F.posexplode("evidence_ids").alias("place", "evidence_id"))
+    once = rows.where(F.col("evidence_id").isNotNull()).groupBy(*keys, "episode_no", "evidence_id").agg(
+        F.min(F.struct("step_no", "place")).alias("f"), F.countDistinct("step_no").alias("n_signals"))
+    return once.select(*keys, "episode_no", "evidence_id", F.col("f.step_no").alias("first_step"), F.col("f.place").alias("place"), "n_signals")
+
+
+def _bare() -> Column:
+    return F.coalesce(F.size(F.array_compact("evidence_ids")), F.lit(0)) <= 0
+
+
+def missing_evidence(steps: DataFrame, keys: Sequence[str] = ("patient_id", "encounter_key")) -> DataFrame:
+    """What an episode's context has to disclose: one entry per signal that names no evidence."""
+    entry = F.concat_ws(":", "signal_type", "signal_id", F.lit("no_evidence"))
+    return _own_signals(steps).where(_bare()).select(*keys, "episode_no", "step_no", entry.alias("missing_input"))
+
+
+def disclosures(steps: DataFrame, keys: Sequence[str] = ("patient_id", "encounter_key")) -> DataFrame:
+    """One row per episode: signals, signals without evidence, completeness, and the score of the first signal of the dominant type."""
+    own = (F.col("event") == "signal") & (F.col("reason") != "duplicate_signal_id")
+    by_type = steps.groupBy(*keys, "episode_no", "signal_type").agg(
+        F.min(F.when(own, F.struct("step_no", "score"))).alias("first"), F.max(F.struct("step_no", "dominant_type")).alias("last"),
+        F.count_if(own).alias("signals"), F.count_if(own & _bare()).alias("bare"))
+    # One entry per signal type.
+    out = by_type.groupBy(*keys, "episode_no").agg(
+        F.sum("signals").alias("n_signals"), F.sum("bare").alias("n_missing"), F.max("last").alias("last"),
+        F.collect_list(F.struct("signal_type", F.col("first.score").alias("score"))).alias("scores"))
+    dominant = F.filter("scores", lambda x: x["signal_type"] == F.col("last.dominant_type"))
+    return out.select(*keys, "episode_no", "n_signals", "n_missing", F.when(F.col("n_missing") > 0, "partial").otherwise("complete").alias("completeness"),
+                      F.get(dominant, F.lit(0))["score"].alias("score"))
+
+
 def audit_log(steps: DataFrame, keys: Sequence[str] = ("patient_id", "encounter_key")) -> DataFrame:
     """Audit entries as rows, the elapsed-window closings included."""
     entries = steps.select(*keys, "episode_no", F.col("event_us").alias("at_us"), "action", "status", "reason",
