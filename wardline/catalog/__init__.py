@@ -7,6 +7,6 @@ __all__ = ["REGISTRY", "Query", "query", "load_all"]
 
 def load_all() -> dict[str, Query]:
     from wardline.catalog import (  # noqa: F401
-        cohort, episodes, governance, intake, joins, kidney, records, lasting, ruled, scoring, stewardship, streams, study,
+        cohort, episodes, governance, intake, joins, kidney, records, lasting, rule_files, ruled, scoring, stewardship, streams, study,
     )
     return REGISTRY
