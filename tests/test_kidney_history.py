@@ -90,3 +90,33 @@ def test_a_row_costs_the_same_however_long_the_history():
 
     took(2000)
     assert took(60_000) < 4 * took(6_000)  # windows fill up to 33,600 samples and 9,600 segments
+
+
+# (microseconds, ml, hours): the last six hours hold 276 ml of a patient of 92 kg, which is 0.5 ml/kg/h and not below it
+AT_THE_LIMIT = [
+    (6308932908, 8.52, 1), (6926883737, 79.08, 3), (9933132090, 103.8, 2), (51917927040, 295.0, 4), (55386505068, 109.48, 6), (59822484239, 241.08, 5),
+    (67676676513, 1414.12, 2), (69450925514, 13.2, 5), (72551102797, 90.08, 6), (75428911577, 24.0, 5), (77688867649, 704.96, 2), (81287348024, 244.6, 1),
+    (82877511460, 473.52, 5), (93763928163, 5.96, 1), (95679307391, 142.96, 2), (99769948252, 16.8, 3), (105157865519, 386.28, 6)]
+
+
+def _urine(segments, weight):
+    history = History()
+    history.add("weight", 0, "w", weight=weight)
+    for i, (at, ml, hours) in enumerate(segments):
+        history.add("urine", at, f"u-{i}", ml=ml, hours=float(hours))
+        found = history.result(at)
+    return found
+
+
+def test_a_rate_of_exactly_the_limit_is_not_below_it():
+    found = _urine(AT_THE_LIMIT, 92.0)
+    assert (found[3], found[8]) == (0, 0.5)
+    less = [*AT_THE_LIMIT[:-1], (105157865519, 386.279999, 6)]
+    assert _urine(less, 92.0)[3] == 1
+
+
+def test_sums_do_not_drift():
+    rng = random.Random(1)
+    segments = [(i * H // 2, rng.choice([0.1, 1e9]), 6) for i in range(2000)]
+    calm = [(1000 * H + (i + 1) * H, 30.0, 1) for i in range(40)]
+    assert _urine([*segments, *calm], 60.0)[8:11] == _urine(calm, 60.0)[8:11] == (0.5, 0.5, 0.5)

@@ -1,8 +1,9 @@
 """Kidney timeline: stage from the creatinine, urine and weight history at every observation.
 
 One ``History`` per key takes the rows in order, in tables and on streams. Minima over two and seven days are monotone queues; what urine flowed in a trailing
-window is what its segments hold less what they had given before the window began, kept as running sums. So a row costs the same however long the
-history is. A history keeps seven days of creatinine and two of urine; queues and sums are rebuilt from them when a history is stored and read again, or
+window is what its segments hold less what they had given before the window began, kept as running sums of whole numbers, which do not drift. So a row costs
+the same however long the history is. Only a rate that comes within ``NEAR`` of a limit is counted again from the window's segments, as fractions of the decimal
+numbers they were given in: a rate of exactly 0.5 is not below 0.5. A history keeps seven days of creatinine and two of urine; queues and sums are rebuilt from them when a history is stored and read again, or
 corrected. Every row of an instant is taken in before any row of it is judged.
 """
 
@@ -11,7 +12,9 @@ from __future__ import annotations
 import json
 from collections import deque
 from collections.abc import Sequence
+from fractions import Fraction
 from heapq import heappop, heappush
+from math import isfinite, nextafter
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -23,6 +26,9 @@ from wardline.operators.folds import HOT_ROWS, largest_key, ordered_fold
 HOUR_US = 3_600_000_000
 IGNORED_STATUS = ("entered-in-error", "cancelled", "unknown")
 WINDOWS_H = (6, 12, 24)
+URINE_LIMITS = ((3, 24, 0.3), (2, 12, 0.5), (1, 6, 0.5))  # stage, hours, ml/kg/h below which it holds
+NEAR = 1e-9
+UNIT = 1 << 80  # parts of a ml in the running sums
 
 RESULT = T.StructType([
     T.StructField("status", T.StringType()), T.StructField("stage", T.IntegerType()),
@@ -117,18 +123,20 @@ class _Flow:
         self.width, self.order, self.origin = hours * HOUR_US, 0, None
         self.live, self.ahead = deque(), []  # items by end; items that begin inside the window, by begin
         self.span = self.cut = self.cut_from = 0
-        self.amount = self.slope = self.past = 0.0
+        self.amount = self.slope = self.past = 0  # in parts of a ml
 
     def add(self, end: int, span: int, amount: float) -> None:
         if span <= 0:
             return
         self.origin = end if self.origin is None else self.origin
         self.order += 1
-        item = [end - span, self.order, end, span, amount, False]
+        above, below = amount.as_integer_ratio()
+        parts = above * UNIT // below
+        item = [end - span, self.order, end, span, parts, False]
         self.live.append(item)
         heappush(self.ahead, item)
         self.span += span
-        self.amount += amount
+        self.amount += parts
 
     def within(self, now: int) -> tuple[int, float]:
         """(time covered, amount) of the window that ends now."""
@@ -138,18 +146,17 @@ class _Flow:
             self.span -= span
             self.amount -= amount
             if crossing:
-                self._cross(begin, amount / span, -1)
+                self._cross(begin, amount // span, -1)
         while self.ahead and self.ahead[0][0] < edge:
             item = heappop(self.ahead)
             if item[2] > edge:
                 item[5] = True
-                self._cross(item[0], item[4] / item[3], 1)
+                self._cross(item[0], item[4] // item[3], 1)
         if not self.live:
-            self.amount = self.slope = self.past = 0.0
             return 0, 0.0
-        return self.span - (self.cut * edge - self.cut_from), self.amount - (self.slope * (edge - self.origin) - self.past)
+        return self.span - (self.cut * edge - self.cut_from), (self.amount - (self.slope * (edge - self.origin) - self.past)) / UNIT
 
-    def _cross(self, begin: int, density: float, sign: int) -> None:
+    def _cross(self, begin: int, density: int, sign: int) -> None:
         """An item begins, or ceases, to lie across the window's edge."""
         self.cut += sign
         self.cut_from += sign * begin
@@ -201,6 +208,7 @@ class History:
             else:
                 self._sample(at, eid, creatinine)
         elif kind == "urine":
+            ml, rate = (x if x is not None and isfinite(x) else None for x in (ml, rate))
             self.odd = self.odd or (not anuria and (rate is None) != (hours is None))
             segment = (at, ml, hours, rate, eid, bool(anuria))
             if eid in self.urine_evidence or self.urine and at < self.urine[-1][0]:
@@ -246,7 +254,8 @@ class History:
         """Mean ml/kg/h over a window that is covered; what stands in the way goes to ``lacking``."""
         edge = now - hours * HOUR_US
         volume, per_kg = self.volumes[hours].within(now), self.rates[hours].within(now)
-        if self.last["volume"] > edge:
+        by_volume = self.last["volume"] > edge
+        if by_volume:
             covered, amount = volume
             if self.weight is None:
                 lacking.add("weight_kg")
@@ -257,12 +266,32 @@ class History:
             if self.last["rate"] <= edge and self.last["half"] > edge:
                 lacking.add("urine_output")
         # a window counts as covered with a few microseconds missing
-        return amount * HOUR_US / covered if covered and covered + 4 >= hours * HOUR_US else None
+        if not covered or covered + 4 < hours * HOUR_US:
+            return None
+        rate = amount * HOUR_US / covered
+        limit = next(limit for _, h, limit in URINE_LIMITS if h == hours)
+        return rate if abs(rate - limit) > NEAR else self._exact_rate(edge, by_volume, limit)
+
+    def _exact_rate(self, edge: int, by_volume: bool, limit: float) -> float:
+        """Mean ml/kg/h since ``edge`` from the segments themselves; below ``limit`` only if the exact rate is."""
+        amount, covered = Fraction(0), 0
+        for at, ml, hours, per_kg, _, _ in reversed(self.urine):
+            if at <= edge:
+                break
+            span = round(hours * HOUR_US) if hours else 0
+            if span <= 0 or (ml if by_volume else per_kg) is None:
+                continue
+            inside = min(span, at - edge)
+            covered += inside
+            amount += Fraction(str(ml)) * inside / span if by_volume else Fraction(str(per_kg)) * inside / HOUR_US
+        exact = amount * HOUR_US / (covered * (Fraction(str(self.weight[2])) if by_volume else 1))
+        rate, bound = float(exact), Fraction(str(limit))
+        return nextafter(limit, 0) if exact < bound and rate >= limit else max(rate, limit) if exact >= bound else rate
 
     def _urine_stage(self, now: int, rates: dict[int, float | None]) -> tuple[int | None, str | None]:
         if self.anuria_us >= 12 * HOUR_US:
             return 3, "anuria_ge_12h"
-        for stage, hours, limit in ((3, 24, 0.3), (2, 12, 0.5), (1, 6, 0.5)):
+        for stage, hours, limit in URINE_LIMITS:
             if rates[hours] is not None and rates[hours] < limit:
                 return stage, f"uo_lt_{str(limit).replace('.', '_')}_for_{hours}h"
         return (0, None) if any(r is not None for r in rates.values()) else (None, None)
