@@ -10,7 +10,8 @@ from pyspark.sql import functions as F
 
 from wardline.session import checkpointed
 
-BROADCAST_ROWS = 1_000_000
+BROADCAST_ROWS = 100_000
+DRAWS_A_PARTITION = 4_000_000
 
 
 def dense_index(df: DataFrame, order: Sequence[str], name: str = "idx") -> tuple[DataFrame, int]:
@@ -38,10 +39,16 @@ def draw(replicate: Column, slot: Column, n: int) -> Column:
 
 
 def resampled(rows: DataFrame, order: Sequence[str], replicates: int) -> DataFrame:
-    """Every replicate's draw with replacement, as weights: one row per drawn row with how often it was drawn."""
+    """Every replicate's draw with replacement: one row per slot of a replicate, the row drawn for it.
+
+    There are ``replicates`` draws for every row, so the slots are dealt over partitions by the number of draws
+    and not by that of the rows, and nothing is counted or sorted before the rows meet their draws.
+    """
     indexed, n = dense_index(rows, order)
-    slots = indexed.select(F.col("idx").alias("slot"), F.explode(F.sequence(F.lit(1), F.lit(replicates))).alias("replicate"))
-    drawn = slots.select("replicate", draw(F.col("replicate"), F.col("slot"), max(n, 1)).alias("idx")).groupBy(
-        "replicate", "idx").agg(F.count(F.lit(1)).alias("weight"))
-    side = F.broadcast(indexed) if n <= BROADCAST_ROWS else indexed
-    return drawn.join(side, "idx")
+    parts = max(rows.sparkSession.sparkContext.defaultParallelism, -(-n * replicates // DRAWS_A_PARTITION))
+    slots = rows.sparkSession.range(0, n, 1, min(parts, max(n, 1))).select(
+        F.col("id").alias("slot"), F.explode(F.sequence(F.lit(1), F.lit(replicates))).alias("replicate"))
+    drawn = slots.select("replicate", draw(F.col("replicate"), F.col("slot"), max(n, 1)).alias("idx"))
+    if n <= BROADCAST_ROWS:
+        return drawn.join(F.broadcast(indexed), "idx")
+    return drawn.repartition(parts, "idx").join(indexed.repartition(parts, "idx").hint("shuffle_hash"), "idx")
