@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from wardline.operators import sampling
+from wardline.operators import latest, sampling
 
 
 def test_draws_are_dealt_by_their_number(spark, monkeypatch):
@@ -16,3 +16,16 @@ def test_draws_are_dealt_by_their_number(spark, monkeypatch):
         assert sum(per_task) == 15_000 and max(per_task) <= 2_500
         found.append(sorted((r["replicate"], r["x"], r["n"]) for r in out.groupBy("replicate", "x").agg(F.count(F.lit(1)).alias("n")).collect()))
     assert found[0] == found[1]
+
+
+def test_the_patient_exchange_grows_with_the_rows(spark, monkeypatch):
+    monkeypatch.setattr(latest, "TASK_ROWS", 500)
+    env = spark.range(20_000).select(
+        F.concat(F.lit("Patient/"), F.col("id") % 2000).alias("patient_id"), F.concat(F.lit("ev-"), F.col("id") % 18_000).alias("idempotency_key"),
+        F.col("id").alias("event_id"), (F.col("id") * 1000).alias("event_us"), (F.col("id") * 1000).alias("ingest_us"))
+    shape = latest.shape_of(env)
+    assert shape == (False, False, 20_000)
+    rows = latest.mark_late(latest.deduplicate(env, shape), shape.hot)
+    sizes = [r["count"] for r in rows.groupBy(F.spark_partition_id()).count().collect()]
+    assert sum(sizes) == 18_000 and max(sizes) < 1_500
+    assert rows._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning") == 1

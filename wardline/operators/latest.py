@@ -18,6 +18,7 @@ from wardline.operators.folds import Summary, largest_key, ordered_fold
 
 DAY_US = 24 * 3_600_000_000
 LATENESS_US = 5 * 60_000_000
+TASK_ROWS = 200_000
 
 
 class Shape(NamedTuple):
@@ -25,6 +26,7 @@ class Shape(NamedTuple):
 
     hot: bool
     long_spans: bool
+    rows: int = 0  # of all patients; 0: not measured
 
 
 def shape_of(df: DataFrame, ttl_us: int = DAY_US) -> Shape:
@@ -34,8 +36,18 @@ def shape_of(df: DataFrame, ttl_us: int = DAY_US) -> Shape:
     blank = F.trim(F.coalesce("idempotency_key", F.lit(""))) == ""
     per_patient = per_key.groupBy("patient_id").agg(
         F.sum("n").alias("n"), F.max(F.when(~blank, F.col("span"))).alias("span"))
-    row = per_patient.agg(F.max("n").alias("n"), F.max("span").alias("span")).first()
-    return Shape((row["n"] or 0) > folds.HOT_ROWS, (row["span"] or 0) >= ttl_us)
+    row = per_patient.agg(F.max("n").alias("n"), F.max("span").alias("span"), F.sum("n").alias("rows")).first()
+    return Shape((row["n"] or 0) > folds.HOT_ROWS, (row["span"] or 0) >= ttl_us, row["rows"] or 0)
+
+
+def by_patient(df: DataFrame, rows: int) -> DataFrame:
+    """One exchange on the patient for all that rides on it.
+
+    Several sorts hold a task's rows at a time, so the number of tasks grows with the rows. A number given here
+    is not coalesced afterwards.
+    """
+    wanted = -(-rows // TASK_ROWS)
+    return df.repartition(wanted, "patient_id") if wanted > df.sparkSession.sparkContext.defaultParallelism else df.repartition("patient_id")
 
 
 def is_hot(df: DataFrame, keys: Sequence[str], hot: bool | None) -> bool:
@@ -110,7 +122,7 @@ def deduplicate(df: DataFrame, shape: Shape | None = None, ttl_us: int = DAY_US)
         return fresh.unionByName(df.where(blank))
     if not shape.hot:
         w = Window.partitionBy("patient_id", "idempotency_key").orderBy(*order)
-        return df.repartition("patient_id").withColumn("_copy", F.row_number().over(w)).where(
+        return by_patient(df, shape.rows).withColumn("_copy", F.row_number().over(w)).where(
             blank | (F.col("_copy") == 1)).drop("_copy")
     first = df.where(~blank).groupBy("patient_id", "idempotency_key").agg(
         F.min_by(F.struct(*df.columns), F.struct(*order)).alias("_row")).select("_row.*")
