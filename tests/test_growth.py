@@ -3,6 +3,7 @@
 from pyspark.sql import functions as F
 
 from wardline.operators import latest, sampling
+from wardline.plans import stewardship
 
 
 def test_draws_are_dealt_by_their_number(spark, monkeypatch):
@@ -29,3 +30,12 @@ def test_the_patient_exchange_grows_with_the_rows(spark, monkeypatch):
     sizes = [r["count"] for r in rows.groupBy(F.spark_partition_id()).count().collect()]
     assert sum(sizes) == 18_000 and max(sizes) < 1_500
     assert rows._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning") == 1
+
+
+def test_a_feedback_text_is_classified_once(spark):
+    rows = spark.createDataFrame([(1, " Wrong lab, chronic BASELINE"), (2, None), (3, "good catch, again"), (4, "thanks")], "feedback_id long, text string")
+    out = stewardship.classify(rows)
+    plan = out.groupBy("category").agg(F.min("feedback_id"), F.max("confidence"))._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("lower(") == 1
+    found = {r["feedback_id"]: (r["category"], round(r["confidence"], 2), r["matched_hints"]) for r in out.collect()}
+    assert found == {1: ("chronic_baseline", 0.7, ["chronic", "baseline"]), 2: ("abstain", 0.0, []), 3: ("repeated_episode", 0.55, ["again"]), 4: ("abstain", 0.0, [])}

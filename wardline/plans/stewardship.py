@@ -28,18 +28,28 @@ EXPERIMENTS = (
 
 def classify(feedback: DataFrame, text: str = "text") -> DataFrame:
     """Category with the most matching phrases, earlier category on a tie; abstains without a match."""
-    t = F.lower(F.trim(F.coalesce(text, F.lit(""))))
-    scored = []
-    for i, (category, phrases) in enumerate(HINTS.items()):
-        hits = F.array_compact(F.array(*[F.when(t.contains(p), F.lit(p)) for p in phrases]))
-        scored.append(F.struct(F.size(hits).alias("n"), F.lit(-i).alias("o"), F.lit(category).alias("category"), hits.alias("hints")))
-    best = F.array_max(F.array(*scored))
-    out = feedback.withColumn("_b", best)
-    n = F.col("_b.n")
-    return out.withColumns({
-        "category": F.when(n > 0, F.col("_b.category")).otherwise("abstain"),
-        "confidence": F.when(n > 0, F.least(F.lit(0.95), F.lit(0.55) + F.lit(0.15) * (n - 1))).otherwise(0.0),
-        "matched_hints": F.when(n > 0, F.col("_b.hints")).otherwise(F.array().cast("array<string>"))}).drop("_b")
+    hints = F.array(*[F.struct(F.lit(-i).alias("o"), F.lit(c).alias("category"), F.array(*map(F.lit, phrases)).alias("phrases"))
+                      for i, (c, phrases) in enumerate(HINTS.items())])
+
+    def best(t: Column) -> Column:
+        def scored(c: Column) -> Column:
+            hits = F.filter(c["phrases"], lambda p: t.contains(p))
+            return F.struct(F.size(hits).alias("n"), c["o"].alias("o"), c["category"].alias("category"), hits.alias("hints"))
+        return F.array_max(F.transform(hints, scored))
+
+    def said(b: Column) -> Column:
+        n = b["n"]
+        return F.struct(
+            F.when(n > 0, b["category"]).otherwise("abstain").alias("category"),
+            F.when(n > 0, F.least(F.lit(0.95), F.lit(0.55) + F.lit(0.15) * (n - 1))).otherwise(0.0).alias("confidence"),
+            F.when(n > 0, b["hints"]).otherwise(F.array().cast("array<string>")).alias("matched_hints"))
+
+    # Each step goes through a list of one value, so that it is worked out once a row: as a plain column it is copied
+    # into every place that names it, the lower-cased text once a phrase and the best category once a column.
+    text_list = F.array(F.lower(F.trim(F.coalesce(text, F.lit("")))))
+    found = F.transform(F.transform(text_list, best), said)
+    return feedback.withColumn("_b", F.explode(found)).withColumns(
+        {c: F.col(f"_b.{c}") for c in ("category", "confidence", "matched_hints")}).drop("_b")
 
 
 def consensus() -> Column:
