@@ -9,7 +9,7 @@ from wardline.catalog import episodes as E
 from wardline.catalog import records as R
 from wardline.catalog.base import REGISTRY, query
 from wardline.operators import episodes as EP
-from wardline.session import new_path
+from wardline.session import checkpointed, new_path
 from wardline.sources import projection as P
 from wardline.streaming.tables import AuditLog, BucketTable, retain, upsert
 
@@ -66,7 +66,7 @@ def retention_rebuild(spark: SparkSession, sf: str) -> DataFrame:
 @query("audit_chain", "SNK-8", f"""SELECT *, CASE WHEN at_us < {HALF_US} THEN 0 ELSE 1 END::INT AS epoch, true AS intact FROM ({REGISTRY["episode_audit"].sql})""")
 def audit_chain(spark: SparkSession, sf: str) -> DataFrame:
     """Audit entries appended in two epochs, both of them again after that, and whether the chain over all entries holds."""
-    entries = E.episode_audit(spark, sf)
+    entries = checkpointed(E.episode_audit(spark, sf))  # every epoch takes its part of them
     log = AuditLog(spark, new_path(spark, "audit"), part_rows=1000)
     order = ["at_us", "pk", "episode_no"]
     early = F.col("at_us") < HALF_US

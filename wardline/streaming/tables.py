@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from wardline.operators import store
+from wardline.session import checkpointed
 
 BUCKETS = 64
 
@@ -216,8 +217,9 @@ class AuditLog:
         before = last[1]["link"] if last else ""
         columns = entries.columns
         text = F.to_json(F.struct(*columns), {"ignoreNullFields": "false"})
-        parts = max(1, -(-entries.count() // self.part_rows))
-        rows = entries.withColumn("entry", text).repartitionByRange(parts, *order, "entry").sortWithinPartitions(*order, "entry")
+        written = checkpointed(entries.select(*order, text.alias("entry")))  # counted, sampled and sorted: what gives the entries runs once
+        parts = max(1, -(-written.count() // self.part_rows))
+        rows = written.repartitionByRange(parts, *order, "entry").sortWithinPartitions(*order, "entry")
         rows = rows.select("entry", F.spark_partition_id().alias("part"), F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1)).alias("seq"))
         folder = f"{self.path}/data/{epoch}-{uuid.uuid4().hex}"
         rows.mapInArrow(_chain(["entry", "part", "seq"], before), "entry string, part int, seq long, link string").write.parquet(folder)
