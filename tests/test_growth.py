@@ -3,7 +3,10 @@
 from pyspark.sql import functions as F
 
 from wardline.operators import latest, sampling
+from wardline.catalog import load_all
 from wardline.plans import stewardship
+from wardline.sources import stays
+from wardline.streaming.tables import AuditLog
 
 
 def test_draws_are_dealt_by_their_number(spark, monkeypatch):
@@ -39,3 +42,41 @@ def test_a_feedback_text_is_classified_once(spark):
     assert plan.count("lower(") == 1
     found = {r["feedback_id"]: (r["category"], round(r["confidence"], 2), r["matched_hints"]) for r in out.collect()}
     assert found == {1: ("chronic_baseline", 0.7, ["chronic", "baseline"]), 2: ("abstain", 0.0, []), 3: ("repeated_episode", 0.55, ["again"]), 4: ("abstain", 0.0, [])}
+
+
+def test_appending_to_the_audit_log_runs_its_entries_once(spark, tmp_path):
+    runs = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for b in batches:
+            runs.add(b.num_rows)
+            yield b
+
+    entries = spark.range(100).mapInArrow(counted, "id long")
+    log = AuditLog(spark, str(tmp_path), part_rows=40)
+    assert log.append(0, entries, ["id"]) and log.read().count() == 100 and log.broken() == []
+    assert runs.value == 100
+
+
+def test_stays_share_files(spark, sf, monkeypatch):
+    seen = []
+    read = stays.read_stays
+
+    def counted(spark, path, *args, **kwargs):
+        seen.append(len(spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.csv").load(path).select("path").collect()))
+        return read(spark, path, *args, **kwargs)
+
+    monkeypatch.setattr(stays, "read_stays", counted)
+    out = load_all()["stay_files"].run(spark, sf)
+    assert out.select("stay_id").distinct().count() > seen[0] > 0
+
+
+def test_a_stay_is_named_by_its_file_or_by_a_column(spark, tmp_path):
+    (tmp_path / "a").mkdir()
+    (tmp_path / "a" / "s1.psv").write_text("MAP|ICULOS|SepsisLabel\n70|1|0\nNaN|2|1\n")
+    (tmp_path / "b").mkdir()
+    (tmp_path / "b" / "many.psv").write_text("stay|MAP|ICULOS|SepsisLabel\ns1|70|1|0\ns2|NaN|2|1\n")
+    by_file = stays.read_stays(spark, str(tmp_path), "a").orderBy("iculos").select("stay_id", "iculos", "sepsis_label", "map").collect()
+    assert [tuple(r) for r in by_file] == [("s1", 1, 0, 70.0), ("s1", 2, 1, None)]
+    by_column = stays.read_stays(spark, str(tmp_path), "b", stay_column="stay").orderBy("iculos").select("stay_id", "iculos", "sepsis_label", "map").collect()
+    assert [tuple(r) for r in by_column] == [("s1", 1, 0, 70.0), ("s2", 2, 1, None)]

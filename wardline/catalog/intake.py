@@ -413,9 +413,8 @@ def stay_files(spark: SparkSession, sf: str) -> DataFrame:
     out = hours.select(F.col("stay_id").alias("stay"), F.col("iculos").alias("ICULOS"), F.col("sepsis_label").alias("SepsisLabel"),
                        *[F.col(c).alias(n) for c, n in names.items()])
     path = new_path(spark, "stays")
-    out.repartition("stay", F.expr("ICULOS div 100000")).write.partitionBy("stay").option("sep", "|").option("header", True).option(
-        "nullValue", "NaN").csv(path)
-    back = stays.read_stays(spark, path, stay_pattern=r"stay=([^/]+)/")
+    out.repartition("stay", F.expr("ICULOS div 100000")).write.option("sep", "|").option("header", True).option("nullValue", "NaN").csv(path)
+    back = stays.read_stays(spark, path, stay_column="stay")
     return stays.score_inputs(stays.filled(back)).join(stays.onset_hour(back), "stay_id").select(
         "stay_id", "iculos", "onset_iculos", *[F.round(c, 6).alias(c) for c in
                                                ("map_mmhg", "platelets", "bilirubin", "creatinine", "spo2", "fio2")])
