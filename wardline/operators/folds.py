@@ -74,6 +74,18 @@ def _to_batch(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
     )
 
 
+def _with_kept(batch: pa.RecordBatch, keep: Sequence[str], at: list[int], emitted: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
+    """Outputs behind the ``keep`` columns of their rows (``at``), which never become Python values."""
+    index = batch.schema.get_field_index
+    kept = [batch.column(index(n)) for n in keep]
+    if len(at) < batch.num_rows:
+        kept = [c.take(pa.array(at, pa.int64())) for c in kept]
+    kept = [c if c.type == f.type else pa.array(c.to_pylist(), type=f.type) for c, f in zip(kept, schema)]
+    fields = list(schema)[len(keep):]
+    made = list(zip(*emitted)) if emitted else [[] for _ in fields]
+    return pa.RecordBatch.from_arrays([*kept, *[pa.array(c, type=f.type) for c, f in zip(made, fields)]], schema=schema)
+
+
 def ordered_fold(
     df: DataFrame,
     keys: Sequence[str],
@@ -120,20 +132,20 @@ def _clustered(df, keys, order, inputs, step, start, out_schema, arrow_out, keep
     # no exchange is added. It also marks where a new key begins.
     w = Window.partitionBy(*keys).orderBy(*order)
     placed = df.withColumn("_rn", F.row_number().over(w))
-    names = [*keep, *inputs]
-    n_keep = len(keep)
 
     def run(batches):
         state = None
         for batch in batches:
-            out = []
-            for rn, *vals in _rows(batch, ["_rn", *names]):
+            at, out = [], []
+            for i, (rn, *vals) in enumerate(_rows(batch, ["_rn", *inputs])):
                 if rn == 1:
                     state = start()
-                state, emitted = step(state, tuple(vals[n_keep:]))
+                state, emitted = step(state, tuple(vals))
                 if emitted is not None:
-                    out.append((*vals[:n_keep], *emitted))
-            yield _to_batch(out, arrow_out)
+                    at.append(i)
+                    out.append(emitted)
+            if at:
+                yield _with_kept(batch, keep, at, out, arrow_out)
 
     return placed.mapInArrow(run, out_schema)
 
@@ -170,8 +182,7 @@ def _ranged(df, keys, order, inputs, step, start, out_schema, arrow_out, keep, p
         key.eqNullSafe(F.col("_last"))
     ).drop("_last")
 
-    names = [*keys, *keep, *inputs]
-    n_keys, n_keep = len(keys), len(keep)
+    n_keys = len(keys)
     tail_schema = to_arrow_schema(_TAIL)
 
     def tails(carry: dict[int, bytes]):
@@ -219,15 +230,17 @@ def _ranged(df, keys, order, inputs, step, start, out_schema, arrow_out, keep, p
     def emit(batches):
         last = state = None
         for batch in batches:
-            out = []
-            for c, *vals in _rows(batch, ["_chunk", *names]):
+            at, out = [], []
+            for i, (c, *vals) in enumerate(_rows(batch, ["_chunk", *keys, *inputs])):
                 now = tuple(vals[:n_keys])
                 if now != last:
                     state = unpack(pickle.loads(carry[c])) if last is None and c in carry else start()
                     last = now
-                state, emitted = step(state, tuple(vals[n_keys + n_keep:]))
+                state, emitted = step(state, tuple(vals[n_keys:]))
                 if emitted is not None:
-                    out.append((*vals[n_keys:n_keys + n_keep], *emitted))
-            yield _to_batch(out, arrow_out)
+                    at.append(i)
+                    out.append(emitted)
+            if at:
+                yield _with_kept(batch, keep, at, out, arrow_out)
 
     return placed.mapInArrow(emit, out_schema)
