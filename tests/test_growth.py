@@ -1,11 +1,18 @@
 """Steps whose tasks have to stay the same size as the input grows."""
 
+import pickle
+import random
+
+import pytest
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
+from tests.test_stream_clock import COLUMNS, Handle, Map
 from wardline.operators import latest, sampling
 from wardline.catalog import load_all
 from wardline.plans import stewardship
-from wardline.sources import stays
+from wardline.sources import records, stays
+from wardline.streaming import jobs, processors as PR
 from wardline.streaming.tables import AuditLog
 
 
@@ -80,3 +87,67 @@ def test_a_stay_is_named_by_its_file_or_by_a_column(spark, tmp_path):
     assert [tuple(r) for r in by_file] == [("s1", 1, 0, 70.0), ("s1", 2, 1, None)]
     by_column = stays.read_stays(spark, str(tmp_path), "b", stay_column="stay").orderBy("iculos").select("stay_id", "iculos", "sepsis_label", "map").collect()
     assert [tuple(r) for r in by_column] == [("s1", 1, 0, 70.0), ("s2", 2, 1, None)]
+
+
+def key_stream(batches, keys, step_us):
+    """Batches of (key, arrival time) whose keys come again sooner or later; the first one comes within hours."""
+    chance, now = random.Random(7), 0
+    for i, n in enumerate(batches):
+        batch = []
+        for _ in range(n):
+            now += chance.randrange(step_us if i else 60 * 10**6)
+            batch.append((f"ev-{chance.randrange(keys)}", now))
+        yield batch
+
+
+@pytest.mark.parametrize("batches, keys, step_us", [([3, 200, 1, 40] * 6, 900, 60 * 10**6), ([400] + [5] * 60, 500, 6 * 3600 * 10**6)])
+def test_keys_in_buckets_decide_as_keys_by_themselves(monkeypatch, batches, keys, step_us):
+    monkeypatch.setattr(PR, "SEEN_KEYS", 8)
+    each, buckets = Handle(), Handle()
+    single, shared = PR.KeyEntries(each), PR.KeyBuckets(buckets)
+    a, b, most = single.start(), shared.start(), 0
+    for batch in key_stream(batches, keys, step_us):
+        assert single.accept(a, batch) == shared.accept(b, batch)
+        held = {k: pickle.loads(v[0]) for k, v in buckets.maps["keys"].items()}
+        assert set(held) == {(n,) for n in range(b[0])} and sum(map(len, held.values())) == b[1]
+        assert all(PR.KeyBuckets._place(k, b[0]) == n for (n,), part in held.items() for k in part)
+        most = max(most, b[0])
+    assert most > 4
+    if step_us > 3600 * 10**6:  # long after the first batch its keys are gone, and so are most buckets
+        assert b[1] < 60 and b[0] < most
+
+
+def test_a_batch_asks_for_delivery_keys_by_the_bucket():
+    processor = PR.SnapshotProcessor(COLUMNS, PR.SNAPSHOT_OUT, PR.KeyBuckets)
+    processor.init(Handle())
+    for day in (0, 2):  # the second batch also forgets the keys of the first
+        rows = [("a", None, at, (day * 86_400 + n) * 10**6, f"ev-{day}-{n}", None, "refused", None, 1) for n, at in enumerate(range(day * 10**9 + 1, day * 10**9 + 61))]
+        Map.touched = 0
+        assert list(processor.handleInputRows(("a",), iter(rows + rows), None)) == [] or day
+        assert Map.touched < 20
+
+
+def test_a_stream_record_is_parsed_once(spark):
+    for part in jobs._split_unreadable(records.stream_records(spark.range(3).selectExpr("cast(id AS string) AS value"))):
+        plan = part._jdf.queryExecution().executedPlan().toString()
+        assert plan.count("from_json(") == 1
+
+
+def test_rows_packed_as_json_come_back_unchanged(spark):
+    schema = T.StructType([T.StructField(n, t) for n, t in (
+        ("k", T.StringType()), ("i", T.LongType()), ("x", T.DoubleType()), ("n", T.IntegerType()), ("f", T.BooleanType()), ("t", T.StringType()))])
+    numbers = [0.1 + 0.2, 1e300, 5e-324, -0.0, 1e7, 123456789.123456789, float("nan"), float("inf"), float("-inf"), None]
+    rows = [("p", 2**62 + n, x, n, n % 2 == 0, ['"NaN"', "Infinity", "é中\U0001f600\n\\", "", None][n % 5]) for n, x in enumerate(numbers)] + [(None,) * 6]
+
+    class Through:
+        columns = schema.fieldNames()
+
+        def handleInputRows(self, key, rows, timer_values):
+            return map(tuple, rows)
+
+    texts = spark.createDataFrame(rows, schema).select(F.to_json(F.struct(*schema.fieldNames()), {"ignoreNullFields": "false"}).alias("packed")).collect()
+    packed = PR.Packed(Through(), ["x"], schema)
+    assert repr([packed._unpack(r["packed"]) for r in texts]) == repr(rows)
+    out = spark.createDataFrame([tuple(r) for r in packed.handleInputRows(("p",), iter(texts), None)], PR.PACKED)
+    back = out.select(F.from_json("packed", schema).alias("r")).select("r.*").collect()
+    assert repr([tuple(r) for r in back]) == repr(rows)

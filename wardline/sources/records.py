@@ -14,10 +14,13 @@ _BAD = "_malformed"
 
 
 def parse_json(values: DataFrame, schema: T.StructType, column: str = "value") -> DataFrame:
-    """Parse without losing anything: unreadable text ends up in ``_malformed``."""
+    """Parse without losing anything: unreadable text ends up in ``_malformed``.
+
+    Fields come out of a generator, below which no filter on them moves: it would parse the text again, once per field it names.
+    """
     wide = T.StructType([*schema.fields, T.StructField(_BAD, T.StringType())])
     parsed = F.from_json(column, wide, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": _BAD})
-    return values.withColumn("_p", parsed).select(*values.columns, "_p.*")
+    return values.select(*values.columns, F.inline(F.array(parsed)))
 
 
 def stream_records(values: DataFrame, column: str = "value") -> DataFrame:

@@ -12,6 +12,7 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from wardline import ids
 from wardline.functions import scores as S
@@ -56,6 +57,17 @@ def _with_clock(rows: DataFrame) -> DataFrame:
     return rows.withColumn("read_us", F.unix_micros(F.current_timestamp())).withColumn("read_ts", F.timestamp_micros("read_us")).withWatermark("read_ts", WATERMARK)
 
 
+def _keyed(rows: DataFrame, keys: list[str], processor: PR.StatefulProcessor, output: T.StructType, time_mode: str = "None") -> DataFrame:
+    """Rows through a keyed processor as one JSON value each; ``read_ts`` only drives the timers."""
+    fields = [f for f in rows.schema if f.name != "read_ts"]
+    doubles = [f.name for f in fields if isinstance(f.dataType, T.DoubleType)]
+    clock = ["read_ts"] if time_mode == "EventTime" else []
+    packed = rows.select(*keys, *clock, F.to_json(F.struct(*[f.name for f in fields]), {"ignoreNullFields": "false"}).alias("packed"))
+    out = packed.groupBy(*keys).transformWithState(
+        statefulProcessor=PR.Packed(processor, doubles, output), outputStructType=PR.PACKED, outputMode="Append", timeMode=time_mode)
+    return out.select(F.from_json("packed", output).alias("r")).select("r.*")
+
+
 def snapshot_stream(recs: DataFrame) -> DataFrame:
     """Snapshots of all patients and, with a reason, every record that was refused."""
     good, bad = _split_unreadable(recs)
@@ -66,8 +78,8 @@ def snapshot_stream(recs: DataFrame) -> DataFrame:
     flat = _with_clock(mapped.select(
         "patient_id", "encounter_id", "event_us", "ingest_us", "idempotency_key", "component", "reason",
         F.array_min("context_flags").alias("context_flag"), *SNAPSHOT_FIELDS))
-    out = flat.groupBy("patient_id").transformWithState(
-        statefulProcessor=PR.SnapshotProcessor(flat.columns, PR.SNAPSHOT_OUT), outputStructType=PR.SNAPSHOT_OUT, outputMode="Append", timeMode="EventTime")
+    columns = [c for c in flat.columns if c != "read_ts"]
+    out = _keyed(flat, ["patient_id"], PR.SnapshotProcessor(columns, PR.SNAPSHOT_OUT, PR.KeyBuckets), PR.SNAPSHOT_OUT, "EventTime")
     return out.unionByName(_dead(bad, out))
 
 
@@ -82,8 +94,8 @@ def kidney_stream(recs: DataFrame) -> DataFrame:
         "patient_id", "encounter_id", "event_us", "ingest_us", "idempotency_key", "component", "reason",
         F.array_min("context_flags").alias("context_flag"), "kind", "evidence_id", "creatinine", none.alias("volume_ml"), "duration_h",
         "ml_kg_h", "anuria", none.alias("weight_kg")))
-    out = flat.groupBy("patient_id").transformWithState(
-        statefulProcessor=PR.KidneyProcessor(flat.columns, PR.KIDNEY_OUT), outputStructType=PR.KIDNEY_OUT, outputMode="Append", timeMode="EventTime")
+    columns = [c for c in flat.columns if c != "read_ts"]
+    out = _keyed(flat, ["patient_id"], PR.KidneyProcessor(columns, PR.KIDNEY_OUT, PR.KeyBuckets), PR.KIDNEY_OUT, "EventTime")
     return out.unionByName(_dead(bad, out))
 
 
@@ -117,14 +129,11 @@ def identified(decisions: DataFrame) -> DataFrame:
 def governed_stream(alerts: DataFrame, bundle: Bundle) -> DataFrame:
     alerts = alerts.select("patient_id", "encounter_id", "event_us", "idempotency_key", "alert_id", "indicator", "score", "tier",
                            "context_flag", "positive_components", *[f"p_{c}" for c in S.SOFA_COMPONENTS])
-    return alerts.groupBy("patient_id").transformWithState(
-        statefulProcessor=PR.GovernanceProcessor(alerts.columns, bundle.governance, S.SOFA_COMPONENTS), outputStructType=PR.GOVERNED_OUT,
-        outputMode="Append", timeMode="None")
+    return _keyed(alerts, ["patient_id"], PR.GovernanceProcessor(alerts.columns, bundle.governance, S.SOFA_COMPONENTS), PR.GOVERNED_OUT)
 
 
 def episode_stream(signals: DataFrame) -> DataFrame:
-    return signals.groupBy("patient_id", "encounter_key").transformWithState(
-        statefulProcessor=PR.EpisodeProcessor(signals.columns), outputStructType=PR.EPISODE_OUT, outputMode="Append", timeMode="None")
+    return _keyed(signals, ["patient_id", "encounter_key"], PR.EpisodeProcessor(signals.columns), PR.EPISODE_OUT)
 
 
 def run_available(stream: DataFrame, path: str, checkpoint: str, sink: Callable[[DataFrame, int], None] | None = None) -> None:

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import json
 import pickle
+import zlib
 from collections.abc import Callable, Iterator
 from typing import Any
 
@@ -17,35 +19,76 @@ from wardline.operators.latest import DAY_US, LATENESS_US, SNAPSHOT_FIELDS, snap
 from wardline.rules import Governance
 
 _BYTES = T.StructType([T.StructField("v", T.BinaryType())])
-_CLOCK = T.StructType([T.StructField("newest", T.LongType()), T.StructField("flushed", T.LongType())])
 _KEY = T.StructType([T.StructField("k", T.StringType())])
+_BUCKET = T.StructType([T.StructField("bucket", T.LongType())])
 _AT = T.StructType([T.StructField("at", T.LongType())])
 _PIECE = T.StructType([T.StructField("bucket", T.LongType()), T.StructField("piece", T.LongType())])
 
 PENDING_US = 10_000_000
 """Event time of one bucket of waiting records; what waits spans at most the lateness, so some thirty buckets."""
 SEEN_US = 3_600_000_000
-"""Arrival time of one bucket of delivery keys; some twenty-five are kept."""
+"""Arrival time of one bucket of delivery keys (some twenty-five are kept); keys in buckets by hash are kept for so much longer than their time to live."""
+SEEN_KEYS = 128
+"""Delivery keys of one bucket, on average."""
 
 FLUSH_PREFIX = "flush-"
 """Delivery keys with this prefix mark the end of input: they only move the patient's clock."""
 
 
+PACKED = T.StructType([T.StructField("packed", T.StringType())])
+
+
+class Packed(StatefulProcessor):
+    """A processor whose rows come and go as JSON in the last column.
+
+    PySpark takes every value of every input row out of Arrow by itself and makes a record batch per key of the
+    outputs, which costs more than the work on a row; so there is one value a row. ``doubles`` names the columns where a quoted word is a number.
+    """
+
+    def __init__(self, inner: StatefulProcessor, doubles: list[str], output: T.StructType) -> None:
+        self.inner, self.doubles, self.names = inner, doubles, output.fieldNames()
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.inner.init(handle)
+
+    def close(self) -> None:
+        self.inner.close()
+
+    def _unpack(self, text: str) -> tuple:
+        row = json.loads(text)
+        if 'NaN"' in text or 'Infinity"' in text:
+            row |= {c: float(row[c]) for c in self.doubles if isinstance(row[c], str)}
+        return tuple(row[c] for c in self.inner.columns)
+
+    def _pack(self, rows: Iterator[Row]) -> Iterator[Row]:
+        made = Row("packed")
+        for r in rows:
+            yield made(json.dumps({n: v for n, v in zip(self.names, r) if v is not None}))
+
+    def handleInputRows(self, key: Any, rows: Iterator[Row], timerValues: Any) -> Iterator[Row]:
+        return self._pack(self.inner.handleInputRows(key, (self._unpack(r[-1]) for r in rows), timerValues))
+
+    def handleExpiredTimer(self, key: Any, timerValues: Any, expiredTimerInfo: Any) -> Iterator[Row]:
+        return self._pack(self.inner.handleExpiredTimer(key, timerValues, expiredTimerInfo))
+
+
 class _Pickled:
     """One picklable object in a value state."""
 
     def __init__(self, handle: StatefulProcessorHandle, name: str, start: Callable[[], Any]) -> None:
         self._state, self._start = handle.getValueState(name, _BYTES), start
 
-    def get(self) -> Any:
-        return pickle.loads(bytes(self._state.get()[0])) if self._state.exists() else self._start()
+    def get(self, known: bool | None = None) -> Any:
+        """``known`` says whether a value was set, where the caller keeps that."""
+        there = self._state.exists() if known is None else known
+        return pickle.loads(bytes(self._state.get()[0])) if there else self._start()
 
     def set(self, value: Any) -> None:
         self._state.update((pickle.dumps(value),))
 
 
 class _Buckets:
-    """Items of one key by time: pieces in a map state, and how many each bucket has in a small value state.
+    """Items of one key by time, as pieces in a map state; how many pieces each bucket has is kept by the caller (``counts``).
 
     A batch writes one piece per bucket it adds to and reads the buckets it takes; the others stay untouched,
     whatever they hold.
@@ -53,31 +96,22 @@ class _Buckets:
 
     def __init__(self, handle: StatefulProcessorHandle, name: str, width_us: int) -> None:
         self._pieces = handle.getMapState(f"{name}_pieces", _PIECE, _BYTES)
-        self._counts = _Pickled(handle, f"{name}_counts", dict)
         self.width = width_us
 
-    def add(self, items: list[tuple[int, Any]]) -> None:
+    def add(self, counts: dict[int, int], items: list[tuple[int, Any]]) -> None:
         """Keep (time, item) pairs."""
-        if not items:
-            return
         parts: dict[int, list[tuple[int, Any]]] = {}
         for at, item in items:
             parts.setdefault(at // self.width, []).append((at, item))
-        counts = self._counts.get()
         for bucket, part in parts.items():
             n = counts.get(bucket, 0)
             self._pieces.updateValue((bucket, n), (pickle.dumps(part),))
             counts[bucket] = n + 1
-        self._counts.set(counts)
 
-    def take(self, until: int, whole: bool = False) -> list[Any]:
+    def take(self, counts: dict[int, int], until: int, whole: bool = False) -> list[Any]:
         """Remove and return the items at or before ``until``; with ``whole``, only buckets that end there."""
-        counts = self._counts.get()
-        due = [b for b in counts if ((b + 1) * self.width - 1 if whole else b * self.width) <= until]
-        if not due:
-            return []
         out = []
-        for bucket in due:
+        for bucket in [b for b in counts if ((b + 1) * self.width - 1 if whole else b * self.width) <= until]:
             later = []
             for n in range(counts.pop(bucket)):
                 for at, item in pickle.loads(bytes(self._pieces.getValue((bucket, n))[0])):
@@ -89,10 +123,114 @@ class _Buckets:
             if later:
                 self._pieces.updateValue((bucket, 0), (pickle.dumps(later),))
                 counts[bucket] = 1
-        self._counts.set(counts)
         return out
 
 
+class KeyEntries:
+    """Delivery keys of one patient, an entry each, looked up one by one and forgotten by whole buckets of arrival time.
+
+    For triggers that bring a record or two of a patient: nothing but their keys is read.
+    """
+
+    def __init__(self, handle: StatefulProcessorHandle) -> None:
+        self.seen = handle.getMapState("seen", _KEY, _AT)
+        self.arrivals = _Buckets(handle, "arrivals", SEEN_US)
+
+    @staticmethod
+    def start() -> dict[int, int]:
+        return {}
+
+    def _known(self, key: str, now: int) -> bool:
+        return self.seen.containsKey((key,)) and now - self.seen.getValue((key,))[0] < DAY_US
+
+    def accept(self, counts: dict[int, int], arrivals: list[tuple[str, int]]) -> list[bool]:
+        """For each (key, time) in order of arrival whether the key was not accepted within its time to live."""
+        fresh = []
+        for key, now in arrivals:
+            fresh.append(not self._known(key, now))
+            if fresh[-1]:
+                self.seen.updateValue((key,), (now,))
+        self.arrivals.add(counts, [(now, key) for (key, now), ok in zip(arrivals, fresh) if ok])
+        last = max((now for _, now in arrivals), default=0)
+        for key in self.arrivals.take(counts, last - DAY_US, whole=True):  # a key that came again since is kept
+            if self.seen.containsKey((key,)) and not self._known(key, last):
+                self.seen.removeKey((key,))
+        return fresh
+
+
+class KeyBuckets:
+    """Delivery keys of one patient and when each was accepted, in buckets by hash (linear hashing).
+
+    For triggers that bring many records of a patient: one read and one write per bucket, not several per key. A bucket is split or merged at a time as keys come and go, so a bucket stays small, a batch touches no more
+    buckets than it brings keys, and a short history is one value. Old keys go when their bucket is touched; every batch
+    also visits the next bucket in turn, so all are. ``size`` is the caller's: buckets, keys, next in turn.
+    """
+
+    def __init__(self, handle: StatefulProcessorHandle) -> None:
+        self._state = handle.getMapState("keys", _BUCKET, _BYTES)
+
+    @staticmethod
+    def start() -> list[int]:
+        return [0, 0, 0]
+
+    def _get(self, bucket: int) -> dict[str, int]:
+        return pickle.loads(bytes(self._state.getValue((bucket,))[0]))
+
+    def _set(self, bucket: int, held: dict[str, int]) -> None:
+        self._state.updateValue((bucket,), (pickle.dumps(held),))
+
+    @staticmethod
+    def _place(key: str, buckets: int) -> int:
+        h, level = zlib.crc32(key.encode()), 1 << (buckets.bit_length() - 1)
+        at = h & (2 * level - 1)
+        return at if at < buckets else h & (level - 1)
+
+    def _grow(self, size: list[int], wanted: int) -> None:
+        for new in range(size[0], wanted):
+            size[0] = new + 1
+            if new == 0:
+                self._set(0, {})
+                continue
+            old = new - (1 << (new.bit_length() - 1))
+            held = self._get(old) if size[1] else {}
+            moved = {k: at for k, at in held.items() if self._place(k, new + 1) == new}
+            if moved or not held:
+                self._set(old, {k: at for k, at in held.items() if k not in moved})
+            self._set(new, moved)
+
+    def _shrink(self, size: list[int], most: int) -> None:
+        while size[0] > 1 and size[1] < size[0] * SEEN_KEYS // 4 and most > 0:
+            size[0], most = size[0] - 1, most - 1
+            last = size[0]
+            self._set(last - (1 << (last.bit_length() - 1)), self._get(last - (1 << (last.bit_length() - 1))) | self._get(last))
+            self._state.removeKey((last,))
+        size[2] %= max(size[0], 1)
+
+    def accept(self, size: list[int], arrivals: list[tuple[str, int]]) -> list[bool]:
+        if not arrivals:
+            return []
+        self._grow(size, -(-(size[1] + len(arrivals)) // SEEN_KEYS))
+        parts: dict[int, list[int]] = {}
+        for i, (key, _) in enumerate(arrivals):
+            parts.setdefault(self._place(key, size[0]), []).append(i)
+        old = max(at for _, at in arrivals) - DAY_US - SEEN_US
+        fresh = [False] * len(arrivals)
+        for bucket in dict.fromkeys([*parts, size[2]]):
+            held = self._get(bucket)
+            before, changed = len(held), False
+            for i in parts.get(bucket, ()):
+                key, now = arrivals[i]
+                if key not in held or now - held[key] >= DAY_US:
+                    held[key], fresh[i], changed = now, True, True
+            kept = {k: at for k, at in held.items() if at > old}
+            size[1] += len(kept) - before
+            if changed or len(kept) < before:
+                self._set(bucket, kept)
+        size[2] += 1
+        self._shrink(size, len(arrivals))
+        return fresh
+
+
 class RecordProcessor(StatefulProcessor):
     """Arrival rules of one patient: duplicate removal, lateness, event-time reordering, then a step.
 
@@ -101,11 +239,13 @@ class RecordProcessor(StatefulProcessor):
     reach the step.
 
     A batch touches what it brings and what is due. Waiting records lie in buckets of event time, delivery keys
-    are looked up one by one and forgotten by whole buckets of arrival time, and a batch sets one timer.
+    as ``keys`` says, and a batch sets one timer. Every call to the state store is a round trip to the JVM, so what is small and always
+    needed (clock, what waits where, number of keys) is one value, ``head``.
     """
 
-    def __init__(self, columns: list[str], output: T.StructType) -> None:
-        self.columns, self.names = columns, output.fieldNames()
+    def __init__(self, columns: list[str], output: T.StructType, keys: type[KeyEntries] | type[KeyBuckets] = KeyEntries) -> None:
+        self.key_layout = keys
+        self.columns, self.row = columns, Row(*output.fieldNames())
 
     def start(self) -> Any:
         raise NotImplementedError
@@ -129,9 +269,8 @@ class RecordProcessor(StatefulProcessor):
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.clock = handle.getValueState("clock", _CLOCK)
-        self.seen = handle.getMapState("seen", _KEY, _AT)
-        self.arrivals = _Buckets(handle, "arrivals", SEEN_US)
+        self.head = _Pickled(handle, "head", lambda: {"newest": None, "flushed": 0, "waiting": {}, "keys": self.key_layout.start(), "stepped": False})
+        self.keys = self.key_layout(handle)
         self.pending = _Buckets(handle, "pending", PENDING_US)
         self.waits = handle.getMapState("waits", _AT, _AT)
         self.state = _Pickled(handle, "state", lambda: self.packed(self.start()))
@@ -139,32 +278,24 @@ class RecordProcessor(StatefulProcessor):
     def close(self) -> None:
         pass
 
-    def _duplicate(self, key: str | None, now: int, arrived: list[tuple[int, str]]) -> bool:
-        if not (key or "").strip():
-            return False
-        if self.seen.containsKey((key,)) and now - self.seen.getValue((key,))[0] < DAY_US:
-            return True
-        self.seen.updateValue((key,), (now,))
-        arrived.append((now, key))
-        return False
-
-    def _forget(self, now: int) -> None:
-        """Drop delivery keys of a day ago and more, by whole buckets; a key that came again since is kept."""
-        for key in self.arrivals.take(now - DAY_US, whole=True):
-            if self.seen.containsKey((key,)) and now - self.seen.getValue((key,))[0] >= DAY_US:
-                self.seen.removeKey((key,))
+    def _unique(self, head: dict, arrived: list[dict]) -> list[dict]:
+        """Rows in order of arrival without deliveries told before; blank keys are never duplicates."""
+        named = [i for i, r in enumerate(arrived) if (r["idempotency_key"] or "").strip()]
+        fresh = self.keys.accept(head["keys"], [(arrived[i]["idempotency_key"], arrived[i]["ingest_us"]) for i in named])
+        copies = {i for i, ok in zip(named, fresh) if not ok}
+        return [r for i, r in enumerate(arrived) if i not in copies]
 
     def _out(self, row: dict, reason: str | None, values: tuple | None) -> Row:
         head = (row["patient_id"], row["encounter_id"], row["event_us"], row["ingest_us"], row["idempotency_key"],
                 row["component"], row["context_flag"], reason)
-        return Row(*self.names)(*head, *(values if values is not None else self.blank()))
+        return self.row(*head, *(values if values is not None else self.blank()))
 
-    def _flush(self, until: int, extra: list[dict]) -> Iterator[Row]:
-        ready = extra + self.pending.take(until)
+    def _flush(self, head: dict, extra: list[dict]) -> Iterator[Row]:
+        ready = extra + self.pending.take(head["waiting"], head["flushed"])
         if not ready:
             return
         ready.sort(key=lambda r: (r["event_us"], r["idempotency_key"] or ""))
-        state = self.unpacked(self.state.get())
+        state = self.unpacked(self.state.get(head["stepped"]))
         for row in ready:
             if (row["idempotency_key"] or "").startswith(FLUSH_PREFIX):
                 continue
@@ -176,17 +307,14 @@ class RecordProcessor(StatefulProcessor):
             if values is not None:
                 yield self._out(row, None, values)
         self.state.set(self.packed(state))
+        head["stepped"] = True
 
     def handleInputRows(self, key: Any, rows: Iterator[Row], timerValues: Any) -> Iterator[Row]:
-        newest, flushed = self.clock.get() if self.clock.exists() else (None, 0)
+        head = self.head.get()
+        newest, flushed = head["newest"], head["flushed"]
         arrived = sorted((dict(zip(self.columns, r)) for r in rows), key=lambda r: (r["ingest_us"], r["event_us"], r["idempotency_key"] or ""))
         waiting: list[dict] = []
-        keys: list[tuple[int, str]] = []
-        last = 0
-        for row in arrived:
-            last = max(last, row["ingest_us"])
-            if self._duplicate(row["idempotency_key"], row["ingest_us"], keys):
-                continue
+        for row in self._unique(head, arrived):
             at = row["event_us"]
             if newest is None or at > newest:
                 newest = at
@@ -195,14 +323,12 @@ class RecordProcessor(StatefulProcessor):
                 yield self._out(row, "late_beyond_lateness", None)
             else:
                 waiting.append(row)
-        self.arrivals.add(keys)
-        self._forget(last)
         ready = [r for r in waiting if r["event_us"] <= flushed]
         held = [r for r in waiting if r["event_us"] > flushed]
-        self.clock.update((newest or 0, flushed))
-        yield from self._flush(flushed, ready)
+        head["newest"], head["flushed"] = newest, flushed
+        yield from self._flush(head, ready)
         if held:
-            self.pending.add([(r["event_us"], r) for r in held])
+            self.pending.add(head["waiting"], [(r["event_us"], r) for r in held])
             # A lone last event still comes out once the reading clock has passed its lateness.
             timer = (max(r["read_us"] for r in held) + LATENESS_US) // 1000
             until = max(r["event_us"] for r in held)
@@ -210,16 +336,17 @@ class RecordProcessor(StatefulProcessor):
                 until = max(until, self.waits.getValue((timer,))[0])
             self.waits.updateValue((timer,), (until,))
             self.handle.registerTimer(timer)
+        self.head.set(head)
 
     def handleExpiredTimer(self, key: Any, timerValues: Any, expiredTimerInfo: Any) -> Iterator[Row]:
-        newest, flushed = self.clock.get() if self.clock.exists() else (0, 0)
         timer = expiredTimerInfo.getExpiryTimeInMs()
         if not self.waits.containsKey((timer,)):
             return
-        flushed = max(flushed, self.waits.getValue((timer,))[0])
+        head = self.head.get()
+        head["flushed"] = max(head["flushed"], self.waits.getValue((timer,))[0])
         self.waits.removeKey((timer,))
-        self.clock.update((newest, flushed))
-        yield from self._flush(flushed, [])
+        yield from self._flush(head, [])
+        self.head.set(head)
 
 
 HEAD = [T.StructField(n, t) for n, t in (
