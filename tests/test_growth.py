@@ -9,7 +9,7 @@ from pyspark.sql import types as T
 
 from tests.test_stream_clock import COLUMNS, Handle, Map
 from wardline.operators import latest, sampling
-from wardline.catalog import load_all
+from wardline.catalog import episodes, load_all
 from wardline.plans import stewardship
 from wardline.sources import records, stays
 from wardline.streaming import jobs, processors as PR
@@ -151,3 +151,12 @@ def test_rows_packed_as_json_come_back_unchanged(spark):
     out = spark.createDataFrame([tuple(r) for r in packed.handleInputRows(("p",), iter(texts), None)], PR.PACKED)
     back = out.select(F.from_json("packed", schema).alias("r")).select("r.*").collect()
     assert repr([tuple(r) for r in back]) == repr(rows)
+
+
+def test_the_encounter_exchange_grows_with_the_rows(spark, sf, monkeypatch):
+    monkeypatch.setattr(latest, "TASK_ROWS", 50)
+    shape = latest.Shape(False, False, 1_100)
+    out = episodes.EP.audit_log(episodes.EP.arbitrate(episodes.by_encounter(episodes.signals(spark, sf, shape), shape), hot=False))
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join" not in plan and plan.count("RepartitionByExpression [patient_id") == plan.count(", 22\n") > 0
+    assert out.where("reason = 'episode_window_elapsed'").count() > 0

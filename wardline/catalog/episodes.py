@@ -34,10 +34,15 @@ def signals(spark: SparkSession, sf: str, shape: latest.Shape | None = None) ->
     return alerts.unionByName(pressure).unionByName(control)
 
 
+def by_encounter(rows: DataFrame, shape: latest.Shape) -> DataFrame:
+    """Signals in as many tasks as the records ask for; a very large key is dealt by the fold itself."""
+    return rows if shape.hot else latest.by_key(rows, ["patient_id", "encounter_key"], shape.rows)
+
+
 def steps(spark: SparkSession, sf: str) -> DataFrame:
     # A patient yields at most three signals per record, so the records' size decides the layout.
     shape = latest.shape_of(P.envelopes(spark, sf))
-    return EP.arbitrate(signals(spark, sf, shape), hot=shape.hot)
+    return EP.arbitrate(by_encounter(signals(spark, sf, shape), shape), hot=shape.hot)
 
 
 _HSCORE = "(CASE WHEN map_mmhg < 55 THEN 6 ELSE 4 END)"
@@ -270,7 +275,8 @@ named AS (SELECT e.pk, e.no, e.rn, e.signal_id, i.signal_type, i.score, {_EVIDEN
 def named_steps(spark: SparkSession, sf: str) -> DataFrame:
     shape = latest.shape_of(P.envelopes(spark, sf))
     evidence = F.expr(_EVIDENCE.format(none="cast(array() AS array<string>)", array="array", hour="event_us div 3600000000"))
-    return EP.arbitrate(signals(spark, sf, shape).withColumn("evidence_ids", F.when(F.col("event") == "signal", evidence)), hot=shape.hot)
+    named = signals(spark, sf, shape).withColumn("evidence_ids", F.when(F.col("event") == "signal", evidence))
+    return EP.arbitrate(by_encounter(named, shape), hot=shape.hot)
 
 
 _PK = "concat_ws('#', patient_id, encounter_key) AS pk"

@@ -267,9 +267,11 @@ def audit_log(steps: DataFrame, keys: Sequence[str] = ("patient_id", "encounter_
     """Audit entries as rows, the elapsed-window closings included."""
     entries = steps.select(*keys, "episode_no", F.col("event_us").alias("at_us"), "action", "status", "reason",
                            F.nullif("signal_id", F.lit("")).alias("signal_id"))
-    ends = steps.groupBy(*keys, "episode_no").agg(F.max("updated_us").alias("at_us"))
-    closings = steps.where("closed_previous").select(*keys, (F.col("episode_no") - 1).alias("episode_no")).join(
-        ends, [*keys, "episode_no"]).select(
+    # A step that closes the episode before it also says so of that one, so the closings need no join.
+    own = F.struct("episode_no", "updated_us", F.lit(False).alias("elapsed"))
+    before = F.struct((F.col("episode_no") - 1).alias("episode_no"), F.lit(None).cast("long").alias("updated_us"), F.lit(True).alias("elapsed"))
+    told = steps.select(*keys, F.inline(F.when(F.col("closed_previous"), F.array(own, before)).otherwise(F.array(own))))
+    closings = told.groupBy(*keys, "episode_no").agg(F.max("updated_us").alias("at_us"), F.max("elapsed").alias("elapsed")).where("elapsed").select(
         *keys, "episode_no", "at_us", F.lit("resolve").alias("action"), F.lit("resolved").alias("status"),
         F.lit("episode_window_elapsed").alias("reason"), F.lit(None).cast("string").alias("signal_id"))
     return entries.unionByName(closings)

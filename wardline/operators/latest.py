@@ -40,14 +40,18 @@ def shape_of(df: DataFrame, ttl_us: int = DAY_US) -> Shape:
     return Shape((row["n"] or 0) > folds.HOT_ROWS, (row["span"] or 0) >= ttl_us, row["rows"] or 0)
 
 
-def by_patient(df: DataFrame, rows: int) -> DataFrame:
-    """One exchange on the patient for all that rides on it.
+def by_key(df: DataFrame, keys: Sequence[str], rows: int) -> DataFrame:
+    """One exchange on the keys for all that rides on it.
 
     Several sorts hold a task's rows at a time, so the number of tasks grows with the rows. A number given here
     is not coalesced afterwards.
     """
     wanted = -(-rows // TASK_ROWS)
-    return df.repartition(wanted, "patient_id") if wanted > df.sparkSession.sparkContext.defaultParallelism else df.repartition("patient_id")
+    return df.repartition(wanted, *keys) if wanted > df.sparkSession.sparkContext.defaultParallelism else df.repartition(*keys)
+
+
+def by_patient(df: DataFrame, rows: int) -> DataFrame:
+    return by_key(df, ["patient_id"], rows)
 
 
 def is_hot(df: DataFrame, keys: Sequence[str], hot: bool | None) -> bool:
