@@ -160,3 +160,23 @@ def test_the_encounter_exchange_grows_with_the_rows(spark, sf, monkeypatch):
     plan = out._jdf.queryExecution().optimizedPlan().toString()
     assert "Join" not in plan and plan.count("RepartitionByExpression [patient_id") == plan.count(", 22\n") > 0
     assert out.where("reason = 'episode_window_elapsed'").count() > 0
+
+
+def test_episodes_are_summed_up_in_as_many_tasks_as_the_rows_ask_for(spark, sf, monkeypatch):
+    monkeypatch.setattr(latest, "TASK_ROWS", 50)
+    monkeypatch.setattr(latest, "shape_of", lambda df: latest.Shape(False, False, 1_100))
+    out = load_all()["episode_context"].run(spark, sf)
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    # Patients of both kinds of signals, encounters, episodes.
+    assert "MergeJoin" not in plan and "HashJoin" not in plan and plan.count("Exchange hashpartitioning(") == plan.count(", 22), REPARTITION_BY_NUM") == 4
+
+
+def test_an_episode_closed_by_the_next_one_is_resolved(spark):
+    hour = 3_600_000_000
+    rows = [("p", "e", "signal", f"s{n}", "aki", "urgent", "interruptive", False, at) for n, at in enumerate((0, hour, 4 * hour, 9 * hour))]
+    signals = spark.createDataFrame(rows, "patient_id string, encounter_key string, event string, signal_id string, signal_type string, severity string, routing string, suppressed boolean, event_us long")
+    steps = episodes.EP.arbitrate(signals, hot=False)
+    found = episodes.EP.summarise(steps).orderBy("episode_no").select("episode_no", "opened_us", "n_signals", "status", "resolved_us", "updated_us").collect()
+    assert [tuple(r) for r in found] == [(1, 0, 2, "resolved", hour, hour), (2, 4 * hour, 1, "resolved", 4 * hour, 4 * hour), (3, 9 * hour, 1, "open", None, 9 * hour)]
+    # A step whose episode before is not among the rows tells of its own only.
+    assert [r["episode_no"] for r in episodes.EP.summarise(steps.where("episode_no = 2")).collect()] == [2]

@@ -35,16 +35,21 @@ def signals(spark: SparkSession, sf: str, shape: latest.Shape | None = None) ->
 
 
 def by_encounter(rows: DataFrame, shape: latest.Shape) -> DataFrame:
-    """Signals in as many tasks as the records ask for; a very large key is dealt by the fold itself."""
+    """Signals or their steps in as many tasks as the records ask for; a very large key is dealt by the fold and the aggregates themselves."""
     return rows if shape.hot else latest.by_key(rows, ["patient_id", "encounter_key"], shape.rows)
 
 
-def steps(spark: SparkSession, sf: str) -> DataFrame:
+def steps(spark: SparkSession, sf: str, shape: latest.Shape | None = None) -> DataFrame:
     # A patient yields at most three signals per record, so the records' size decides the layout.
-    shape = latest.shape_of(P.envelopes(spark, sf))
+    shape = shape or latest.shape_of(P.envelopes(spark, sf))
     return EP.arbitrate(by_encounter(signals(spark, sf, shape), shape), hot=shape.hot)
 
 
+def summaries(spark: SparkSession, sf: str) -> DataFrame:
+    shape = latest.shape_of(P.envelopes(spark, sf))
+    return EP.summarise(by_encounter(steps(spark, sf, shape), shape))
+
+
 _HSCORE = "(CASE WHEN map_mmhg < 55 THEN 6 ELSE 4 END)"
 SIGNALS_SQL = f"""{SCORED}, {alert_source(ACTIVE)}, {governance_sql('src', ACTIVE, SOFA_COMPONENTS)},
 sofa_alerts AS (
@@ -198,7 +203,7 @@ SELECT pk, no AS episode_no, {_EPISODE_ID} AS episode_id, opened_us, n_signals,
   dominant_type, dominant_severity, page_count, passive_count FROM eps""")
 def episodes(spark: SparkSession, sf: str) -> DataFrame:
     """Episodes with identity, dominant signal, pages and resolution."""
-    out = EP.summarise(steps(spark, sf))
+    out = summaries(spark, sf)
     return out.select(
         F.concat_ws("#", "patient_id", "encounter_key").alias("pk"), "episode_no", "episode_id", "opened_us",
         "n_signals", "status", "resolved_us", "updated_us", "dominant_type", "dominant_severity", "page_count",
@@ -218,7 +223,7 @@ SELECT {_EPISODE_ID} AS episode_id, CASE
 FROM eps""")
 def episode_context(spark: SparkSession, sf: str) -> DataFrame:
     """Routing rationale and a stable content hash of every episode."""
-    out = EP.summarise(steps(spark, sf))
+    out = summaries(spark, sf)
     text = F.concat_ws("|", F.concat_ws("#", "patient_id", "encounter_key"), "episode_no", "status",
                        F.coalesce("dominant_type", F.lit("")), "dominant_severity", "page_count", "passive_count",
                        "last_action", "last_reason")

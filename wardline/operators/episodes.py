@@ -196,17 +196,19 @@ def arbitrate(signals: DataFrame, rules: EpisodeRules = EpisodeRules(),
 
 def summarise(steps: DataFrame, keys: Sequence[str] = ("patient_id", "encounter_key")) -> DataFrame:
     """Episodes: identity from the earliest signal, state after the last step, pages, resolution."""
-    is_signal = F.col("event") == "signal"
+    # A step that closes the episode before it also says so of that one, so the closings need no join.
+    told = steps.withColumn("_before", F.explode(
+        F.when(F.col("closed_previous"), F.array(F.lit(False), F.lit(True))).otherwise(F.array(F.lit(False)))))
+    own = ~F.col("_before")
+    is_signal = own & (F.col("event") == "signal")
     last = F.struct("status", "dominant_type", "dominant_severity", "supporting_types", "page_count",
                     "passive_count", "updated_us", "resolved_us", "acknowledged_us", "action", "reason")
-    out = steps.groupBy(*keys, "episode_no").agg(
+    out = told.withColumn("episode_no", F.col("episode_no") - F.col("_before").cast("int")).groupBy(*keys, "episode_no").agg(
         F.min(F.when(is_signal, F.struct("event_us", "signal_id"))).alias("_first"),
-        F.max_by(last, "step_no").alias("l"),
-        F.count_if(is_signal & (F.col("reason") != "duplicate_signal_id")).alias("n_signals"))
-    closers = steps.where("closed_previous").select(
-        *keys, (F.col("episode_no") - 1).alias("episode_no"), F.lit(True).alias("_elapsed"))
-    out = out.join(closers, [*keys, "episode_no"], "left")
-    elapsed = F.coalesce("_elapsed", F.lit(False))
+        F.max_by(last, F.when(own, F.col("step_no"))).alias("l"),
+        F.count_if(is_signal & (F.col("reason") != "duplicate_signal_id")).alias("n_signals"),
+        F.max("_before").alias("_elapsed")).where(F.col("l").isNotNull())
+    elapsed = F.col("_elapsed")
     return out.select(
         *keys, "episode_no",
         ids.episode_id(F.col("patient_id"), F.col("encounter_key"), F.col("_first.event_us"),
