@@ -162,10 +162,11 @@ def test_the_encounter_exchange_grows_with_the_rows(spark, sf, monkeypatch):
     assert out.where("reason = 'episode_window_elapsed'").count() > 0
 
 
-def test_episodes_are_summed_up_in_as_many_tasks_as_the_rows_ask_for(spark, sf, monkeypatch):
+@pytest.mark.parametrize("name", ["episode_context", "episode_disclosure"])
+def test_episodes_are_summed_up_in_as_many_tasks_as_the_rows_ask_for(spark, sf, monkeypatch, name):
     monkeypatch.setattr(latest, "TASK_ROWS", 50)
     monkeypatch.setattr(latest, "shape_of", lambda df: latest.Shape(False, False, 1_100))
-    out = load_all()["episode_context"].run(spark, sf)
+    out = load_all()[name].run(spark, sf)
     plan = out._jdf.queryExecution().executedPlan().toString()
     # Patients of both kinds of signals, encounters, episodes.
     assert "MergeJoin" not in plan and "HashJoin" not in plan and plan.count("Exchange hashpartitioning(") == plan.count(", 22), REPARTITION_BY_NUM") == 4

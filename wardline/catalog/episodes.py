@@ -277,13 +277,18 @@ named AS (SELECT e.pk, e.no, e.rn, e.signal_id, i.signal_type, i.score, {_EVIDEN
   FROM ep e JOIN ep_in i ON i.pk = e.pk AND i.rn = e.rn WHERE e.rn > 0 AND e.action <> 'skip' AND e.event = 'signal' AND e.reason <> 'duplicate_signal_id')"""
 
 
-def named_steps(spark: SparkSession, sf: str) -> DataFrame:
-    shape = latest.shape_of(P.envelopes(spark, sf))
+def named_steps(spark: SparkSession, sf: str, shape: latest.Shape | None = None) -> DataFrame:
+    shape = shape or latest.shape_of(P.envelopes(spark, sf))
     evidence = F.expr(_EVIDENCE.format(none="cast(array() AS array<string>)", array="array", hour="event_us div 3600000000"))
     named = signals(spark, sf, shape).withColumn("evidence_ids", F.when(F.col("event") == "signal", evidence))
     return EP.arbitrate(by_encounter(named, shape), hot=shape.hot)
 
 
+def told_by_episode(spark: SparkSession, sf: str) -> DataFrame:
+    shape = latest.shape_of(P.envelopes(spark, sf))
+    return by_encounter(named_steps(spark, sf, shape), shape)
+
+
 _PK = "concat_ws('#', patient_id, encounter_key) AS pk"
 
 
@@ -309,4 +314,4 @@ SELECT d.pk, d.no AS episode_no, count(n.rn) AS n_signals, count(*) FILTER (len(
 FROM dom d LEFT JOIN named n ON n.pk = d.pk AND n.no = d.no GROUP BY d.pk, d.no""")
 def episode_disclosure(spark: SparkSession, sf: str) -> DataFrame:
     """How complete every episode's context is, and the score it shows."""
-    return EP.disclosures(named_steps(spark, sf)).selectExpr(_PK, "episode_no", "n_signals", "n_missing", "completeness", "score")
+    return EP.disclosures(told_by_episode(spark, sf)).selectExpr(_PK, "episode_no", "n_signals", "n_missing", "completeness", "score")
