@@ -162,7 +162,7 @@ def test_the_encounter_exchange_grows_with_the_rows(spark, sf, monkeypatch):
     assert out.where("reason = 'episode_window_elapsed'").count() > 0
 
 
-@pytest.mark.parametrize("name", ["episode_context", "episode_disclosure"])
+@pytest.mark.parametrize("name", ["episode_context", "episode_evidence", "episode_disclosure"])
 def test_episodes_are_summed_up_in_as_many_tasks_as_the_rows_ask_for(spark, sf, monkeypatch, name):
     monkeypatch.setattr(latest, "TASK_ROWS", 50)
     monkeypatch.setattr(latest, "shape_of", lambda df: latest.Shape(False, False, 1_100))

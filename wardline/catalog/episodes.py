@@ -296,7 +296,7 @@ _PK = "concat_ws('#', patient_id, encounter_key) AS pk"
 SELECT pk, no AS episode_no, evidence_id, min(rn) AS first_step, count(*) AS n_signals FROM (SELECT pk, no, rn, unnest(evidence) AS evidence_id FROM named) GROUP BY ALL""")
 def episode_evidence(spark: SparkSession, sf: str) -> DataFrame:
     """Evidence of every episode: the union over its signals."""
-    return EP.evidence_union(named_steps(spark, sf)).selectExpr(_PK, "episode_no", "evidence_id", "first_step", "n_signals")
+    return EP.evidence_union(told_by_episode(spark, sf)).selectExpr(_PK, "episode_no", "evidence_id", "first_step", "n_signals")
 
 
 @query("episode_missing_evidence", "EPI-10", f"""{_NAMED}
